@@ -119,9 +119,9 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return sorted((c for c in clauses if not any(d < c for d in clauses)), key=sorted)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
+    return docs.select("doc_id", *carried, text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -180,10 +180,10 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 _NO_SPANS = "array<struct<start:bigint,kind_order:int,end:bigint,kind:string>>"
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text and the array `found` of spans (start, kind_order, end, kind), sorted; ends are exclusive code points."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns, text and the array `found` of spans (start, kind_order, end, kind), sorted; ends are exclusive code points."""
     empty = F.array().cast(_NO_SPANS)
-    keyed = _keyed(docs)
+    keyed = _keyed(docs, carried)
     indexed = {r.kind for r in rules if trigram_query(r.pattern)}
     if indexed:
         hits = candidates(docs, rules).select(F.col("doc_id").alias("at_id"), F.col("text_key").alias("at_key"), "kinds")
@@ -197,7 +197,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         if r.group == 0 and r.pattern.endswith("]+") and r.pattern.startswith("["):
             first = first & F.col("text").rlike(f"{r.pattern[:-1]}{{{r.min_chars}}}")
         arrays.append(F.when(first, _spans(F.col("text"), r, order)).otherwise(empty))
-    return keyed.select("doc_id", "text", F.array_sort(F.concat(*arrays)).alias("found"))
+    return keyed.select("doc_id", *carried, "text", F.array_sort(F.concat(*arrays)).alias("found"))
 
 
 def _written(spans: Column) -> Column:
@@ -231,3 +231,15 @@ def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
         return F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
 
     return F.when(F.size(found) == 0, text).otherwise(let(F.aggregate(found, start, step), joined))
+
+
+def clean(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs, with all their columns: secrets in text are replaced, and n_chars, if there, follows."""
+    packed = docs.select("doc_id", "text", F.struct("*").alias("whole"))
+    found = scan(packed, rules, ("whole",)).select("whole", redact(F.col("text"), F.col("found")).alias("clean"))
+    changed = {"text": F.when(F.col("whole.text").isNotNull(), F.col("clean"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("clean") == F.col("whole.text"), F.col("whole.n_chars")).otherwise(
+            F.when(F.col("whole.text").isNull(), F.col("whole.n_chars")).otherwise(F.length("clean").cast(docs.schema["n_chars"].dataType))
+        )
+    return found.select(*[changed.get(c, F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])

@@ -48,7 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get("up")
     if have is None or len(have) < n:
         n = max(n, BLOCK_BYTES + 1)
@@ -82,7 +82,7 @@ class Block:
         """A 64-bit hash for each word."""
         if not len(self.starts):
             return np.zeros(0, dtype=np.uint64)
-        up, down = _power(len(self.data) + 1)
+        up, down = powers(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])

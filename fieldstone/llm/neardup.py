@@ -176,15 +176,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of members of different components in a block pair of a band whose estimate is high enough."""
+    """Pairs of members of different components in a block pair of a band whose estimate is high enough.
+
+    A pair that shares several bands comes from the first of them only: its components differ in each.
+    """
     for batch in batches:
         a, b = [], []
-        for left, right, same in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True):
+        for left, right, same, band in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             right = left if same else right
             ids = [np.array([m["id"] for m in side]) for side in (left, right)]
             parts = [np.array([m["component"] for m in side]) for side in (left, right)]
             sizes = [np.array([m["n_shingles"] for m in side]) for side in (left, right)]
             signs = [np.frombuffer(b"".join(m["packed"] for m in side), np.uint64).reshape(len(side), -1) for side in (left, right)]
+            bands = [np.array([m["bands"] for m in side], np.int64).reshape(len(side), -1) for side in (left, right)]
             for i in range(len(left)):
                 other = np.flatnonzero(
                     (parts[1] != parts[0][i])
@@ -192,6 +196,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     & ((ids[1] > ids[0][i]) | (not same))
                 )
                 other = other[estimate(signs[1][other], signs[0][i]) >= LEAST_ESTIMATE] if len(other) else other
+                if len(other):
+                    first = (bands[1][other] == bands[0][i]).argmax(axis=1)
+                    other = other[bands[0][i][first] == band]
                 a += np.minimum(ids[1][other], ids[0][i]).tolist()
                 b += np.maximum(ids[1][other], ids[0][i]).tolist()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -205,15 +212,19 @@ def groups(docs: DataFrame) -> DataFrame:
     named = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     # one member for each set
     equal = named.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("id"))
-    heads = named.join(equal, ["n_shingles", "d1", "d2"]).filter("doc_id = id").select("id", "n_shingles", "packed", "bands").dropDuplicates(["id"])
-    members = heads.select("id", "n_shingles", "packed", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min_by(F.struct("id", "n_shingles", "packed"), "id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    heads = named.join(equal, ["n_shingles", "d1", "d2"]).filter("doc_id = id").select("id", "n_shingles", "packed", "bands").dropDuplicates(["id"]).checkpoint()
+    # a row for each member and band goes through the shuffles, so it holds no signature; those are joined to pairs
+    members = heads.select("id", "n_shingles", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.min(F.struct("id", "n_shingles")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    signs = heads.select("id", "packed")
     stars = (
         members.join(shared, "band")
         .filter(F.col("id") > F.col("hub.id"))
         .filter(100 * F.least("n_shingles", "hub.n_shingles") >= PERCENT * F.greatest("n_shingles", "hub.n_shingles"))
-        .select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.packed").alias("pa"), F.col("packed").alias("pb"))
-        .dropDuplicates(["a", "b"])
+        .select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+        .distinct()
+        .join(signs.withColumnsRenamed({"id": "b", "packed": "pb"}), "b")
+        .join(signs.withColumnsRenamed({"id": "a", "packed": "pa"}), "a")
         .filter(_estimated("pa", "pb") >= LEAST_ESTIMATE)
         .select("a", "b")
         .checkpoint()
@@ -224,15 +235,16 @@ def groups(docs: DataFrame) -> DataFrame:
     # what is left: bands that hold members of several components
     placed = members.join(shared.select("band"), "band").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("band", "n")
-    member = F.struct("id", "n_shingles", "component", "packed")
+    member = F.struct("id", "n_shingles", "component", "packed", "bands")
     blocks_ = (
         placed.join(mixed, "band")
+        .join(heads.select("id", "packed", "bands"), "id")
         .withColumn("n_blocks", F.ceil(F.col("n") / BAND_BLOCK))
         .withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
         .groupBy("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .agg(F.collect_list(F.when(F.col("block") <= F.col("other"), member)).alias("left"), F.collect_list(F.when(F.col("block") > F.col("other"), member)).alias("right"))
-        .select("left", "right", (F.col("i") == F.col("j")).alias("same"))
+        .select("left", "right", (F.col("i") == F.col("j")).alias("same"), "band")
     )
     rest = blocks_.mapInArrow(_compare, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti").checkpoint()
     if not rest.isEmpty():

@@ -9,8 +9,8 @@ their full sets.
 
 Equal sets are one representative, so copies are never paired.  Within a band
 only pairs that can still change the result are tested: first every member
-with the least id of its band; then, after the confirmed links have been
-joined to components, members of different components of the same band, until
+with the least of the least ids of its bands; then, after the confirmed links have been
+joined to components, with those of its bands in another component; then members of different components of the same band, until
 no band holds an untested pair of two components.  No link between two
 components is lost, and a large group of near copies costs a row per member.
 
@@ -118,18 +118,15 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, e, data, offsets in blocks(batch, "text"):
-            sets = [s.tobytes() for s in shingle_sets(Block(data, offsets, BLANK_WORDS, lower=True))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, e - a), pa.array(sets, pa.binary())], names=["id", "shingles"])
+def _sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
+    for _, _, data, offsets in blocks(pa.record_batch({"text": texts}), "text"):
+        yield from shingle_sets(Block(data, offsets, BLANK_WORDS, lower=True))
 
 
 @arrow_udf(T.BooleanType())
 def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
     out = []
-    for x, y in zip(a, b, strict=True):
-        s, t = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+    for s, t in zip(_sets_of(a), _sets_of(b), strict=True):
         both = len(s) + len(t) - len(np.union1d(s, t))
         out.append(100 * both >= PERCENT * (len(s) + len(t) - both))
     return pa.array(out, pa.bool_())
@@ -147,10 +144,10 @@ def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of documents that are linked by their full sets."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    sets = texts.select("doc_id", "text").mapInArrow(_sets, "id long, shingles binary")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").filter(_linked("sa", "sb")).select("a", "b")
+    # texts shuffle better than sets of hashes, which don't compress
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    return pairs.select("a", "b").join(right, "b").join(left, "a").filter(_linked("ta", "tb")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,6 +172,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
+def _near(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose estimate is high enough to be confirmed."""
+    with_b = pairs.join(signs.withColumnsRenamed({"id": "b", "packed": "pb"}), "b")
+    with_both = with_b.join(signs.withColumnsRenamed({"id": "a", "packed": "pa"}), "a")
+    return with_both.filter(_estimated("pa", "pb") >= LEAST_ESTIMATE).select("a", "b")
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of members of different components in a block pair of a band whose estimate is high enough.
 
@@ -217,20 +221,23 @@ def groups(docs: DataFrame) -> DataFrame:
     members = heads.select("id", "n_shingles", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.min(F.struct("id", "n_shingles")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
     signs = heads.select("id", "packed")
-    stars = (
+    pairs = (
         members.join(shared, "band")
         .filter(F.col("id") > F.col("hub.id"))
         .filter(100 * F.least("n_shingles", "hub.n_shingles") >= PERCENT * F.greatest("n_shingles", "hub.n_shingles"))
         .select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
         .distinct()
-        .join(signs.withColumnsRenamed({"id": "b", "packed": "pb"}), "b")
-        .join(signs.withColumnsRenamed({"id": "a", "packed": "pa"}), "a")
-        .filter(_estimated("pa", "pb") >= LEAST_ESTIMATE)
-        .select("a", "b")
         .checkpoint()
     )
-    links = _confirm(stars, texts).checkpoint()
-    tested = stars
+    # first the least hub of each member: most members of a large group need no other
+    links = _confirm(_near(pairs.groupBy("b").agg(F.min("a").alias("a")), signs), texts).checkpoint()
+    found = components(links)
+    part = lambda k: found.select(F.col("id").alias(k), F.col("component").alias(f"{k}_component"))
+    apart = pairs.join(part("b"), "b", "left").join(part("a"), "a", "left")
+    apart = apart.filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+    more = _near(apart, signs).checkpoint()
+    links = links.unionByName(_confirm(more, texts)).checkpoint()
+    tested = more
     found = components(links)
     # what is left: bands that hold members of several components
     placed = members.join(shared.select("band"), "band").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))

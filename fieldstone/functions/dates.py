@@ -1,15 +1,17 @@
 """Dates and years out of messy text, as Column expressions.
 
-Only `format_date` with free_form=True needs Python (an Arrow UDF for texts that none of
-the fixed forms has settled); everything else is built in.
+Texts that none of the fixed forms has settled go to the free-form parser, which needs Python: an Arrow UDF for
+each text (free_form=True), or one for all texts of a row (`free_forms`), whose map the functions take as `known`,
+also inside of lambdas.  Everything else is built in.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
@@ -58,38 +60,68 @@ def _found(text: Column, pattern: str, day: int, month: int, year: int) -> Colum
     return _built(part(day), part(month), part(year))
 
 
+@lru_cache(100_000)
+def _parsed(text: str) -> str | None:
+    from dateutil.parser import parse
+
+    try:
+        return parse(text, default=datetime(2000, 1, 1)).strftime("%Y-%m-%d")
+    except (ValueError, TypeError, OverflowError):
+        return None
+
+
 @arrow_udf(T.StringType())
 def _free_form(texts: pa.Array) -> pa.Array:
-    from dateutil.parser import parse
+    return pa.array([None if t is None else _parsed(t) for t in texts.to_pylist()], pa.string())
+
 
-    out = []
-    for t in texts.to_pylist():
-        try:
-            out.append(None if t is None else parse(t, default=datetime(2000, 1, 1)).strftime("%Y-%m-%d"))
-        except (ValueError, TypeError, OverflowError):
-            out.append(None)
-    return pa.array(out, pa.string())
+@arrow_udf(T.MapType(T.StringType(), T.StringType()))
+def _free_forms(texts: pa.Array) -> pa.Array:
+    found = [{t: d for t in row or () if t is not None and (d := _parsed(t)) is not None} for row in texts.to_pylist()]
+    return pa.array([list(row.items()) for row in found], pa.map_(pa.string(), pa.string()))
 
 
-def format_date(value: Column, free_form: bool = False) -> Column:
+# else the optimizer could move the call into an expression that refers to its map, where Python cannot be called
+_free_forms = _free_forms.asNondeterministic()
+
+
+def free_forms(rows: DataFrame, loose: Column, name: str = "known") -> DataFrame:
+    """The rows with a map of the dates of those of the texts in `loose` (see loose_ranges) that the free-form parser takes."""
+    # the call gets a column that is not deterministic, so a plain one: arguments with nested lambdas are not always taken out of the plan for Python
+    texts = F.when(F.monotonically_increasing_id() >= 0, loose)
+    return rows.withColumn(name, texts).withColumn(name, _free_forms(F.col(name)))
+
+
+def format_date(value: Column, free_form: bool = False, known: Column | None = None) -> Column:
     """'YYYY-MM-DD' or 'Invalid date'; of the fixed forms the first that gives a date wins."""
     if free_form:
-        return _formatted(F.coalesce(value, F.lit("")), True)
-    return once(F.coalesce(value, F.lit("")), lambda text: _formatted(text, False))
+        text = F.coalesce(value, F.lit(""))
+        return F.coalesce(_fixed(text), _free_form(_loose(text)), F.lit(INVALID))
+    return once(F.coalesce(value, F.lit("")), lambda text: _formatted(text, known))
 
 
-def _formatted(text: Column, free_form: bool) -> Column:
-    fixed = F.coalesce(
+def _fixed(text: Column) -> Column:
+    return F.coalesce(
         _found(text, rf"\b({MONTHS})\s+(\d{{1,2}}),\s+(\d{{4}})\b", 2, 1, 3),
         _found(text, rf"\b({SHORT_MONTHS})\s+(\d{{1,2}}),\s+(\d{{4}})\b", 2, 1, 3),
         _found(text, rf"\b(\d{{1,2}})\s+({MONTHS})\s+(\d{{4}})\b", 1, 2, 3),
     )
+
+
+def _hopeless(bare: Column) -> Column:
+    return (bare == "") | bare.rlike(r"^(17|18|19|20)\d{2}$")
+
+
+def _loose(text: Column) -> Column:
+    """The text that the free-form parser gets; null if a fixed form settles it."""
+    return once(F.trim(text), lambda bare: F.when(~_hopeless(bare) & _fixed(bare).isNull(), bare))
+
+
+def _formatted(text: Column, known: Column | None) -> Column:
     bare = F.trim(text)
-    hopeless = (bare == "") | bare.rlike(r"^(17|18|19|20)\d{2}$")
-    if not free_form:
-        return F.coalesce(fixed, F.when(~hopeless & bare.rlike(_ISO), F.date_format(bare.try_cast("date"), "yyyy-MM-dd")), F.lit(INVALID))
-    rest = F.when(fixed.isNull() & ~hopeless, bare)
-    return F.coalesce(fixed, _free_form(rest), F.lit(INVALID))
+    iso = F.when(bare.rlike(_ISO), F.date_format(bare.try_cast("date"), "yyyy-MM-dd"))
+    rest = iso if known is None else F.try_element_at(known, bare)
+    return F.coalesce(_fixed(text), F.when(~_hopeless(bare), rest), F.lit(INVALID))
 
 
 def without_footnotes(text: Column) -> Column:
@@ -120,23 +152,36 @@ def _halves(text: Column) -> Column:
     return once(first, cut)
 
 
-def _side(part: Column, free_form: bool) -> Column:
+def _bare_side(part: Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(part), r"(?i)^in office ", ""))
+
+
+def _side(part: Column, free_form: bool, known: Column | None) -> Column:
     def judged(part: Column) -> Column:
         bare = F.trim(F.regexp_replace(part, r"(?U)\s*\[\s*\w+\s*\]\s*$", ""))
-        return F.when(F.lower(bare).isin(*SPECIAL_ENDS), bare).otherwise(format_date(part, free_form))
+        return F.when(F.lower(bare).isin(*SPECIAL_ENDS), bare).otherwise(format_date(part, free_form, known))
+
+    return judged(_bare_side(part)) if free_form else once(_bare_side(part), judged)
+
+
+def loose_ranges(value: Column) -> Column:
+    """The texts that date_range leaves to the free-form parser."""
+    return once(once(_cleaned(value), _halves), lambda h: F.when(h.isNotNull(), F.array(_loose(_bare_side(F.get(h, 0))), _loose(_bare_side(F.get(h, 2))))).otherwise(F.array().cast("array<string>")))
+
 
-    part = F.trim(F.regexp_replace(F.trim(part), r"(?i)^in office ", ""))
-    return judged(part) if free_form else once(part, judged)
+def loose_singles(value: Column) -> Column:
+    """The texts that single_date leaves to the free-form parser."""
+    return F.array(_loose(_cleaned(value)))
 
 
-def date_range(value: Column, free_form: bool = False) -> Column:
+def date_range(value: Column, free_form: bool = False, known: Column | None = None) -> Column:
     """struct(start, end) of a text such as 'May 1, 1990 – present'; special ends as written.
 
     With free_form the parts stand more than once in the plan, as a Python function cannot see a lambda's variable.
     """
 
     def sides(halves: Column) -> Column:
-        side = lambda k: F.when(halves.isNull(), INVALID).otherwise(_side(F.get(halves, k), free_form))
+        side = lambda k: F.when(halves.isNull(), INVALID).otherwise(_side(F.get(halves, k), free_form, known))
         return F.struct(side(0).alias("start"), side(2).alias("end"))
 
     if free_form:
@@ -144,11 +189,11 @@ def date_range(value: Column, free_form: bool = False) -> Column:
     return once(once(_cleaned(value), _halves), sides)
 
 
-def single_date(value: Column, free_form: bool = False) -> Column:
+def single_date(value: Column, free_form: bool = False, known: Column | None = None) -> Column:
     """One date of a text, or a special word as written."""
 
     def judged(text: Column) -> Column:
-        return F.when(F.lower(F.trim(text)).isin(*SPECIAL_ENDS), text).otherwise(format_date(text, free_form))
+        return F.when(F.lower(F.trim(text)).isin(*SPECIAL_ENDS), text).otherwise(format_date(text, free_form, known))
 
     return judged(_cleaned(value)) if free_form else once(_cleaned(value), judged)
 

@@ -109,13 +109,32 @@ def _or_sort_value(parsed: Column, c: Column, last: bool) -> Column:
     return F.when(parsed == dates.INVALID, F.coalesce(sort_value_date(c, last), parsed)).otherwise(parsed)
 
 
-def recovered_range(skip: Column) -> Column:
+def _may_be_range(c: Column) -> Column:
+    return c["text_sp"].rlike("–| - | to ")
+
+
+def recovered_range(skip: Column, known: Column | None = None) -> Column:
     """A date range in any other cell that holds a range delimiter."""
-    tried = F.transform("cells", lambda c, i: F.when((i != skip) & c["text_sp"].rlike("–| - | to "), dates.date_range(c["text_sp"])))
+    tried = F.transform("cells", lambda c, i: F.when((i != skip) & _may_be_range(c), dates.date_range(c["text_sp"], known=known)))
     return F.get(F.filter(tried, lambda r: r.isNotNull() & (r["start"] != dates.INVALID)), 0)
 
 
-def term_dates(start: Column, end: Column, years_only: bool, merged: bool) -> Column:
+def loose_texts(start: Column, end: Column, short: Column, config: Config) -> Column:
+    """The date texts of a row that the fixed forms do not settle."""
+    if config.years_only:
+        return F.array().cast("array<string>")
+    if config.term_dates_merged:
+        full = F.flatten(F.transform(F.filter("cells", lambda c, i: (i == start) | _may_be_range(c)), lambda c: dates.loose_ranges(c["text_sp"])))
+    else:
+        full = F.concat(dates.loose_singles(cell(start)["text_sp"]), dates.loose_singles(cell(end)["text_sp"]))
+    if not config.parse_rowspan:
+        return full
+    ranges = F.flatten(F.transform("cells", lambda c: dates.loose_ranges(c["text_sp"])))
+    singles = F.flatten(F.transform(F.slice("cells", 1, 2), lambda c: dates.loose_singles(c["text_sp"])))
+    return F.when(short, F.concat(ranges, singles)).otherwise(full)
+
+
+def term_dates(start: Column, end: Column, years_only: bool, merged: bool, known: Column | None = None) -> Column:
     """struct(term_start, term_end, term_start_year, term_end_year) by the config's mode."""
     a, b = cell(start), cell(end)
     no_text, no_year = F.lit(None).cast("string"), F.lit(None).cast("int")
@@ -123,10 +142,10 @@ def term_dates(start: Column, end: Column, years_only: bool, merged: bool) -> Co
         years = dates.year_range(a["text_sp"]) if merged else F.struct(dates.year_range(a["text_sp"])["start"].alias("start"), dates.year_range(b["text_sp"])["end"].alias("end"))
         return F.struct(no_text.alias("term_start"), no_text.alias("term_end"), years["start"].alias("term_start_year"), years["end"].alias("term_end_year"))
     if merged:
-        own = once(dates.date_range(a["text_sp"]), lambda own: F.when(own["start"] == dates.INVALID, F.coalesce(recovered_range(start), own)).otherwise(own))
+        own = once(dates.date_range(a["text_sp"], known=known), lambda own: F.when(own["start"] == dates.INVALID, F.coalesce(recovered_range(start, known), own)).otherwise(own))
         c = a
     else:
-        own, c = F.struct(dates.single_date(a["text_sp"]).alias("start"), dates.single_date(b["text_sp"]).alias("end")), b
+        own, c = F.struct(dates.single_date(a["text_sp"], known=known).alias("start"), dates.single_date(b["text_sp"], known=known).alias("end")), b
 
     def dated(own: Column) -> Column:
         first, last = _or_sort_value(own["start"], a, False), _or_sort_value(own["end"], c, True)
@@ -175,11 +194,15 @@ def extract(rows: DataFrame, config: Config, *keys: str, excluded_links: Column
         ).filter("NOT short OR link IS NOT NULL")
     else:
         linked = linked.withColumn("link", F.col("own_link")).withColumn("kept_district", F.col("own_district"))
-    full = term_dates(F.col("term_start_column"), F.col("term_end_column"), config.years_only, config.term_dates_merged)
-    if config.parse_rowspan:
+
+    def dated(known: Column) -> Column:
+        full = term_dates(F.col("term_start_column"), F.col("term_end_column"), config.years_only, config.term_dates_merged, known)
+        if not config.parse_rowspan:
+            return full
         # a short row: the first cell with a range, else the first two cells
-        ranges = F.filter(F.transform("cells", lambda c: dates.date_range(c["text_sp"])), lambda r: r["start"] != dates.INVALID)
-        probe = F.coalesce(F.get(ranges, 0), F.struct(dates.single_date(cell(F.lit(0))["text_sp"]).alias("start"), dates.single_date(cell(F.lit(1))["text_sp"]).alias("end")))
+        ranges = F.filter(F.transform("cells", lambda c: dates.date_range(c["text_sp"], known=known)), lambda r: r["start"] != dates.INVALID)
+        single = lambda k: dates.single_date(cell(F.lit(k))["text_sp"], known=known)
+        probe = F.coalesce(F.get(ranges, 0), F.struct(single(0).alias("start"), single(1).alias("end")))
         years = F.filter(F.transform("cells", lambda c: dates.year_range(c["text_sp"])), lambda r: r["start"].isNotNull())
         text = F.lit(config.years_only)
         no = lambda kind: F.lit(None).cast(kind)
@@ -189,9 +212,11 @@ def extract(rows: DataFrame, config: Config, *keys: str, excluded_links: Column
             F.when(text, F.get(years, 0)["start"]).otherwise(no("int")).alias("term_start_year"),
             F.when(text, F.get(years, 0)["end"]).otherwise(no("int")).alias("term_end_year"),
         )
-        full = F.when(F.col("short"), brief).otherwise(full)
+        return F.when(F.col("short"), brief).otherwise(full)
+
+    loose = loose_texts(F.col("term_start_column"), F.col("term_end_column"), F.col("short"), config)
     link_cell = cell(F.col("link_column"))
-    out = linked.withColumn("dates", full).select(
+    out = dates.free_forms(linked, loose).withColumn("dates", dated(F.col("known"))).select(
         *keys,
         "table_no",
         "row_index",

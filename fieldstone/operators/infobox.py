@@ -41,7 +41,7 @@ def role_matches(text: Column, includes: list[str], excludes: list[str]) -> Colu
     return ok if includes or excludes else F.lit(True)
 
 
-def biography(page: Column, url: Column, free_form: bool = False) -> Column:
+def biography(page: Column, url: Column, free_form: bool = True) -> Column:
     """struct(full_name, name, birth_date, death_date, page_path): the infobox, else the first paragraph, else null."""
 
     def row(label: str) -> Column:
@@ -87,7 +87,7 @@ def slug_variants(path: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(forms, lambda x: x.isNotNull() & (x != "")), lambda x: F.lower(x)))
 
 
-def infobox_terms(pages: DataFrame, offices: DataFrame, *keys: str, role: str | None = None, free_form: bool = False) -> DataFrame:
+def infobox_terms(pages: DataFrame, offices: DataFrame, *keys: str, role: str | None = None, free_form: bool = True) -> DataFrame:
     """Terms of the office of a person (keys, page, office_path) from the infobox rows that link to it.
 
     The dates stand in one of the next two rows: a range, or one date (the end is then 'present').  Persons without
@@ -102,16 +102,19 @@ def infobox_terms(pages: DataFrame, offices: DataFrame, *keys: str, role: str |
     linked = linked.withColumn("wanted", F.explode(F.array_distinct(F.array(F.col("path"), F.substring_index("path", "/", -1)))))
     met = linked.join(wanted, [*keys, "wanted"]).filter(role_matches(F.col("r.text"), includes, excludes)).dropDuplicates([*keys, "pos"])
 
-    def dated(text: Column) -> Column:
+    alone = lambda text: F.regexp_replace(text, r"(?i)^\s*assumed office\s*", "")
+
+    def dated(text: Column, known: Column | None) -> Column:
         bad = lambda c: F.lower(c).isin("assumed office", "incumbent", "invalid date")
-        alone = dates.single_date(F.regexp_replace(text, r"(?i)^\s*assumed office\s*", ""), free_form)
 
         def judged(d: Column) -> Column:
             span = d["span"]
             return F.when(~bad(span["start"]) & ~bad(span["end"]), span).when(~bad(d["alone"]), F.struct(d["alone"].alias("start"), F.lit("present").alias("end")))
 
-        both = F.struct(dates.date_range(text, free_form).alias("span"), alone.alias("alone"))
-        return judged(both) if free_form else once(both, judged)
+        return once(F.struct(dates.date_range(text, known=known).alias("span"), dates.single_date(alone(text), known=known).alias("alone")), judged)
 
-    found = met.withColumn("d", F.coalesce(dated(F.col("next1")), dated(F.col("next2")))).filter("d IS NOT NULL")
+    either = lambda known: F.coalesce(dated(F.col("next1"), known), dated(F.col("next2"), known))
+    loose = F.flatten(F.transform(F.array("next1", "next2"), lambda text: F.concat(dates.loose_ranges(text), dates.loose_singles(alone(text)))))
+    dated_rows = dates.free_forms(met, loose).withColumn("d", either(F.col("known"))) if free_form else met.withColumn("d", either(None))
+    found = dated_rows.filter("d IS NOT NULL")
     return found.select(*keys, "pos", F.col("d.start").alias("term_start"), F.col("d.end").alias("term_end"))

@@ -79,6 +79,24 @@ def html_terms(t):
     return _out(ex.extract(html.table_rows(_terms_page(t), "g"), config, "g"))
 
 
+_FREE_FORMS = ("d MMM yyyy", "MM/dd/yyyy", "MMMM yyyy", "EEEE, d MMM yyyy")
+
+
+@query(
+    "H12 H13 F2",
+    """SELECT o_custkey % 50 AS g, 'https://en.wikipedia.org/wiki/P_' || o_orderkey AS wiki_link,
+       CASE WHEN o_orderkey % 4 = 2 THEN strftime(o_orderdate, '%Y-%m-01') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS term_start,
+       strftime(o_orderdate + INTERVAL 365 DAY, '%Y-%m-%d') AS term_end FROM orders""",
+)
+def html_terms_free_form(t):
+    o, k = t("orders").withColumn("g", F.col("o_custkey") % 50), F.col("o_orderkey")
+    start = F.coalesce(*[F.when(k % 4 == i, F.date_format(_day(), form)) for i, form in enumerate(_FREE_FORMS)])
+    person = F.concat(F.lit("<a href='/wiki/P_"), k.cast("string"), F.lit("'>P</a>"))
+    row = F.concat(F.lit("<tr>"), _td(person, start, F.date_format(F.date_add(_day(), 365), "d MMM yyyy")), F.lit("</tr>"))
+    rows = html.table_rows(_html(o, "g", header="<th>a<th>b<th>c", row=row, order="o_orderkey"), "g")
+    return ex.extract(rows, ex.Config(table_no=2, table_rows=3), "g").select("g", "wiki_link", "term_start", "term_end")
+
+
 @query("H11 Q18", _TERMS)
 def html_terms_right_to_left(t):
     config = ex.Config(table_no=2, table_rows=4, district_column=0, link_column=1, term_start_column=2, term_end_column=3, read_right_to_left=True)

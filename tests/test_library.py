@@ -108,6 +108,36 @@ def test_tables(spark):
     assert [t["wiki_link"] for t in terms][2] == "No link"
 
 
+FREE = {"5 Sep 2010": "2010-09-05", "Sept 5, 2010": "2010-09-05", "March 1990": "1990-03-01", "01/02/1990": "1990-01-02", "spring": "Invalid date"}
+
+
+@pytest.mark.parametrize("kind", ["single", "merged", "recovered", "short"])
+def test_free_form_dates_in_tables(spark, kind):
+    person = "<td><a href='/wiki/Ann'>Ann</a>"
+    row = {
+        "single": "<tr>{p}<td>{d}<td>{d}",
+        "merged": "<tr>{p}<td>{d} – {d}",
+        "recovered": "<tr>{p}<td>see<td>{d} – {d}",
+        "short": "<tr>{p}<td>May 1, 1980<td>May 2, 1980<tr><td>{d} – {d}<td>note",
+    }[kind]
+    pages = spark.createDataFrame([(d, f"<table><tr><th>a{row.format(p=person, d=d)}</table>") for d in FREE], "d string, html string")
+    config = extract.Config(table_rows=2, term_end_column=2 if kind in ("single", "short") else 1, term_dates_merged=kind in ("merged", "recovered"), parse_rowspan=kind == "short")
+    last = extract.extract(html.table_rows(pages, "d"), config, "d").filter("row_index = 2" if kind == "short" else "row_index = 1")
+    assert {r["d"]: (r["term_start"], r["term_end"]) for r in last.collect() if r["d"] != "spring"} == {d: (v, v) for d, v in FREE.items() if d != "spring"}
+    assert [r["term_start"] for r in last.filter("d = 'spring'").collect()] == ["Invalid date"]
+
+
+def test_free_form_dates_on_person_pages(spark):
+    box = "<table class='infobox vcard'><tr><td><a href='/wiki/Mayor_of_X'>Mayor</a></td></tr><tr><td>{d} – {d}</td></tr><tr><th>Born</th><td>{d}</td></tr></table>"
+    dated = [d for d in FREE if d != "spring"]
+    rows = spark.createDataFrame([(d, box.format(d=d)) for d in dated], "k string, html string")
+    people = rows.select("k", html.html_page(F.col("html")).alias("page"))
+    born = people.select("k", infobox.biography(F.col("page"), F.lit("https://x/wiki/Ann"))["birth_date"].alias("b"))
+    assert {r["k"]: r["b"] for r in born.collect()} == {d: FREE[d] for d in dated}
+    terms = infobox.infobox_terms(people, people.select("k", F.lit("/wiki/Mayor_of_X").alias("office_path")), "k")
+    assert {r["k"]: (r["term_start"], r["term_end"]) for r in terms.collect()} == {d: (FREE[d], FREE[d]) for d in dated}
+
+
 def test_islands_against_a_loop(spark):
     rng = random.Random(1)
     rows = []

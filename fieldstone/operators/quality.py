@@ -70,8 +70,8 @@ def notable(sources: DataFrame, people: DataFrame, key: str) -> DataFrame:
     kind = F.lower(F.coalesce("source_type", F.lit(""))).isin("government", "academic")
     counts = sources.groupBy(key).agg(F.count_if(independent).alias("n_sources"), F.coalesce(F.max(independent & kind), F.lit(False)).alias("official"))
     dated = F.trim(F.coalesce("term_dates", F.lit(""))) != ""
-    joined = people.join(counts, key, "left")
-    return joined.withColumn("is_notable", dated & (F.coalesce("n_sources", F.lit(0)) >= 2) & F.coalesce("official", F.lit(False))).drop("official")
+    joined = people.join(counts, key, "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
+    return joined.withColumn("is_notable", dated & (F.col("n_sources") >= 2) & F.coalesce("official", F.lit(False))).drop("official")
 
 
 def living(people: DataFrame, terms: DataFrame, key: str, as_of_year: Column, years: int = 80) -> DataFrame:

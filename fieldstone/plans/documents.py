@@ -123,7 +123,19 @@ def html_terms_merged(t):
        strftime(o_orderdate + INTERVAL 100 DAY, '%Y-%m-%d') AS term_end, '7th' AS district FROM orders WHERE o_custkey % 5 = 0""",
 )
 def html_rowspan(t):
-    o = t("orders").filter("o_custkey % 5 = 0")
+    return _rowspan(t("orders").filter("o_custkey % 5 = 0"))
+
+
+@query(
+    "H14 H16 W2 H5",
+    """SELECT o_custkey AS g, 'https://en.wikipedia.org/wiki/P_' || min(o_orderkey) OVER (PARTITION BY o_custkey) AS wiki_link, strftime(o_orderdate, '%Y-%m-%d') AS term_start,
+       strftime(o_orderdate + INTERVAL 100 DAY, '%Y-%m-%d') AS term_end, '7th' AS district FROM orders""",
+)
+def html_rowspan_whole(t):
+    return _rowspan(t("orders"))
+
+
+def _rowspan(o):
     first = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("lead_key"))
     o = o.join(first, "o_custkey").withColumn("g", F.col("o_custkey"))
     a, b = F.date_format(_day(), "MMMM d, yyyy"), F.date_format(F.date_add(_day(), 100), "MMMM d, yyyy")
@@ -139,7 +151,15 @@ def html_rowspan(t):
 
 @query("H18", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS term_start FROM orders WHERE o_orderkey % 10 = 0")
 def html_sort_values(t):
-    o = t("orders").filter("o_orderkey % 10 = 0")
+    return _sort_values(t("orders").filter("o_orderkey % 10 = 0"))
+
+
+@query("H18", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS term_start FROM orders")
+def html_sort_values_whole(t):
+    return _sort_values(t("orders"))
+
+
+def _sort_values(o):
     row = F.concat(F.lit("<tr>"), _td(F.concat(F.lit("<a href='/wiki/P'>P</a>")), F.concat(F.lit("<span data-sort-value='000"), F.date_format(_day(), "yyyy-MM-dd"), F.lit("-0000'>spring</span>")), "present"), F.lit("</tr>"))
     pages = _html(o, "o_orderkey", header="<th>a", row=F.regexp_replace(row, "'000", "'"), order="o_custkey")
     rows = ex.extract(html.table_rows(pages, "o_orderkey"), ex.Config(table_no=2, table_rows=3), "o_orderkey")
@@ -179,7 +199,20 @@ _FIRST = "(SELECT c_custkey, any_value(c_name) AS c_name, any_value(c_nationkey)
     f"SELECT c_custkey, c_name AS full_name, strftime(d, '%Y-%m-%d') AS birth_date, NULL::VARCHAR AS death_date, 'P_' || c_custkey AS page_path FROM {_FIRST} WHERE c_custkey % 2 = 0",
 )
 def biographies(t):
-    people = _people(t).filter("c_custkey % 2 = 0").withColumn("b", infobox.biography(F.col("page"), F.col("url")))
+    return _biographies(_people(t).filter("c_custkey % 2 = 0"))
+
+
+@query(
+    "H22 H23 H24",
+    f"""SELECT c_custkey, c_name AS full_name, strftime(d, '%Y-%m-%d') AS birth_date,
+        CASE WHEN c_custkey % 2 = 1 THEN strftime(d + INTERVAL 90 DAY, '%Y-%m-%d') END AS death_date, 'P_' || c_custkey AS page_path FROM {_FIRST}""",
+)
+def biographies_whole(t):
+    return _biographies(_people(t))
+
+
+def _biographies(people):
+    people = people.withColumn("b", infobox.biography(F.col("page"), F.col("url")))
     return people.select("c_custkey", "b.full_name", "b.birth_date", "b.death_date", "b.page_path")
 
 

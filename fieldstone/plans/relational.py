@@ -70,7 +70,20 @@ def search_two_columns(t):
        HAVING (max(o_orderdate) IS NULL OR max(o_orderdate) < TIMESTAMP '1998-06-01' - INTERVAL 30 DAY) AND c_custkey % 30 = 7""",
 )
 def cooldown_batch(t):
-    last = t("orders").filter("o_orderkey % 10 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("checked"))
+    return _cooldown(t, t("orders").filter("o_orderkey % 10 = 0"))
+
+
+@query(
+    "P8 P9 P11 T2",
+    """SELECT c_custkey, max(o_orderdate) AS checked FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
+       HAVING (max(o_orderdate) IS NULL OR max(o_orderdate) < TIMESTAMP '1998-06-01' - INTERVAL 30 DAY) AND c_custkey % 30 = 7""",
+)
+def cooldown_batch_whole(t):
+    return _cooldown(t, t("orders"))
+
+
+def _cooldown(t, orders):
+    last = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("checked"))
     rows = lookup.batch(t("customer"), "c_custkey", 30, 7).join(last, "c_custkey", "left")
     return lookup.stale(rows, "checked", F.lit(_AS_OF).cast("timestamp_ntz"), 30).select("c_custkey", "checked")
 
@@ -481,11 +494,25 @@ def failure_groups(t):
        FROM supplier JOIN (SELECT * FROM lineitem WHERE l_orderkey % 40 = 0) ON l_suppkey = s_suppkey GROUP BY s_suppkey""",
 )
 def notability(t):
+    sources = t("lineitem").filter("l_orderkey % 40 = 0")
+    return _notability(sources, t("supplier").join(sources.select(F.col("l_suppkey").alias("s_suppkey")).distinct(), "s_suppkey"))
+
+
+@query(
+    "A16",
+    """SELECT s_suppkey, count(*) FILTER (WHERE l_linenumber % 3 > 0) AS n_sources, s_suppkey % 4 <> 0 AND count(*) FILTER (WHERE l_linenumber % 3 > 0) >= 2 AND coalesce(bool_or(l_linenumber % 3 > 0 AND l_returnflag = 'R'), false) AS is_notable
+       FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey""",
+)
+def notability_whole(t):
+    return _notability(t("lineitem"), t("supplier"))
+
+
+def _notability(lines, suppliers):
     n = F.col("l_linenumber")
-    sources = t("lineitem").filter("l_orderkey % 40 = 0").select(
+    sources = lines.select(
         F.col("l_suppkey").alias("s_suppkey"), F.when(n % 3 == 0, "https://en.wikipedia.org/wiki/x").otherwise("https://court.gov/x").alias("source_url"), F.when(F.col("l_returnflag") == "R", "Government").otherwise("news").alias("source_type")
     )
-    people = t("supplier").join(sources.select("s_suppkey").distinct(), "s_suppkey").select("s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, "1999").otherwise(" ").alias("term_dates"))
+    people = suppliers.select("s_suppkey", F.when(F.col("s_suppkey") % 4 != 0, "1999").otherwise(" ").alias("term_dates"))
     return quality.notable(sources, people, "s_suppkey").select("s_suppkey", "n_sources", "is_notable")
 
 

@@ -182,6 +182,13 @@ def test_votes(spark):
     assert got == {1: ("valid", ["c"]), 2: ("invalid", ["c"]), 3: ("disagreement", ["c"]), 4: ("insufficient_quorum", ["c"])}
 
 
+def test_notable_without_sources(spark):
+    sources = spark.createDataFrame([(1, "https://court.gov/a", "Government"), (1, "https://court.gov/b", "news")], "k int, source_url string, source_type string")
+    people = spark.createDataFrame([(1, "1999"), (2, "1999")], "k int, term_dates string")
+    got = quality.notable(sources, people, "k").select("k", "n_sources", "is_notable")
+    assert sorted(map(tuple, got.collect())) == [(1, 2, True), (2, 0, False)]
+
+
 def test_upsert_twice_is_once(spark):
     stored = spark.createDataFrame([(1, None, "a"), (2, 5, "b")], "k int, y int, v string")
     new = spark.createDataFrame([(1, None, "A"), (3, 1, "c")], "k int, y int, v string")

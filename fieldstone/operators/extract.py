@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, rules, urls
 from ..functions.common import once
+from . import infobox
 
 NO_PARTY, NO_DISTRICT = "No party", "No district"
 
@@ -37,6 +38,7 @@ class Config:
     years_only: bool = False
     term_dates_merged: bool = False
     ignore_non_links: bool = False
+    find_date_in_infobox: bool = False
 
     COLUMNS = ("link_column", "party_column", "term_start_column", "term_end_column", "district_column")
 
@@ -154,11 +156,39 @@ def term_dates(start: Column, end: Column, years_only: bool, merged: bool, known
     return once(own, dated)
 
 
-def extract(rows: DataFrame, config: Config, *keys: str, excluded_links: Column | None = None) -> DataFrame:
+def table_years(start: Column, end: Column) -> Column:
+    """struct(start, end): the years in a row's date cells; a cell of its own for the end decides it alone."""
+    first, last = dates.year_range(cell(start)["text_sp"]), dates.year_range(cell(end)["text_sp"])
+    own_end = (start != end) & cell(end).isNotNull()
+    return F.struct(first["start"].alias("start"), F.when(own_end, F.coalesce(last["end"], last["start"])).otherwise(first["end"]).alias("end"))
+
+
+def infobox_dates(terms: DataFrame, people: DataFrame, offices: DataFrame, *keys: str, role: str | None = None) -> DataFrame:
+    """The terms with the dates of their holders' infoboxes, one row for each term found there.
+
+    terms: with `table_years`, which stand alone if the infobox gives no date; rows without a link keep their dates.
+    people: (wiki_link, page); offices: keys and office_path.
+    """
+    pairs = terms.filter(F.col("wiki_link") != urls.NO_LINK).select(*keys, "wiki_link").distinct()
+    boxes = infobox.infobox_terms(pairs.join(people, "wiki_link", "left"), pairs.join(offices, [*keys]), *keys, "wiki_link", role=role)
+    boxes = boxes.select(*keys, "wiki_link", F.col("term_start").alias("box_start"), F.col("term_end").alias("box_end"))
+    joined = terms.join(boxes, [*keys, "wiki_link"], "left")
+    linked, none = F.col("box_start").isNotNull(), F.coalesce(F.col("box_start") == infobox.PLACEHOLDER, F.lit(False))
+    chosen = {}
+    for side in ("start", "end"):
+        chosen[f"term_{side}"] = F.when(linked, F.when(~none, F.col(f"box_{side}"))).otherwise(F.col(f"term_{side}"))
+        chosen[f"term_{side}_year"] = F.when(linked, F.when(none, F.col("table_years")[side])).otherwise(F.col(f"term_{side}_year"))
+    return joined.withColumns(chosen).select(*[c for c in terms.columns if c != "table_years"])
+
+
+def extract(
+    rows: DataFrame, config: Config, *keys: str, excluded_links: Column | None = None, people: DataFrame | None = None, offices: DataFrame | None = None, role: str | None = None
+) -> DataFrame:
     """Term rows of the tables in `rows` (keys, table_no, row_index, cells) under one config.
 
     Returns the keys, table_no, row_index, wiki_link ('No link' if none), name_from_table, party_text, district,
-    term_start, term_end, term_start_year, term_end_year, dead_link; rows that the config drops are left out.
+    term_start, term_end, term_start_year, term_end_year, dead_link; rows that the config drops are left out.  With find_date_in_infobox, people and offices
+    are those of infobox_dates.
     """
     n, excluded = F.size("cells"), F.array().cast("array<string>") if excluded_links is None else excluded_links
     data = rows.filter((F.col("table_no") == config.table_no) & (F.col("row_index") > 0)).filter(passes_filter(config.filter_column, config.filter_criteria))
@@ -180,7 +210,7 @@ def extract(rows: DataFrame, config: Config, *keys: str, excluded_links: Column
             }
         )
     least = F.lit(2) if config.parse_rowspan else F.lit(config.table_rows)
-    bound = bound.filter((n >= least) & (F.col("short") | (n > F.col("term_end_column"))))
+    bound = bound.filter((n >= least) & (F.col("short") | (n > F.col("term_end_column")) | F.lit(config.find_date_in_infobox)))
     own = holder_link(F.col("link_column"), excluded, F.col("term_start_column"))
     linked = bound.withColumn("own_link", F.when(~F.col("short"), own))
     linked = linked.withColumn("own_district", F.when(~F.col("short"), rules.district(cell(F.col("district_column"))["text"])))
@@ -215,6 +245,7 @@ def extract(rows: DataFrame, config: Config, *keys: str, excluded_links: Column
         return F.when(F.col("short"), brief).otherwise(full)
 
     loose = loose_texts(F.col("term_start_column"), F.col("term_end_column"), F.col("short"), config)
+    in_infobox = config.find_date_in_infobox and not config.years_only
     link_cell = cell(F.col("link_column"))
     out = dates.free_forms(linked, loose).withColumn("dates", dated(F.col("known"))).select(
         *keys,
@@ -226,7 +257,12 @@ def extract(rows: DataFrame, config: Config, *keys: str, excluded_links: Column
         F.coalesce("kept_district", F.lit(NO_DISTRICT)).alias("district"),
         "dates.*",
         urls.is_dead(F.col("link")).alias("dead_link"),
+        *([table_years(F.col("term_start_column"), F.col("term_end_column")).alias("table_years")] if in_infobox else []),
     )
+    if in_infobox:
+        if people is None or offices is None:
+            raise ValueError("find_date_in_infobox needs people and offices")
+        out = infobox_dates(out, people, offices, *keys, role=role)
     return out.filter(urls.is_person_link(F.col("wiki_link"))) if config.ignore_non_links else out
 
 

@@ -11,6 +11,10 @@ from ..functions import dates, urls
 from ..functions.common import once
 
 
+#: Both dates of the one term of a person whose infobox gives none.
+PLACEHOLDER = "YYYY-00-00"
+
+
 def role_query(raw: str | None) -> tuple[list[str], list[str]]:
     """Includes and excludes of a query such as `"judge" -"chief judge"`; unbalanced or empty parts are errors."""
     text = (raw or "").strip()
@@ -90,8 +94,8 @@ def slug_variants(path: Column) -> Column:
 def infobox_terms(pages: DataFrame, offices: DataFrame, *keys: str, role: str | None = None, free_form: bool = True) -> DataFrame:
     """Terms of the office of a person (keys, page, office_path) from the infobox rows that link to it.
 
-    The dates stand in one of the next two rows: a range, or one date (the end is then 'present').  Persons without
-    such a row are left out.
+    The dates stand in one of the next two rows: a range, or one date (the end is then 'present').  A person without
+    an infobox, a row that matches or a date gets one term of the placeholder, with a null `pos`.
     """
     includes, excludes = role_query(role)
     rows = pages.select(*keys, F.posexplode("page.rows").alias("pos", "r"))
@@ -117,4 +121,6 @@ def infobox_terms(pages: DataFrame, offices: DataFrame, *keys: str, role: str |
     loose = F.flatten(F.transform(F.array("next1", "next2"), lambda text: F.concat(dates.loose_ranges(text), dates.loose_singles(alone(text)))))
     dated_rows = dates.free_forms(met, loose).withColumn("d", either(F.col("known"))) if free_form else met.withColumn("d", either(None))
     found = dated_rows.filter("d IS NOT NULL")
-    return found.select(*keys, "pos", F.col("d.start").alias("term_start"), F.col("d.end").alias("term_end"))
+    terms = found.select(*keys, "pos", F.col("d.start").alias("term_start"), F.col("d.end").alias("term_end"))
+    no_date = lambda c: F.coalesce(c, F.lit(PLACEHOLDER)).alias(c)
+    return pages.select(*keys).distinct().join(terms, [*keys], "left").select(*keys, "pos", no_date("term_start"), no_date("term_end"))

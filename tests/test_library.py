@@ -138,6 +138,27 @@ def test_free_form_dates_on_person_pages(spark):
     assert {r["k"]: (r["term_start"], r["term_end"]) for r in terms.collect()} == {d: (FREE[d], FREE[d]) for d in dated}
 
 
+def test_infobox_placeholder(spark):
+    box = "<table class='infobox vcard'><tr><td><a href='/wiki/{o}'>Mayor</a></td></tr><tr><td>{d}</td></tr></table>"
+    texts = {1: box.format(o="Mayor_of_X", d="May 1, 1990 – May 2, 1991"), 2: box.format(o="Judge", d="May 1, 1990"), 3: "<p>none</p>", 4: box.format(o="Mayor_of_X", d="long ago"), 5: None}
+    people = spark.createDataFrame(list(texts.items()), "k int, html string").select("k", html.html_page(F.col("html")).alias("page"))
+    terms = infobox.infobox_terms(people, people.select("k", F.lit("/wiki/Mayor_of_X").alias("office_path")), "k")
+    got = {r["k"]: (r["term_start"], r["term_end"]) for r in terms.collect()}
+    assert got == {1: ("1990-05-01", "1991-05-02")} | {k: ("YYYY-00-00", "YYYY-00-00") for k in (2, 3, 4, 5)}
+
+
+def test_find_date_in_infobox(spark):
+    box = "<table class='infobox vcard'><tr><td><a href='/wiki/Mayor_of_X'>Mayor</a></td></tr><tr><td>May 1, 1990 – May 2, 1991</td></tr></table>"
+    table = "<table><tr><th>a<tr><td><a href='/wiki/Ann'>Ann</a><td>1990<td>1991<tr><td><a href='/wiki/Bob'>Bob</a><td>1992<td>1993<tr><td>Cy<td>May 3, 1994<td>present</table>"
+    rows = html.table_rows(spark.createDataFrame([(1, table)], "id int, html string"), "id")
+    people = spark.createDataFrame([("https://en.wikipedia.org/wiki/Ann", box), ("https://en.wikipedia.org/wiki/Bob", "<p>x")], "wiki_link string, html string")
+    people = people.select("wiki_link", html.html_page(F.col("html")).alias("page"))
+    offices = spark.createDataFrame([(1, "/wiki/Mayor_of_X")], "id int, office_path string")
+    out = extract.extract(rows, extract.Config(table_rows=3, find_date_in_infobox=True), "id", people=people, offices=offices)
+    got = [tuple(r) for r in out.orderBy("row_index").select("name_from_table", "term_start", "term_end", "term_start_year", "term_end_year").collect()]
+    assert got == [("Ann", "1990-05-01", "1991-05-02", None, None), ("Bob", None, None, 1992, 1993), ("Cy", "1994-05-03", "present", None, None)]
+
+
 def test_islands_against_a_loop(spark):
     rng = random.Random(1)
     rows = []

@@ -39,6 +39,7 @@ class Config:
     term_dates_merged: bool = False
     ignore_non_links: bool = False
     find_date_in_infobox: bool = False
+    party_link: bool = False
 
     COLUMNS = ("link_column", "party_column", "term_start_column", "term_end_column", "district_column")
 
@@ -188,7 +189,7 @@ def extract(
 
     Returns the keys, table_no, row_index, wiki_link ('No link' if none), name_from_table, party_text, district,
     term_start, term_end, term_start_year, term_end_year, dead_link; rows that the config drops are left out.  With find_date_in_infobox, people and offices
-    are those of infobox_dates.
+    are those of infobox_dates; with party_link there are also party_links, the addresses in the party's cell.
     """
     n, excluded = F.size("cells"), F.array().cast("array<string>") if excluded_links is None else excluded_links
     data = rows.filter((F.col("table_no") == config.table_no) & (F.col("row_index") > 0)).filter(passes_filter(config.filter_column, config.filter_criteria))
@@ -254,6 +255,7 @@ def extract(
         F.coalesce("link", F.lit(urls.NO_LINK)).alias("wiki_link"),
         F.coalesce(F.get(link_cell["links"], 0)["text"], link_cell["text"]).alias("name_from_table"),
         cell(F.col("party_column"))["text_sp"].alias("party_text"),
+        *([F.transform(cell(F.col("party_column"))["links"], lambda a: a["href"]).alias("party_links")] if config.party_link else []),
         F.coalesce("kept_district", F.lit(NO_DISTRICT)).alias("district"),
         "dates.*",
         urls.is_dead(F.col("link")).alias("dead_link"),
@@ -267,14 +269,23 @@ def extract(
 
 
 def resolve_parties(terms: DataFrame, parties: DataFrame, country: Column, *keys: str) -> DataFrame:
-    """`party`: the first party in the order of names whose name the text contains, else 'No party'.
+    """`party`: the party of the first of party_links (if terms has them) that is a party's link, else the first party in
+    the order of names whose name the text contains, else 'No party'.
 
-    parties: (country, name), a table of names a country; texts are matched once each.
+    parties: (country, name), a table of names a country, and `link` for a match by links; texts and lists of links are matched once each.
     """
     texts = terms.select(country.alias("country"), F.lower("party_text").alias("key")).filter("key IS NOT NULL").distinct()
     met = texts.join(parties, "country").filter(F.contains("key", F.lower("name"))).groupBy("country", "key").agg(F.min("name").alias("party"))
     keyed = terms.withColumn("country", country).withColumn("key", F.lower("party_text"))
-    return keyed.join(met, ["country", "key"], "left").withColumn("party", F.coalesce("party", F.lit(NO_PARTY))).drop("key")
+    out = keyed.join(met, ["country", "key"], "left")
+    if "party_links" in terms.columns:
+        lists = terms.select(country.alias("country"), "party_links").filter(F.size("party_links") > 0).distinct()
+        hrefs = lists.select("country", "party_links", F.posexplode("party_links").alias("at", "href"))
+        full = hrefs.withColumn("link", dates.without_footnotes(F.concat(F.lit(urls.WIKI_BASE), "href")))
+        named = parties.filter("link IS NOT NULL").groupBy("country", "link").agg(F.min("name").alias("name"))
+        by_link = full.join(named, ["country", "link"]).groupBy("country", "party_links").agg(F.min_by("name", "at").alias("by_link"))
+        out = out.join(by_link, ["country", "party_links"], "left").withColumn("party", F.coalesce("by_link", "party")).drop("by_link")
+    return out.withColumn("party", F.coalesce("party", F.lit(NO_PARTY))).drop("key")
 
 
 def check_config(tables: DataFrame, config: Config, *keys: str) -> DataFrame:

@@ -166,6 +166,28 @@ def _sort_values(o):
     return rows.select("o_orderkey", "term_start")
 
 
+@query(
+    "H19",
+    """SELECT o_custkey % 50 AS g, 'https://en.wikipedia.org/wiki/P_' || o_orderkey AS wiki_link,
+       CASE o_orderkey % 4 WHEN 0 THEN 'Red' WHEN 1 THEN 'Blue' WHEN 2 THEN 'Blue' ELSE 'No party' END AS party FROM orders""",
+)
+def party_links(t):
+    o, k = t("orders").withColumn("g", F.col("o_custkey") % 50), F.col("o_orderkey")
+    party = (
+        F.when(k % 4 == 0, "<a href='/wiki/Seat'>a</a> <a href='/wiki/Red_Party'>R</a> <a href='/wiki/Blue_Party'>B</a>")
+        .when(k % 4 == 1, "<a href='/wiki/Blue_Party'>Red</a>")
+        .when(k % 4 == 2, "<a href='/wiki/Other'>Blue</a> (acting)")
+        .otherwise("R")
+    )
+    person = F.concat(F.lit("<a href='/wiki/P_"), k.cast("string"), F.lit("'>P</a>"))
+    row = F.concat(F.lit("<tr>"), _td(person, party, "May 1, 1990", "present"), F.lit("</tr>"))
+    rows = html.table_rows(_html(o, "g", header="<th>a<th>b<th>c<th>d", row=row, order="o_orderkey"), "g")
+    config = ex.Config(table_no=2, table_rows=4, party_column=1, term_start_column=2, term_end_column=3, party_link=True)
+    names = F.explode(F.array(F.lit("Red"), F.lit("Blue"))).alias("name")
+    parties = t("region").filter("r_regionkey = 0").select(F.lit("x").alias("country"), names).withColumn("link", F.concat(F.lit("https://en.wikipedia.org/wiki/"), "name", F.lit("_Party")))
+    return ex.resolve_parties(ex.extract(rows, config, "g"), parties, F.lit("x"), "g").select("g", "wiki_link", "party")
+
+
 @query("H30 Q19", "SELECT r_regionkey AS n_regionkey, 'ok' AS a, 'table not found' AS b, 'column out of range' AS c FROM region")
 def config_check(t):
     tables = _nations(t).select("n_regionkey", html.html_tables(F.col("html")).alias("tables"))

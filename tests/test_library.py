@@ -159,6 +159,16 @@ def test_find_date_in_infobox(spark):
     assert got == [("Ann", "1990-05-01", "1991-05-02", None, None), ("Bob", None, None, 1992, 1993), ("Cy", "1994-05-03", "present", None, None)]
 
 
+def test_party_links(spark):
+    cells = {"Ann": "<a href='/wiki/Democratic_Party'>Dem.</a>", "Bob": "<a href='/wiki/Seat'>x</a><a href='/wiki/Whig_Party'>W</a>", "Cy": "a Whig", "Di": "R"}
+    table = "<table><tr><th>a" + "".join(f"<tr><td><a href='/wiki/{n}'>{n}</a><td>{c}<td>May 1, 1990<td>present" for n, c in cells.items()) + "</table>"
+    config = extract.Config(table_rows=4, party_column=1, term_start_column=2, term_end_column=3, party_link=True)
+    terms = extract.extract(html.table_rows(spark.createDataFrame([(1, table)], "id int, html string"), "id"), config, "id")
+    parties = spark.createDataFrame([("US", f"{p}", f"https://en.wikipedia.org/wiki/{p}_Party") for p in ("Democratic", "Whig")], "country string, name string, link string")
+    got = extract.resolve_parties(terms, parties, F.lit("US"), "id")
+    assert {r["name_from_table"]: r["party"] for r in got.collect()} == {"Ann": "Democratic", "Bob": "Whig", "Cy": "Whig", "Di": "No party"}
+
+
 def test_islands_against_a_loop(spark):
     rng = random.Random(1)
     rows = []

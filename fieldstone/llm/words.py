@@ -8,8 +8,6 @@ are 64-bit polynomial hashes (mod 2**64) passed through a bit mixer.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,10 +128,3 @@ def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.nd
         end = min(n, max(at + 1, end))
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
-
-
-def checkpoints(spark) -> None:
-    """Use the folder that the cluster names for checkpoints; a temporary one only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "fieldstone-checkpoints"))

@@ -21,27 +21,28 @@ def total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def running_before(numbers: Column, chunk: int = 128) -> Column:
-    """For each entry of an array of long the sum of those before it, in two levels of chunks."""
+def most(numbers: Column) -> Column:
+    """The largest of an array of long; 0 for an empty one."""
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: F.greatest(a, x))
+
+
+def running_before(numbers: Column, fold: Callable[[Column], Column], chunk: int = 128) -> Column:
+    """For each entry of an array of long the fold (total or most) of those before it, in two levels of chunks."""
 
     def over(arr: Column) -> Column:
         chunks = F.transform(
             F.sequence(F.lit(0), F.floor((F.size(arr) - 1) / chunk).cast("int")), lambda c: F.slice(arr, c * chunk + 1, chunk)
         )
-        return let(chunks, lambda ch: let(F.transform(ch, total), lambda sums: _shifted(ch, sums)))
+        return let(chunks, lambda ch: let(F.transform(ch, fold), lambda folded: _shifted(ch, folded, fold)))
 
     return F.when(F.size(numbers) == 0, F.array().cast("array<long>")).otherwise(let(numbers, over))
 
 
-def _shifted(chunks: Column, sums: Column) -> Column:
-    return F.flatten(
-        F.transform(
-            chunks,
-            lambda ch, c: let(
-                total(F.slice(sums, F.lit(1), c)), lambda base: F.transform(ch, lambda x, i: base + total(F.slice(ch, F.lit(1), i)))
-            ),
-        )
-    )
+def _shifted(chunks: Column, folded: Column, fold: Callable[[Column], Column]) -> Column:
+    def within(ch: Column, base: Column) -> Column:
+        return F.transform(ch, lambda x, i: fold(F.array(base, fold(F.slice(ch, F.lit(1), i)))))
+
+    return F.flatten(F.transform(chunks, lambda ch, c: let(fold(F.slice(folded, F.lit(1), c)), lambda base: within(ch, base))))
 
 
 def words(text: Column) -> Column:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native import let, running_before
+from .native import let, most, running_before, total
 
 
 @dataclass(frozen=True)
@@ -44,9 +44,38 @@ BASE_RULES = (
 #: Token formats that carry their own marker.
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("github_pat", r"github_pat_[A-Za-z0-9_]{22,}"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("slack_hook", r"https://hooks\.slack\.com/services/[A-Za-z0-9/]{20,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("aws_session", r"ASIA[A-Z0-9]{16,}"),
+    Rule("azure_storage", r"AccountKey=[A-Za-z0-9+/]{86}=="),
+    Rule("google_api", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("google_oauth", r"ya29\.[A-Za-z0-9_-]{20,}"),
+    Rule("stripe", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}"),
+    Rule("pypi", r"pypi-[A-Za-z0-9_-]{60,}"),
+    Rule("model_hub", r"hf_[A-Za-z0-9]{30,}"),
+    Rule("digitalocean", r"do[oprt]_v1_[0-9a-f]{64}"),
+    Rule("shopify", r"shp(?:at|ca|pa|ss)_[0-9A-Fa-f]{32}"),
+    Rule("mailgun", r"key-[0-9a-f]{32}"),
+    Rule("square", r"sq0(?:atp|csp)-[A-Za-z0-9_-]{22,}"),
+    Rule("databricks", r"dapi[0-9a-f]{32}"),
+    Rule("new_relic", r"NRAK-[A-Z0-9]{27}"),
+    Rule("linear", r"lin_api_[A-Za-z0-9]{40}"),
+    Rule("docker", r"dckr_pat_[A-Za-z0-9_-]{27}"),
+    Rule("vault", r"hvs\.[A-Za-z0-9_-]{24,}"),
+    Rule("age", r"AGE-SECRET-KEY-1[0-9A-Z]{58}"),
+    Rule("telegram", r"[0-9]{8,10}:AA[A-Za-z0-9_-]{33}"),
+    # the whole block up to its footer; without one, the lines of base64 that follow the header
+    Rule(
+        "pem",
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+        r"(?:[A-Za-z0-9+/=:,\x20\x09-\x0D]*+(?:-[A-Za-z0-9+/=:,\x20\x09-\x0D]++){0,8}+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+        r"|(?:[\x20\x09-\x0D]{1,8}[A-Za-z0-9+/=]{32,}+){0,400})",
+    ),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -154,35 +183,35 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy("doc_id", "text_key").agg(F.collect_set("kind").alias("kinds"))
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Leftmost non-overlapping matches that are long enough: structs of start, kind's order, end, kind."""
+def _parts(text: Column, rule: Rule, order: int) -> Column:
+    """All matches of a rule, the texts between them and the values whose length counts."""
     pattern = F.lit(rule.pattern)
-
-    def placed(parts: Column) -> Column:
-        lengths = F.transform(parts["match"], lambda m, i: F.length(parts["gap"][i]).cast("long") + F.length(m))
-        return let(running_before(lengths), lambda before: F.transform(parts["match"], lambda m, i: one(parts, before, m, i)))
-
-    def one(parts: Column, before: Column, match: Column, i: Column) -> Column:
-        start = before[i] + F.length(parts["gap"][i])
-        return F.when(
-            F.length(parts["value"][i]) >= rule.min_chars,
-            F.struct(start.alias("start"), F.lit(order).alias("kind_order"), (start + F.length(match)).alias("end"), F.lit(rule.kind).alias("kind")),
-        )
-
-    parts = F.struct(
+    return F.struct(
         F.split(text, rule.pattern, -1).alias("gap"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
+        F.lit(order).alias("kind_order"),
+        F.lit(rule.kind).alias("kind"),
+        F.lit(rule.min_chars).alias("min_chars"),
     )
-    return F.array_compact(let(parts, placed))
 
 
-_NO_SPANS = "array<struct<start:bigint,kind_order:int,end:bigint,kind:string>>"
+def _spans(parts: Column) -> Column:
+    """Leftmost non-overlapping matches that are long enough: structs of start, kind's order, end, kind."""
+
+    def placed(before: Column) -> Column:
+        return F.transform(parts["match"], lambda m, i: one(before[i] + F.length(parts["gap"][i]), m, i))
+
+    def one(start: Column, match: Column, i: Column) -> Column:
+        span = F.struct(start.alias("start"), parts["kind_order"].alias("kind_order"), (start + F.length(match)).alias("end"), parts["kind"].alias("kind"))
+        return F.when(F.length(parts["value"][i]) >= parts["min_chars"], span)
+
+    lengths = F.transform(parts["match"], lambda m, i: F.length(parts["gap"][i]).cast("long") + F.length(m))
+    return F.array_compact(let(running_before(lengths, total), placed))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the carried columns, text and the array `found` of spans (start, kind_order, end, kind), sorted; ends are exclusive code points."""
-    empty = F.array().cast(_NO_SPANS)
     keyed = _keyed(docs, carried)
     indexed = {r.kind for r in rules if trigram_query(r.pattern)}
     if indexed:
@@ -190,14 +219,15 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, carried: tuple[str, .
         keyed = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_key") == F.col("at_key")), "left")
     else:
         keyed = keyed.withColumn("kinds", F.array().cast("array<string>"))
-    arrays = []
+    parts = []
     for order, r in enumerate(rules):
         if r.kind in indexed:
             first = F.array_contains(F.coalesce("kinds", F.array().cast("array<string>")), r.kind)
         else:
             first = F.col("text").rlike(r.pattern)
-        arrays.append(F.when(first, _spans(F.col("text"), r, order)).otherwise(empty))
-    return keyed.select("doc_id", *carried, "text", F.array_sort(F.concat(*arrays)).alias("found"))
+        parts.append(F.when(first, _parts(F.col("text"), r, order)))
+    found = F.flatten(F.transform(F.array_compact(F.array(*parts)), _spans))
+    return keyed.select("doc_id", *carried, "text", F.array_sort(found).alias("found"))
 
 
 def _written(spans: Column) -> Column:
@@ -216,30 +246,47 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
+#: Code points of a text that are cut at a time.
+_CHUNK = 1024
+
+
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end (exclusive) of a text in chunks."""
+    a, b = F.floor(start / _CHUNK).cast("int"), F.floor(end / _CHUNK).cast("int")
+    at, to = (start % _CHUNK).cast("int"), (end % _CHUNK).cast("int")
+    chunk = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+    between = F.array_join(F.slice(chunks, a + 2, b - a - 1), "")
+    apart = F.concat(F.substring(chunk(a), at + 1, F.lit(_CHUNK)), between, F.substring(chunk(b), F.lit(1), to))
+    return F.when(start >= end, "").when(a == b, F.substring(chunk(a), at + 1, to - at)).otherwise(apart)
+
+
 def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span replaced by a mark; overlapping spans share one."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with every span replaced by a mark; overlapping spans share one.
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.when(
-            s["start"] >= acc["at"],
-            F.concat(acc["out"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))),
-        ).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
+    The text is cut in chunks once, and a span costs no more than a few chunks and what lies before it.
+    """
+    ends = F.transform(found, lambda s: s["end"])
+
+    def cut(chunks: Column) -> Column:
+        return let(running_before(ends, most), lambda reached: joined(chunks, reached))
 
-    def joined(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    def joined(chunks: Column, reached: Column) -> Column:
+        pieces = F.transform(
+            found, lambda s, i: F.when(s["start"] >= reached[i], F.concat(_cut(chunks, reached[i], s["start"]), F.lit(mark))).otherwise("")
+        )
+        return F.concat(F.array_join(pieces, ""), _cut(chunks, most(ends), F.length(text).cast("long")))
 
-    return F.when(F.size(found) == 0, text).otherwise(let(F.aggregate(found, start, step), joined))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    return F.when(F.size(found) == 0, text).otherwise(let(chunks, cut))
 
 
 def clean(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs, with all their columns: secrets in text are replaced, and n_chars, if there, follows."""
-    packed = docs.select("doc_id", "text", F.struct("*").alias("whole"))
-    found = scan(packed, rules, ("whole",)).select("whole", redact(F.col("text"), F.col("found")).alias("clean"))
-    changed = {"text": F.when(F.col("whole.text").isNotNull(), F.col("clean"))}
+    others = F.struct(F.col("text").isNull().alias("no_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(0)]).alias("of"))
+    packed = docs.select("doc_id", "text", others.alias("whole"))
+    found = scan(packed, rules, ("whole",)).select("whole", F.size("found").alias("n_found"), redact(F.col("text"), F.col("found")).alias("clean"))
+    changed = {"text": F.when(~F.col("whole.no_text"), F.col("clean"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("clean") == F.col("whole.text"), F.col("whole.n_chars")).otherwise(
-            F.when(F.col("whole.text").isNull(), F.col("whole.n_chars")).otherwise(F.length("clean").cast(docs.schema["n_chars"].dataType))
-        )
-    return found.select(*[changed.get(c, F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])
+        new = F.length("clean").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("n_found") == 0, F.col("whole.of.n_chars")).otherwise(new)
+    return found.select(*[changed.get(c, F.col(f"whole.of.`{c}`")).alias(c) for c in docs.columns])

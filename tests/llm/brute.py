@@ -20,6 +20,26 @@ def secrets(text):
     return (*count, SHA(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))))
 
 
+def spans(text, rules):
+    """All spans of (kind, pattern, group, least length) by start, then rule."""
+    found = [
+        (m.start(), k, m.end(), kind)
+        for k, (kind, pattern, group, least) in enumerate(rules)
+        for m in re.finditer(pattern, text or "", re.ASCII)
+        if len(m[group]) >= least
+    ]
+    return sorted(found)
+
+
+def redacted(text, found):
+    out, at = [], 0
+    for start, _, end, _ in found:
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return None if text is None else "".join(out) + text[at:]
+
+
 def shingles(text):
     words = BLANK_WORD.findall((text or "").translate(LOWER))
     if not words:

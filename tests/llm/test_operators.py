@@ -97,6 +97,52 @@ def test_secrets(docs):
     same(rows(secrets.digest(df), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256"), [(i, *brute.secrets(t)) for i, t in plain])
 
 
+def secret_texts():
+    """A text for each added rule, and blocks of keys with and without their footers."""
+    a, h = "Ab3" * 40, "0a1b" * 30
+    tokens = [
+        "ghp_" + a, "github_pat_" + a, "glpat-" + a, "xoxb-" + a, "https://hooks.slack.com/services/" + a, f"eyJ{a}.eyJ{a}.{a}", "ASIA" + a.upper(),
+        "AccountKey=" + a[:86] + "==", "AIza" + a[:35], "ya29." + a, "sk_live_" + a, "rk_test_" + a, f"SG.{a[:22]}.{a[:43]}", "npm_" + a[:36], "pypi-" + a,
+        "hf_" + a, "dop_v1_" + h[:64], "shpat_" + h[:32], "key-" + h[:32], "sq0atp-" + a[:22], "dapi" + h[:32], "NRAK-" + a.upper()[:27], "lin_api_" + a[:40],
+        "dckr_pat_" + a[:27], "hvs." + a, "AGE-SECRET-KEY-1" + a.upper()[:58], "12345678:AA" + a[:33],
+        f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{h}\n\n{a}\n{a}\n-----END RSA PRIVATE KEY-----",
+        f"-----BEGIN PRIVATE KEY-----\n{a}\n{a}\nprose goes on", "-----BEGIN PRIVATE KEY----- prose " + "-----BEGIN PRIVATE KEY-----\n" * 40,
+    ]
+    texts = [f"é🙂 {t} after" for t in tokens] + [" ".join(tokens), "\n".join(f"{t}\npassword={t}" for t in tokens), "tokens-only gh_ SG.a.b npm_short", "x" * 5000 + " token=abcdefghijkl " + "y" * 5000]
+    return [*enumerate(texts), (None, tokens[0]), (3, tokens[1]), (3, tokens[1])]
+
+
+def rules_of():
+    return [(r.kind, r.pattern, r.group, r.min_chars) for r in secrets.RULES]
+
+
+def test_secrets_spans(docs, spark):
+    df, plain = docs
+    more = secret_texts()
+    for texts, rows_ in ((df, plain), (spark.createDataFrame(more, "doc_id long, text string"), more)):
+        want = [(i, ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in brute.spans(t, rules_of()))) for i, t in rows_]
+        same(rows(secrets.digest(texts), "doc_id", "spans"), want)
+        same(rows(secrets.clean(texts), "doc_id", "text"), [(i, brute.redacted(t, brute.spans(t, rules_of()))) for i, t in rows_])
+    found = {kind for _, t in more for _, _, _, kind in brute.spans(t, rules_of())}
+    assert found >= {r.kind for r in secrets.MORE_RULES}
+
+
+def test_secrets_many_in_a_text(spark):
+    """Redaction takes time in proportion to the text."""
+    import time
+
+    took = []
+    for n in (2_000, 32_000):
+        text = " ".join(f"token=abcdefghijkl{k:05d} é" for k in range(n))
+        found = [(m.start(), m.end()) for m in regex.finditer(r"token=\w+", text)]
+        df = spark.createDataFrame([(text, found)], "text string, found array<struct<start:bigint,end:bigint>>").cache()
+        df.count()
+        began = time.time()
+        assert df.select(secrets.redact(F.col("text"), F.col("found"))).first()[0] == " ".join(["[SECRET] é"] * n)
+        took.append(time.time() - began)
+    assert took[1] < 16 * took[0] + 2
+
+
 def test_secrets_queries():
     assert secrets.trigram_query("[0-9a-f]{16,}") is None
     assert secrets.trigram_query("abcd") == [frozenset({"abc", "bcd"})]

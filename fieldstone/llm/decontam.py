@@ -8,8 +8,9 @@ Windows are searched backward through the ranks of a wavelet matrix over the
 Burrows-Wheeler transform, all at once; occurrences are located by walking to
 sampled suffix positions, and overlapping spans are merged.
 
-Benchmark items are held in blocks of at most `BLOCK_TEXT` bytes of text; each
-block is a pass over the same rows, and a pass merges its spans with those before.
+Benchmark items are held in blocks of at most `BLOCK_TEXT` bytes of text (in expectation).
+Each block is broadcast for one pass over the rows, which merges its spans with those of
+the passes before; what a pass finds is written, and its block is released before the next.
 
 Defined results: a null or empty text has no words and is never contaminated;
 an item without words has no windows; a null item_id hits words but is not
@@ -23,10 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import Tables
 from .words import ALNUM_WORDS, Block, blocks
 
 WINDOW = 13
@@ -169,13 +172,19 @@ class Windows:
         origin = np.arange(sizes.sum()) - np.repeat(first - start, sizes)
         reduced = numbers[np.minimum(origin, len(numbers) - 1)]
         reduced[first + sizes - 1] = 0
+        # only windows all of whose words the shard has can occur
+        present = np.ones(len(self.vocabulary) + 1, bool)
+        present[1:] = np.bincount(reduced, minlength=len(present))[1:] > 0
+        wanted = np.flatnonzero(present[self.patterns].all(axis=1))
+        if not len(wanted):
+            return none
         index = FMIndex(reduced, len(self.vocabulary))
-        low, high = index.search(self.patterns, self.lengths)
-        rows = np.flatnonzero(high > low)
-        counts = (high - low)[rows]
+        low, high = index.search(self.patterns[wanted], self.lengths[wanted])
+        occur = high > low
+        rows, low, counts = wanted[occur], low[occur], (high - low)[occur]
         if not len(rows):
             return none
-        suffixes = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - low[rows], counts)
+        suffixes = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - low, counts)
         window = np.repeat(rows, counts)
         at = origin[index.locate(suffixes)]
         for text, w in set(zip(texts[at].tolist(), window.tolist(), strict=True)):
@@ -205,10 +214,11 @@ def _union(spans: list[dict], more: list[dict]) -> list[dict]:
     return out
 
 
-def _search(windows: Windows, n_carried: int):
+def _search(sent: Broadcast, n_carried: int):
     """Over batches of carried columns and text, and in a later pass what the passes before have found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows: Windows = sent.value
         for batch in batches:
             for a, e, data, offsets in blocks(batch, "text"):
                 block = Block(data, offsets, ALNUM_WORDS, lower=True)
@@ -233,24 +243,30 @@ def _search(windows: Windows, n_carried: int):
     return run
 
 
-def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in blocks of at most BLOCK_TEXT bytes in expectation; one block at a time on the driver."""
+def _item_blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """The items in blocks of at most BLOCK_TEXT bytes in expectation."""
     items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // BLOCK_TEXT))
-    for i in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield [tuple(r) for r in part.collect()]
+    return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items for i in range(n)]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns, n_words, merged spans (start, end in words) and the sorted ids (text) of the items hit."""
+    spark = docs.sparkSession
     found = docs.select(*carried, F.coalesce(F.col("text"), F.lit("")).alias("text"))
     span = T.StructType().add("start", "long").add("end", "long")
     more = T.StructType().add("n_words", "long").add("spans", T.ArrayType(span)).add("items", T.ArrayType(T.StringType()))
     schema = T.StructType(found.schema.fields + more.fields)
-    for items in _item_blocks(benchmark):
-        found = found.mapInArrow(_search(Windows(items), len(carried)), schema)
+    tables, parts = Tables(spark, "decontam"), _item_blocks(benchmark)
+    for k, part in enumerate(parts, 1):
+        # one block at a time, of a bounded size
+        sent = spark.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()]))
+        found = found.mapInArrow(_search(sent, len(carried)), schema)
+        if k < len(parts):
+            found = tables.write(f"pass{k}", found)
+            tables.drop_others(f"pass{k}")
+            sent.destroy()
     return found.drop("text")
 
 

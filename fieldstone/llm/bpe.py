@@ -170,8 +170,8 @@ def folder(data: bytes) -> Folder:
     return _folders[key]
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, ids (array<int>) and decoded (binary: what the ids decode to)."""
+def encode(docs: DataFrame, rank_file: str, pattern: str, carried: tuple[str, ...] = ("doc_id",), decode: bool = True) -> DataFrame:
+    """The carried columns, ids (array<int>) and, if wanted, decoded (binary: what the ids decode to)."""
     with open(rank_file, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())  # as large as the vocabulary
 
@@ -181,14 +181,15 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, carried: tuple[str, ..
             for a, e, data, offsets in blocks(batch, "text"):
                 raw, at = data.tobytes(), offsets.tolist()
                 ids = [fold.ids(find.findall(raw[x:y].decode("utf-8"))) for x, y in zip(at, at[1:], strict=False)]
-                back = [fold.decode(x) for x in ids]
                 kept = [batch.column(i).slice(a, e - a) for i in range(len(carried))]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.binary())], names=[*carried, "ids", "decoded"]
-                )
+                made = [pa.array(ids, pa.list_(pa.int32()))]
+                if decode:
+                    made.append(pa.array([fold.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=[*carried, "ids", "decoded"][: len(kept) + len(made)])
 
     chosen = docs.select(*carried, "text")
-    schema = T.StructType(chosen.schema.fields[:-1] + T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", "binary").fields)
+    more = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", "binary").fields
+    schema = T.StructType(chosen.schema.fields[:-1] + more[: 1 + decode])
     return chosen.mapInArrow(run, schema)
 
 

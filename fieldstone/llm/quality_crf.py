@@ -6,7 +6,7 @@ by their lengths, are summed up to the document's share of good text; a
 logistic curve over that share turns it into a score.
 
 Only whole documents are labelled.  Fitting is on the driver over a bounded
-sample of labelled rows (`SAMPLE` documents of at most `SAMPLE_BYTES` of text each, chosen by a hash): lines of good
+sample of labelled rows (`SAMPLE` rows and `SAMPLE_BYTES` of text in all, chosen by a hash whatever their length): lines of good
 documents are good; the lines of bad documents start as bad and are labelled
 again by the field itself (never all as good) in each of `ROUNDS` rounds.
 A document whose crc32(doc_id as text) mod 5 is 0 is never learned from, and labels,
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .words import BLANK_WORDS, Block, blocks
 
-#: Labelled documents that the field is fitted on, at most (in expectation), and the longest text among them.
-SAMPLE, SAMPLE_BYTES = 3000, 100_000
+#: Labelled documents, and bytes of their texts together, that the field is fitted on, at most (in expectation).
+SAMPLE, SAMPLE_BYTES = 3000, 64 << 20
 ROUNDS, STEPS = 4, 60
 THRESHOLD, FOLDS = 0.3, 5
 OWN = ("symbols", "upper", "bars", "marks", "digits", "repeats", "seen", "short", "long_words", "closed", "few")
@@ -223,7 +223,7 @@ def is_held_out():
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """Fit on a bounded sample of the labelled rows outside the held-out fold."""
-    known = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).filter(~is_held_out())
+    known = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).filter(~is_held_out()).distinct()
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     none = Field(np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(4))
     if len(counts) < 2:
@@ -231,9 +231,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     # both kinds by the same share, so that scores keep the frequency of labels
     share = min(1.0, sample / sum(counts.values()))
     picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    # the sample is bounded, so it may be broadcast and collected
-    chosen = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = chosen.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").orderBy("doc_id", "quality", "text").toArrow()
+    # the labels picked are bounded, so they may be broadcast; rows may repeat a doc_id and texts may be long, so both are bounded again
+    chosen = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    n, size = chosen.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = min(1.0, sample * 2 / max(n, 1), SAMPLE_BYTES / max(size, 1))
+    if share < 1:
+        chosen = chosen.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = chosen.select("doc_id", "quality", "text").orderBy("doc_id", "quality", "text").toArrow()
     quality = rows.column("quality").to_numpy().astype(np.int64)
     if len(set(quality.tolist())) < 2:
         return none

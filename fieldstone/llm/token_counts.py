@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import blocks, mix, powers
+from .words import blocks, span_hashes
 
 LIMIT = 512
 #: Characters of a chunk of the first transducer.
@@ -255,6 +255,8 @@ class Counter:
         as_bytes = lambda s: bytes(to_byte[c] for c in s)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.transducer = Transducer({(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(merges)})
+        if any(t[flag] for t in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word", "normalized") if t.get(flag)):
+            raise ValueError("added tokens that strip, match single words only or are normalized are not compiled")
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.find = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.classes = _class_table()
@@ -298,10 +300,7 @@ class Counter:
         if cuts:
             stops = np.array([*cuts, len(raw)], np.int64)
             end = np.minimum(end, stops[np.searchsorted(stops, begin, side="right")])
-        up, down = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        keys = mix((sums[end] - sums[begin]) * down[begin])
+        keys = span_hashes(data, begin, end)
         _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         sizes = np.empty(len(first), np.int64)
         pieces, count = self.pieces, self.transducer.count

@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at a time inside a task.
 BLOCK_BYTES = 2 << 20
+#: Bytes of words that are summed up at a time.
+SEGMENT_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
@@ -46,17 +48,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        n = max(n, BLOCK_BYTES + 1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, as many as a segment has bytes."""
+    if not _powers:
         for name, base in (("up", _BASE), ("down", _INV)):
-            grown = np.full(n, np.uint64(base), dtype=np.uint64)
+            grown = np.full(SEGMENT_BYTES + 1, np.uint64(base), dtype=np.uint64)
             grown[0] = 1
             _powers[name] = np.multiply.accumulate(grown)
     return _powers["up"], _powers["down"]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each of some sorted spans that don't overlap: the sum of (byte + 1) * base**place over its bytes, mixed.
+
+    Spans are summed up over segments of bytes, so one long text needs no more room than its spans.
+    """
+    out = np.zeros(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(out):
+        base = int(starts[at])
+        end = int(np.searchsorted(ends, base + SEGMENT_BYTES, side="right"))
+        if end > at:
+            out[at:end] = _summed(data, base, starts[at:end], ends[at:end])
+        else:  # a span longer than a segment
+            end, stop = at + 1, int(ends[at])
+            for k in range(base, stop, SEGMENT_BYTES):
+                part = _summed(data, k, np.array([k]), np.array([min(k + SEGMENT_BYTES, stop)]))
+                out[at:end] += part * np.uint64(pow(_BASE, k - base, 1 << 64))
+        at = end
+    return mix(out)
+
+
+def _summed(data: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = powers()
+    part = data[base : ends[-1]]
+    sums = np.zeros(len(part) + 1, dtype=np.uint64)
+    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+    return (sums[ends - base] - sums[starts - base]) * down[starts - base]
+
+
 class Block:
     """The words of a block of texts: starts, ends, and first[i]:first[i+1] for text i."""
 
@@ -78,12 +108,7 @@ class Block:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash for each word."""
-        if not len(self.starts):
-            return np.zeros(0, dtype=np.uint64)
-        up, down = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        return span_hashes(self.data, self.starts, self.ends)
 
     def texts(self) -> np.ndarray:
         """The number of the text of each word."""

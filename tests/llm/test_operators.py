@@ -373,12 +373,38 @@ def test_sharding(docs):
         assert r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 8
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     groups = Counter()
-    for i, t in plain:
+    for _, t in plain:
         groups[t or ""] += len((t or "").encode()) + 1
-    heap = [0] * 8
-    for size in sorted(groups.values(), reverse=True):
-        heapq.heapreplace(heap, heap[0] + size)
-    assert max(loads.values()) <= 1.1 * max(heap) + 1
+    assert [loads[k] for k in range(8)] == plain_deal(groups.values(), 8)
+
+
+def plain_deal(sizes, shards):
+    """Loads of longest-processing-time dealing, item by item."""
+    heap = [(0, s) for s in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        load, s = heap[0]
+        heapq.heapreplace(heap, (load + size, s))
+    return [load for load, _ in sorted(heap, key=lambda x: x[1])]
+
+
+def test_sharding_of_classes():
+    rng = random.Random(31)
+    for _ in range(60):
+        classes = [(size, rng.choice((1, 2, 30, 500))) for size in rng.sample(range(1, 2000), rng.randrange(1, 12))] + [(10_000_000, 1)] * rng.randrange(2)
+        shards = rng.choice((1, 3, 8))
+        plan = sharding.longest_first(classes, shards)
+        assert all(sum(got) == dict(classes)[size] for size, got in plan)
+        loads = [sum(size * got[s] for size, got in plan) for s in range(shards)]
+        assert loads == plain_deal([size for size, n in classes for _ in range(n)], shards)
+
+
+def test_sharding_in_parts(odd, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 2)
+    df, _ = odd
+    got = sharding.shard(df.unionByName(df), 2).collect()
+    for k in (0, 1):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+    assert len(got) == 2 * df.count()
 
 
 def test_classifier(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dates import normalize_date, year_of
@@ -92,10 +92,17 @@ def holder_label(url: Column, start: Column, end: Column) -> Column:
     return F.when(start.isNotNull() | end.isNotNull(), dated).otherwise(name)
 
 
-def shown_labels(labels: Column, most: int = 20) -> Column:
-    """Labels joined, the rest counted."""
-    more = F.concat(F.lit(" … and "), (F.size(labels) - most).cast("string"), F.lit(" more"))
-    return F.when(F.size(labels) <= most, F.array_join(labels, ", ")).otherwise(F.concat(F.array_join(F.slice(labels, 1, most), ", "), more))
+def label_lists(rows: DataFrame, *keys: str, most: int = 20) -> DataFrame:
+    """`labels`: the first labels of each key in their order, joined, and how many more there are.
+
+    Tasks keep the first labels of each key among their own rows, so no task gathers all labels of a key.
+    """
+    salted = rows.withColumn("_salt", F.spark_partition_id())
+    rank = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy("label"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    first = salted.withColumn("_rank", rank).filter(F.col("_rank") <= most).groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list("label")), 1, most).alias("_first"))
+    more = F.when(F.col("_n") > most, F.concat(F.lit(" … and "), (F.col("_n") - most).cast("string"), F.lit(" more"))).otherwise("")
+    return first.join(counts, list(keys)).select(*keys, F.concat(F.array_join("_first", ", "), more).alias("labels"))
 
 
 def term_changed(old: Callable[[str], Column], new: Callable[[str], Column], years_only: Column, use_infobox: Column) -> Column:

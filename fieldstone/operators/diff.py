@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules, urls
@@ -22,7 +22,7 @@ def diff(stored: DataFrame, parsed: DataFrame, years_only: bool = False, use_inf
 
     stored: office_id, term_id, wiki_url, term_start, term_end, term_start_year, term_end_year.
     parsed: office_id, row_id, wiki_link, the same four, dead_link.  Returns change_type, office_id, term_id, row_id.
-    One shuffle on (office, holder) for the match and one on the term id for what has vanished.
+    One shuffle on (office, holder) for the match and one on the term id for what has vanished; the rows matched are computed once.
     """
     start, end = F.col("term_start"), F.col("term_end")
     if not years_only:
@@ -43,22 +43,43 @@ def diff(stored: DataFrame, parsed: DataFrame, years_only: bool = False, use_inf
     differs = rules.term_changed(lambda c: F.col(f"old_{c}"), lambda c: F.col(f"new_{c}"), F.lit(years_only), F.lit(use_infobox))
     kind = F.when(F.col("term_id").isNull(), "new").when(differs, "changed").otherwise("unchanged")
     seen = met.select(kind.alias("change_type"), F.col("match_key.office_id").alias("office_id"), "term_id", "row_id")
-    rest = stored.join(seen.filter("term_id IS NOT NULL").select("term_id").distinct(), "term_id", "left_anti")
     gone = F.when(urls.holder_key(F.col("wiki_url")) == "", "placeholder").otherwise("vanished_real")
-    return seen.unionByName(rest.select(gone.alias("change_type"), "office_id", "term_id", F.lit(None).cast("long").alias("row_id")))
+    terms = stored.select(F.col("term_id").alias("_term"), F.col("office_id").alias("_office"), gone.alias("_gone"), F.lit(False).alias("_new"))
+    # new rows have no term; their own ids spread them over the tasks
+    at = seen.withColumns({"_at": F.coalesce("term_id", "row_id"), "_is_new": F.col("term_id").isNull()})
+    both = at.join(terms, (F.col("_at") == F.col("_term")) & (F.col("_is_new") == F.col("_new")), "full")
+    return both.select(
+        F.coalesce("change_type", "_gone").alias("change_type"), F.coalesce("office_id", "_office").alias("office_id"), F.coalesce("term_id", "_term").alias("term_id"), "row_id"
+    )
+
+
+def skipped_holders(changes: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The distinct holders (canonical links) of unchanged rows: their infoboxes need not be read again."""
+    same = parsed.join(changes.filter("change_type = 'unchanged'").select("row_id"), "row_id", "left_semi")
+    linked = ~F.coalesce("wiki_link", F.lit("")).isin("", urls.NO_LINK) & ~urls.is_dead(F.col("wiki_link")) & ~F.coalesce("dead_link", F.lit(False))
+    return same.filter(linked).select(urls.canonical_holder(F.col("wiki_link")).alias("holder")).filter("holder <> ''").distinct()
 
 
 def apply_diff(stored: DataFrame, parsed: DataFrame, changes: DataFrame) -> DataFrame:
     """Stored terms after a run: changed and placeholder rows go, new and changed rows come, vanished ones stay.
 
-    An office whose table gave no rows at all keeps everything.
+    An office whose table gave no rows at all keeps everything.  The changes are read once: each says what becomes of its stored and of its parsed row.
     """
-    offices = parsed.select("office_id").distinct()
-    gone = changes.filter(F.col("change_type").isin("changed", "placeholder")).join(offices, "office_id", "left_semi").select("term_id").distinct()
-    added = parsed.join(changes.filter(F.col("change_type").isin("new", "changed")).select("row_id").distinct(), "row_id", "left_semi")
-    kept = stored.join(gone, "term_id", "left_anti")
+    offices = parsed.select("office_id").distinct().withColumn("_parsed", F.lit(True))
+    goes, comes = F.col("change_type").isin("changed", "placeholder"), F.col("change_type").isin("new", "changed")
+    steps = F.array(
+        F.when(goes, F.struct(F.lit("gone").alias("step"), F.col("term_id").alias("id"))),
+        F.when(comes, F.struct(F.lit("added").alias("step"), F.col("row_id").alias("id"))),
+    )
+    wanted = changes.join(offices, "office_id").select(F.explode(F.array_compact(steps)).alias("s")).select("s.*").distinct()
     columns = [c for c in stored.columns if c in parsed.columns]
-    return kept.unionByName(added.select(*columns, F.col("wiki_link").alias("wiki_url")), allowMissingColumns=True)
+    others = [c for c in stored.columns if c not in columns and c not in ("term_id", "wiki_url")]
+    old = stored.withColumns({"_step": F.lit("gone"), "_id": F.col("term_id")})
+    new = parsed.select(*columns, F.col("wiki_link").alias("wiki_url"), F.lit("added").alias("_step"), F.col("row_id").alias("_id"))
+    both = old.unionByName(new, allowMissingColumns=True).join(wanted.withColumn("_met", F.lit(True)), (F.col("_step") == F.col("step")) & (F.col("_id") == F.col("id")), "left")
+    met = F.coalesce("_met", F.lit(False))
+    kept = both.filter(F.when(F.col("_step") == "gone", ~met).otherwise(met))
+    return kept.select(*[c for c in stored.columns if c in columns or c in others or c in ("term_id", "wiki_url")])
 
 
 def shifted_offices(changes: DataFrame, limit: float = 0.40) -> DataFrame:
@@ -90,3 +111,12 @@ def expired_jobs(jobs: DataFrame, as_of: Column, queued_hours: int = 12, running
 def unseen(links: DataFrame, people: DataFrame, url: str = "wiki_url") -> DataFrame:
     """Distinct links that are not yet people."""
     return links.select(url).distinct().join(people.select(url), url, "left_anti")
+
+
+def admitted_jobs(jobs: DataFrame, *queue: str, depth: int) -> DataFrame:
+    """The queued jobs that a queue of limited depth takes, first in first out; the others are refused.
+
+    A queue is short, so its jobs are ranked in one task.
+    """
+    rank = F.row_number().over(Window.partitionBy(*queue).orderBy("queued_at", "job_id"))
+    return jobs.withColumn("place", rank).withColumn("admitted", F.col("place") <= depth)

@@ -288,6 +288,16 @@ def resolve_parties(terms: DataFrame, parties: DataFrame, country: Column, *keys
     return out.withColumn("party", F.coalesce("party", F.lit(NO_PARTY))).drop("key")
 
 
+def preview(terms: DataFrame, *keys: str, most: int = 50, years_only: bool = False) -> DataFrame:
+    """The first rows of each page, in the order of the table, that an import would take."""
+    gate = rules.import_gate(
+        F.col("wiki_link"), F.col("term_start"), F.col("term_end"), F.col("term_start_year"), F.col("term_end_year"), F.col("name_from_table"), F.lit(years_only)
+    )
+    taken = terms.filter(gate["accepted"])
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("table_no", "row_index"))
+    return taken.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+
+
 def check_config(tables: DataFrame, config: Config, *keys: str) -> DataFrame:
     """(ok, message) for each page: whether the table is there, has rows, and the columns are in range.
 

@@ -35,22 +35,19 @@ def role_query(raw: str | None) -> tuple[list[str], list[str]]:
 
 
 def role_matches(text: Column, includes: list[str], excludes: list[str]) -> Column:
-    """Any include and no exclude, as whole words."""
+    """Any include and no exclude, as whole words; a text without words matches no query but the empty one."""
     hay = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), F.lit(" "))
     ok = F.lit(not includes)
     for phrase in includes:
         ok = ok | F.contains(hay, F.lit(f" {phrase} "))
     for phrase in excludes:
         ok = ok & ~F.contains(hay, F.lit(f" {phrase} "))
-    return ok if includes or excludes else F.lit(True)
+    return ok & (F.trim(hay) != "") if includes or excludes else F.lit(True)
 
 
 def biography(page: Column, url: Column, free_form: bool = True) -> Column:
     """struct(full_name, name, birth_date, death_date, page_path): the infobox, else the first paragraph, else null."""
 
-    def row(label: str) -> Column:
-        return F.element_at(F.filter(page["rows"], lambda r: F.contains(r["label"], F.lit(label)) & r["value"].isNotNull()), -1)
-
     def last(label: str) -> Column:
         rows = F.filter(page["rows"], lambda r: F.contains(r["label"], F.lit(label)) & r["value"].isNotNull())
         return F.when(F.size(rows) > 0, dates.single_date(F.get(rows, F.size(rows) - 1)["value"], free_form))

@@ -41,6 +41,84 @@ def stale(df: DataFrame, stamp: str, as_of: Column, days: int) -> DataFrame:
     return df.filter(F.col(stamp).isNull() | (F.col(stamp) < as_of - F.make_interval(days=F.lit(days))))
 
 
+def is_living_page(people: DataFrame) -> Column:
+    """People held to be living whose page can be read: neither a dead link nor a placeholder."""
+    return (F.col("is_living") == 1) & (F.col("is_dead_link") == 0) & ~F.col("wiki_url").startswith("No link:")
+
+
+def url_sets(people: DataFrame) -> DataFrame:
+    """(kind, wiki_url): the distinct links of the living, and the dead ones."""
+    kinds = F.array(F.when(is_living_page(people), "living"), F.when(F.col("is_dead_link") == 1, "dead_link"))
+    return people.select(F.explode(F.array_compact(kinds)).alias("kind"), "wiki_url").distinct()
+
+
+def refresh_batch(people: DataFrame, bucket: int, most: int) -> DataFrame:
+    """The living of one batch, those never refreshed first, then those refreshed longest ago."""
+    own = people.filter(is_living_page(people) & (F.col("bio_batch") == bucket))
+    return own.orderBy(F.col("bio_refreshed_at").asc_nulls_first(), "wiki_url").limit(most)
+
+
+def lacks_vitals() -> Column:
+    """No birth date, or known to be dead without a date of death."""
+    return F.col("birth_date").isNull() | (F.col("death_date").isNull() & (F.col("is_living") == 0))
+
+
+def matching_people(terms: DataFrame, people: DataFrame, *keys: str, overwrite: bool = False) -> DataFrame:
+    """For each category: matching terms, people among them, and people eligible for a run (without a birth date unless overwritten)."""
+    blank = F.trim(F.coalesce("birth_date", F.lit(""))) == ""
+    eligible = people.select("individual_id", (F.lit(overwrite) | blank).alias("_open"))
+    joined = terms.join(eligible, "individual_id", "left")
+    return joined.groupBy(*keys).agg(
+        F.count("*").alias("matching_records"),
+        F.count_distinct("individual_id").alias("matching_individuals"),
+        F.count_distinct(F.when(F.coalesce("_open", F.lit(True)), F.col("individual_id"))).alias("eligible_individuals"),
+    )
+
+
+def by_url(requests: DataFrame, pages: DataFrame, url: str, key: str) -> DataFrame:
+    """requests with the least key of a page whose link is the same but for case and outer blanks; a blank request has none."""
+    norm = lambda c: F.lower(F.trim(F.col(c)))
+    side = pages.groupBy(norm(url).alias("_u")).agg(F.min(key).alias(key)).filter("_u <> ''")
+    return requests.withColumn("_u", norm(url)).join(side, "_u", "left").drop("_u")
+
+
+def page_list(pages: DataFrame, offices: DataFrame, tables: DataFrame, names: Mapping[str, tuple[DataFrame, str, str]], equal: Mapping[str, int | None], category: int | None = None, office_count: str = "all", limit: int | None = None) -> DataFrame:
+    """Pages with names and counts of offices and tables, filtered and sorted by names.
+
+    equal: columns of pages and what they have to be; 0 and None are no filters, but for `enabled`, where only None is.
+    office_count: all, gt0 (with offices), eq0 (without).
+    """
+    for column, value in equal.items():
+        if value is not None and (value != 0 or column == "enabled"):
+            pages = pages.filter(F.col(column) == value)
+    if category:
+        pages = pages.join(offices.filter(F.col("office_category_id") == category), "page_id", "left_semi")
+    per_office = tables.groupBy("office_id").agg(F.count("*").alias("n"))
+    counts = offices.join(per_office, "office_id", "left").groupBy("page_id").agg(
+        F.count("*").alias("office_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("table_count"), F.min("office_id").alias("first_office_id")
+    )
+    listed = with_names(pages, names).join(counts, "page_id", "left").fillna(0, ["office_count", "table_count"])
+    if office_count != "all":
+        listed = listed.filter("office_count > 0" if office_count == "gt0" else "office_count = 0")
+    if limit is None:
+        return listed
+    order = [F.coalesce(F.col(fk.removesuffix("_id")), F.lit("")) for fk in names]
+    return listed.orderBy(*order, "url").limit(limit)
+
+
+def saved_configs(tables: DataFrame, office_id: int, table_no: int | None = None) -> DataFrame:
+    """The stored configs of one office, or that of one of its tables."""
+    own = tables.filter(F.col("office_id") == office_id)
+    return own if table_no is None else own.filter(F.col("table_no") == table_no)
+
+
+def offsets(total: Column, offset: Column, size: int) -> Column:
+    """struct(previous, next): where the pages before and after begin; null if there is none."""
+    return F.struct(
+        F.when(offset > 0, F.greatest(offset - size, F.lit(0))).alias("previous"), F.when(offset + size < total, offset + size).alias("next")
+    )
+
+
 def batch(df: DataFrame, key: str, buckets: int, bucket: int) -> DataFrame:
     """One of the staggered batches."""
     return df.filter(F.pmod(F.col(key), F.lit(buckets)) == bucket)

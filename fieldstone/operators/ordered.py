@@ -40,9 +40,16 @@ def first_of_key(rows: DataFrame, *key: Column, order: list[Column], comparable:
     return rows.withColumn("_keep", keep if comparable is None else (keep | ~comparable)).filter("_keep").drop("_keep")
 
 
-def keeper(rows: DataFrame, key: Column, row_id: str) -> DataFrame:
-    """`keeper_id`: the least id of each key; a row is a duplicate if it is not its own keeper.  One aggregation and a join, no sort."""
-    least = rows.groupBy(key.alias("_key")).agg(F.min(row_id).alias("keeper_id"))
+def first_and_last(rows: DataFrame, *keys: str, order: Column, columns: tuple[str, ...]) -> DataFrame:
+    """first_... and last_...: columns of the first and the last row of each key, by one aggregation."""
+    row = F.struct(*columns)
+    ends = rows.groupBy(*keys).agg(F.min_by(row, order).alias("_first"), F.max_by(row, order).alias("_last"))
+    return ends.select(*keys, *[F.col(f"_{at}.{c}").alias(f"{at}_{c}") for at in ("first", "last") for c in columns])
+
+
+def keeper(rows: DataFrame, key: Column, row_id: str, last: bool = False) -> DataFrame:
+    """`keeper_id`: the least (or the greatest) id of each key; a row is a duplicate if it is not its own keeper.  One aggregation and a join, no sort."""
+    least = rows.groupBy(key.alias("_key")).agg((F.max if last else F.min)(row_id).alias("keeper_id"))
     return rows.withColumn("_key", key).join(least, "_key").drop("_key")
 
 

@@ -33,11 +33,10 @@ def gate(records: DataFrame, votes: DataFrame, key: str) -> DataFrame:
     return judged.withColumn("result", result)
 
 
-def new_findings(records: DataFrame, known: DataFrame, batch: int = 50) -> DataFrame:
-    """Findings of the rules on records that are not known yet, with the number of the batch they are handled in.
+def new_findings(records: DataFrame, known: DataFrame) -> DataFrame:
+    """Findings of the rules on records that are not known yet; numbered_batches puts them in batches.
 
     records: record_type, record_id, term_start_year, term_end_year, party_text, party_id, wiki_url, full_name.
-    Batches are made within hash buckets of the fingerprint, so no task numbers all records.
     """
     kind = rules.check_type(F.col("wiki_url"), F.col("full_name"))
     marked = records.withColumn("fingerprint", rules.fingerprint("dq", F.col("record_type"), F.col("record_id"), kind))

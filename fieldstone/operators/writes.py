@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -83,15 +83,28 @@ def move_table(tables: DataFrame, table_id: int, to_office: int) -> DataFrame:
     return joined.withColumn("office_id", F.when(F.coalesce("ok", F.lit(False)), F.lit(to_office)).otherwise(F.col("office_id"))).drop("ok", "_id")
 
 
+def created(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """New rows with ids above those stored, in the order of all their columns; new is what one request adds."""
+    highest = stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
+    rank = F.row_number().over(Window.orderBy(*new.columns))
+    # one row, so the product is as large as the new rows
+    numbered = new.withColumn("_rank", rank).join(F.broadcast(highest))
+    return stored.unionByName(numbered.withColumn(key, (F.col("_top") + F.col("_rank")).cast(stored.schema[key].dataType)).drop("_rank", "_top"), allowMissingColumns=True)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside, then put in place: readers see the old table or the new one."""
+    """Write beside, then put in place by two renames.
+
+    A reader that lists files between the renames finds no table; after a crash there, the old one is at `<path>.old`.  A file system or table format
+    with atomic commits closes that gap.
+    """
     spark = df.sparkSession
     staged, old = f"{path}.staged", f"{path}.old"
     df.write.mode("overwrite").parquet(staged)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(old), True)
     if fs.exists(hadoop(path)):
+        fs.delete(hadoop(old), True)
         fs.rename(hadoop(path), hadoop(old))
     fs.rename(hadoop(staged), hadoop(path))
     fs.delete(hadoop(old), True)

@@ -1,4 +1,4 @@
 """Registered queries over the test tables."""
 
-from . import documents, records, relational  # noqa: F401  they register their queries
+from . import documents, records, relational, service  # noqa: F401  they register their queries
 from .registry import QUERIES, Query  # noqa: F401

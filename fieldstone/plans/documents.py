@@ -48,24 +48,26 @@ def html_link_map(t):
     return html.link_map(html.table_rows(_nations(t), "n_regionkey"), "n_regionkey").select("n_regionkey", "row_index", "col_index")
 
 
-@query("S17 S18 S7", "SELECT r_regionkey AS n_regionkey, 2::INT AS n_tables, k::INT AS table_no, CASE WHEN k = 1 THEN 1 ELSE least(3, 1 + (SELECT count(*) FROM nation n WHERE n.n_regionkey = r_regionkey)) END::INT AS shown FROM region, range(1, 3) t(k)")
+@query("S17 S18", "SELECT r_regionkey AS n_regionkey, 2::INT AS n_tables, k::INT AS table_no, CASE WHEN k = 1 THEN 1 ELSE least(3, 1 + (SELECT count(*) FROM nation n WHERE n.n_regionkey = r_regionkey)) END::INT AS shown FROM region, range(1, 3) t(k)")
 def html_preview(t):
     return html.all_tables_preview(_nations(t), "n_regionkey", rows=3).select("n_regionkey", "n_tables", "table_no", F.size("rows").alias("shown"))
 
 
-def _terms_page(t, right_to_left=False, merged=False):
-    o = t("orders").withColumn("g", F.col("o_custkey") % 50)
+def _terms_page(t, right_to_left=False, merged=False, district_last=False):
+    o = t("orders").withColumn("g", F.col("o_custkey"))
     k = F.col("o_orderkey")
     person = F.concat(F.lit("<a href='/wiki/File:x.png'>pic</a><a href='/wiki/P_"), k.cast("string"), F.lit("'>P "), k.cast("string"), F.lit("</a>"))
     start = F.when(k % 2 == 0, F.date_format(_day(), "MMMM d, yyyy")).otherwise(F.date_format(_day(), "d MMMM yyyy"))
     end = F.when(k % 3 == 0, "Incumbent[a]").otherwise(F.date_format(F.date_add(_day(), 365), "MMMM d, yyyy"))
     district = F.when(k % 4 == 0, F.concat((k % 10 + 4).cast("string"), F.lit("th"))).otherwise("whole")
     cells = [district, person, start, end] if not merged else [district, person, F.concat(start, F.lit(" – "), end)]
+    if district_last:
+        cells = ["note", person, start, end, district]
     row = F.concat(F.lit("<tr>"), _td(*(reversed(cells) if right_to_left else cells)), F.lit("</tr>"))
     return _html(o, "g", header="<th>a<th>b<th>c<th>d", row=row, order="o_orderkey")
 
 
-_TERMS = """SELECT o_custkey % 50 AS g, 'https://en.wikipedia.org/wiki/P_' || o_orderkey AS wiki_link, 'pic' AS name, CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 10 + 4) || 'th' ELSE 'No district' END AS district,
+_TERMS = """SELECT o_custkey AS g, 'https://en.wikipedia.org/wiki/P_' || o_orderkey AS wiki_link, 'pic' AS name, CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 10 + 4) || 'th' ELSE 'No district' END AS district,
        strftime(o_orderdate, '%Y-%m-%d') AS term_start, CASE WHEN o_orderkey % 3 = 0 THEN 'Incumbent' ELSE strftime(o_orderdate + INTERVAL 365 DAY, '%Y-%m-%d') END AS term_end FROM orders"""
 
 
@@ -73,7 +75,7 @@ def _out(df):
     return df.select("g", "wiki_link", F.col("name_from_table").alias("name"), "district", "term_start", "term_end")
 
 
-@query("H5 H6 H8 H12 H13 H15 H20 H21", _TERMS)
+@query("H6 H8 H12 H15 H20 H21", _TERMS)
 def html_terms(t):
     config = ex.Config(table_no=2, table_rows=4, district_column=0, link_column=1, term_start_column=2, term_end_column=3, ignore_non_links=True)
     return _out(ex.extract(html.table_rows(_terms_page(t), "g"), config, "g"))
@@ -83,13 +85,13 @@ _FREE_FORMS = ("d MMM yyyy", "MM/dd/yyyy", "MMMM yyyy", "EEEE, d MMM yyyy")
 
 
 @query(
-    "H12 H13 F2",
-    """SELECT o_custkey % 50 AS g, 'https://en.wikipedia.org/wiki/P_' || o_orderkey AS wiki_link,
+    "H12 F2 F8",
+    """SELECT o_custkey AS g, 'https://en.wikipedia.org/wiki/P_' || o_orderkey AS wiki_link,
        CASE WHEN o_orderkey % 4 = 2 THEN strftime(o_orderdate, '%Y-%m-01') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS term_start,
        strftime(o_orderdate + INTERVAL 365 DAY, '%Y-%m-%d') AS term_end FROM orders""",
 )
 def html_terms_free_form(t):
-    o, k = t("orders").withColumn("g", F.col("o_custkey") % 50), F.col("o_orderkey")
+    o, k = t("orders").withColumn("g", F.col("o_custkey")), F.col("o_orderkey")
     start = F.coalesce(*[F.when(k % 4 == i, F.date_format(_day(), form)) for i, form in enumerate(_FREE_FORMS)])
     person = F.concat(F.lit("<a href='/wiki/P_"), k.cast("string"), F.lit("'>P</a>"))
     row = F.concat(F.lit("<tr>"), _td(person, start, F.date_format(F.date_add(_day(), 365), "d MMM yyyy")), F.lit("</tr>"))
@@ -105,33 +107,23 @@ def html_terms_right_to_left(t):
 
 @query("H9 H10", _TERMS)
 def html_terms_dynamic(t):
-    config = ex.Config(table_no=2, table_rows=4, district_column=-1, link_column=0, term_start_column=1, term_end_column=2, dynamic_parse=True)
-    rows = ex.extract(html.table_rows(_terms_page(t), "g"), config, "g")
-    k = F.regexp_extract("wiki_link", r"P_(\d+)$", 1).cast("long")
-    return _out(rows.withColumn("district", F.when(k % 4 == 0, F.concat((k % 10 + 4).cast("string"), F.lit("th"))).otherwise("No district")))
+    """The config counts from the holder's column as if it were the first; a note stands before it, and the district comes last."""
+    config = ex.Config(table_no=2, table_rows=5, link_column=0, term_start_column=1, term_end_column=2, district_column=3, dynamic_parse=True)
+    return _out(ex.extract(html.table_rows(_terms_page(t, district_last=True), "g"), config, "g"))
 
 
-@query("H15 H17 F3", _TERMS)
+@query("H15 F3", _TERMS)
 def html_terms_merged(t):
     config = ex.Config(table_no=2, table_rows=3, district_column=0, link_column=1, term_start_column=2, term_end_column=2, term_dates_merged=True)
     return _out(ex.extract(html.table_rows(_terms_page(t, merged=True), "g"), config, "g"))
 
 
 @query(
-    "H14 H16 W2 H5",
-    """SELECT o_custkey AS g, 'https://en.wikipedia.org/wiki/P_' || min(o_orderkey) OVER (PARTITION BY o_custkey) AS wiki_link, strftime(o_orderdate, '%Y-%m-%d') AS term_start,
-       strftime(o_orderdate + INTERVAL 100 DAY, '%Y-%m-%d') AS term_end, '7th' AS district FROM orders WHERE o_custkey % 5 = 0""",
-)
-def html_rowspan(t):
-    return _rowspan(t("orders").filter("o_custkey % 5 = 0"))
-
-
-@query(
-    "H14 H16 W2 H5",
+    "H14 H16 W2",
     """SELECT o_custkey AS g, 'https://en.wikipedia.org/wiki/P_' || min(o_orderkey) OVER (PARTITION BY o_custkey) AS wiki_link, strftime(o_orderdate, '%Y-%m-%d') AS term_start,
        strftime(o_orderdate + INTERVAL 100 DAY, '%Y-%m-%d') AS term_end, '7th' AS district FROM orders""",
 )
-def html_rowspan_whole(t):
+def html_rowspan(t):
     return _rowspan(t("orders"))
 
 
@@ -149,13 +141,8 @@ def _rowspan(o):
     return ex.extract(html.table_rows(pages, "g"), config, "g").select("g", "wiki_link", "term_start", "term_end", "district")
 
 
-@query("H18", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS term_start FROM orders WHERE o_orderkey % 10 = 0")
-def html_sort_values(t):
-    return _sort_values(t("orders").filter("o_orderkey % 10 = 0"))
-
-
 @query("H18", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS term_start FROM orders")
-def html_sort_values_whole(t):
+def html_sort_values(t):
     return _sort_values(t("orders"))
 
 
@@ -168,11 +155,11 @@ def _sort_values(o):
 
 @query(
     "H19",
-    """SELECT o_custkey % 50 AS g, 'https://en.wikipedia.org/wiki/P_' || o_orderkey AS wiki_link,
+    """SELECT o_custkey AS g, 'https://en.wikipedia.org/wiki/P_' || o_orderkey AS wiki_link,
        CASE o_orderkey % 4 WHEN 0 THEN 'Red' WHEN 1 THEN 'Blue' WHEN 2 THEN 'Blue' ELSE 'No party' END AS party FROM orders""",
 )
 def party_links(t):
-    o, k = t("orders").withColumn("g", F.col("o_custkey") % 50), F.col("o_orderkey")
+    o, k = t("orders").withColumn("g", F.col("o_custkey")), F.col("o_orderkey")
     party = (
         F.when(k % 4 == 0, "<a href='/wiki/Seat'>a</a> <a href='/wiki/Red_Party'>R</a> <a href='/wiki/Blue_Party'>B</a>")
         .when(k % 4 == 1, "<a href='/wiki/Blue_Party'>Red</a>")
@@ -216,20 +203,12 @@ def _people(t):
 _FIRST = "(SELECT c_custkey, any_value(c_name) AS c_name, any_value(c_nationkey) AS c_nationkey, min(o_orderdate) AS d FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)"
 
 
-@query(
-    "H22 H24",
-    f"SELECT c_custkey, c_name AS full_name, strftime(d, '%Y-%m-%d') AS birth_date, NULL::VARCHAR AS death_date, 'P_' || c_custkey AS page_path FROM {_FIRST} WHERE c_custkey % 2 = 0",
-)
-def biographies(t):
-    return _biographies(_people(t).filter("c_custkey % 2 = 0"))
-
-
 @query(
     "H22 H23 H24",
     f"""SELECT c_custkey, c_name AS full_name, strftime(d, '%Y-%m-%d') AS birth_date,
         CASE WHEN c_custkey % 2 = 1 THEN strftime(d + INTERVAL 90 DAY, '%Y-%m-%d') END AS death_date, 'P_' || c_custkey AS page_path FROM {_FIRST}""",
 )
-def biographies_whole(t):
+def biographies(t):
     return _biographies(_people(t))
 
 
@@ -238,20 +217,12 @@ def _biographies(people):
     return people.select("c_custkey", "b.full_name", "b.birth_date", "b.death_date", "b.page_path")
 
 
-@query(
-    "H25 H26 H27 H28 W6",
-    f"SELECT c_custkey, strftime(d, '%Y-%m-%d') AS term_start, strftime(d + INTERVAL 90 DAY, '%Y-%m-%d') AS term_end FROM {_FIRST} WHERE c_custkey % 2 = 0",
-)
-def infobox_terms(t):
-    return _infobox_terms(t).filter(F.col("term_start") != infobox.PLACEHOLDER)
-
-
 @query(
     "H25 H26 H27 H28 W6",
     f"""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN strftime(d, '%Y-%m-%d') ELSE 'YYYY-00-00' END AS term_start,
         CASE WHEN c_custkey % 2 = 0 THEN strftime(d + INTERVAL 90 DAY, '%Y-%m-%d') ELSE 'YYYY-00-00' END AS term_end FROM {_FIRST}""",
 )
-def infobox_terms_whole(t):
+def infobox_terms(t):
     return _infobox_terms(t)
 
 
@@ -264,7 +235,7 @@ def _infobox_terms(t):
     return terms.select("c_custkey", "term_start", "term_end")
 
 
-@query("H8 H24 S21", "SELECT url, min(page_id) AS ord FROM (SELECT page_id, url FROM pages) GROUP BY url")
+@query("S21", "SELECT url, min(page_id) AS ord FROM (SELECT page_id, url FROM pages) GROUP BY url")
 def member_pages(t):
     links = t("pages").select("url", F.col("page_id").alias("ord"))
     return files.member_pages(links.union(links), t("pages").select("url").distinct(), F.col("url")).select("url", "ord")
@@ -285,9 +256,118 @@ def export_tree(t):
     return files.export_tree(pages, offices, links, tables)
 
 
-@query("H8 H14 S4", None)
+@query("S4", None)
 def page_links(t):
     """All links of the landed pages, as holders' links where they can be."""
     page = t("pages").select("page_id", html.html_page(F.concat(F.lit("<table class='infobox vcard'><tr><td>"), F.col("html"), F.lit("</td></tr></table>"))).alias("p"))
     links = page.select("page_id", F.explode("p.rows").alias("r")).select("page_id", F.explode("r.links").alias("a"))
     return links.select("page_id", F.col("a.href").alias("href"), urls.infobox_path(F.col("a.href")).alias("path"))
+
+
+def _small_terms(t, *cells, header="<th>a<th>b<th>c"):
+    o = t("orders").withColumn("g", F.col("o_custkey"))
+    row = F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))
+    return html.table_rows(_html(o, "g", header=header, row=row, order="o_orderkey"), "g")
+
+
+def _person():
+    return F.concat(F.lit("<a href='/wiki/P_"), F.col("o_orderkey").cast("string"), F.lit("'>P</a>"))
+
+
+_WIKI = "'https://en.wikipedia.org/wiki/P_' || o_orderkey AS wiki_link"
+
+
+@query("H5", f"SELECT o_custkey AS g, {_WIKI} FROM orders WHERE o_orderkey % 3 = 0")
+def html_terms_filtered(t):
+    """Rows of the kind asked for, whatever its case and spaces; rows without the cell go too."""
+    k = F.col("o_orderkey") % 3
+    kind = F.when(k == 0, _td("The  <b>CIRCUIT</b>\n Judge (acting)")).when(k == 1, _td("Clerk")).otherwise("")
+    rows = _small_terms(t, _td(_person(), "May 1, 1990", "present"), kind)
+    config = ex.Config(table_no=2, table_rows=3, filter_column=3, filter_criteria=" circuit judge ")
+    return ex.extract(rows, config, "g").select("g", "wiki_link")
+
+
+@query("H13", f"SELECT o_custkey AS g, {_WIKI} FROM orders WHERE o_orderkey % 3 <> 0")
+def html_terms_short_rows(t):
+    """Rows with fewer cells than the config asks for, such as headings within the table, are left out."""
+    short = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("<td colspan=3>"), _person(), F.lit(" heads a part</td><td>x</td>"))).otherwise(_td(_person(), "May 1, 1990", "present"))
+    return ex.extract(_small_terms(t, short), ex.Config(table_no=2, table_rows=3), "g").select("g", "wiki_link")
+
+
+@query(
+    "H17",
+    f"""SELECT o_custkey AS g, {_WIKI}, strftime(o_orderdate, '%Y-%m-%d') AS term_start, strftime(o_orderdate + INTERVAL 90 DAY, '%Y-%m-%d') AS term_end FROM orders""",
+)
+def html_terms_misplaced(t):
+    """The range stands in the column of the config for two rows of three, else in another one."""
+    span = F.concat(F.date_format(_day(), "MMMM d, yyyy"), F.lit(" – "), F.date_format(F.date_add(_day(), 90), "MMMM d, yyyy"))
+    moved = F.col("o_orderkey") % 3 == 0
+    rows = _small_terms(t, _td(_person(), F.when(moved, "see note").otherwise(span), F.when(moved, span).otherwise("note")))
+    config = ex.Config(table_no=2, table_rows=3, term_start_column=1, term_end_column=1, term_dates_merged=True)
+    return ex.extract(rows, config, "g").select("g", "wiki_link", "term_start", "term_end")
+
+
+@query(
+    "H15 F4",
+    f"""SELECT o_custkey AS g, {_WIKI}, year(o_orderdate)::INT AS term_start_year, CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate)::INT + 4 END AS term_end_year FROM orders""",
+)
+def html_terms_years(t):
+    end = F.when(F.col("o_orderkey") % 2 == 0, (F.year(_day()) + 4).cast("string")).otherwise("present")
+    rows = _small_terms(t, _td(_person(), F.concat(F.year(_day()).cast("string"), F.lit(" – "), end)))
+    config = ex.Config(table_no=2, table_rows=2, term_start_column=1, term_end_column=1, term_dates_merged=True, years_only=True)
+    return ex.extract(rows, config, "g").select("g", "wiki_link", "term_start_year", "term_end_year")
+
+
+@query("H4", f"SELECT o_custkey AS g, {_WIKI} FROM orders")
+def html_terms_broken(t):
+    """Markup that the parser does not know costs neither its row nor its page."""
+    odd = F.when(F.col("o_orderkey") % 2 == 0, "<![x[y]]><!foo bar><? x >").otherwise("&#xZZ; </zz><td")
+    rows = _small_terms(t, _td(_person(), "May 1, 1990", F.concat(F.lit("present"), odd)))
+    return ex.extract(rows, ex.Config(table_no=2, table_rows=3), "g").select("g", "wiki_link")
+
+
+@query(
+    "H31",
+    """SELECT n_regionkey, dense_rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INT AS row_index, c::INT AS col_index,
+       CASE WHEN c = 0 THEN n_nationkey::VARCHAR ELSE n_name END AS text, CASE WHEN c = 0 THEN 0 ELSE 1 END::INT AS n_links FROM nation, range(2) r(c)""",
+)
+def full_table(t):
+    return html.full_table(html.table_rows(_nations(t), "n_regionkey"), "n_regionkey", table_no=2)
+
+
+@query(
+    "P21",
+    """SELECT g, row_index, wiki_link FROM (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS row_index, o_orderkey, 'https://en.wikipedia.org/wiki/P_' || o_orderkey AS wiki_link FROM orders)
+       WHERE o_orderkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY row_index) <= 2""",
+)
+def preview_rows(t):
+    """The first two rows of each page that an import would take."""
+    start = F.when(F.col("o_orderkey") % 2 == 0, "May 1, 1990").otherwise("soon")
+    rows = ex.extract(_small_terms(t, _td(_person(), start, "present")), ex.Config(table_no=2, table_rows=3), "g")
+    return ex.preview(rows, "g", most=2).select("g", "row_index", "wiki_link")
+
+
+@query(
+    "F14",
+    """SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN '/wiki/' || n_name WHEN 1 THEN '/wiki/' || n_name WHEN 2 THEN '/wiki/w/' || n_name WHEN 3 THEN '/wiki/' || n_name ELSE '' END AS path FROM nation""",
+)
+def infobox_paths(t):
+    k, name = F.col("n_nationkey") % 5, F.col("n_name")
+    href = (
+        F.when(k == 0, F.concat(F.lit(" ./"), name, F.lit("#Term")))
+        .when(k == 1, F.concat(F.lit("https://en.wikipedia.org/wiki/"), name, F.lit("?action=raw")))
+        .when(k == 2, F.concat(F.lit("/w/"), name))
+        .when(k == 3, name)
+        .otherwise("#top")
+    )
+    return t("nation").select("n_nationkey", urls.infobox_path(href).alias("path"))
+
+
+@query(
+    "S15",
+    """SELECT n_regionkey, 'table_no=2' || chr(10) || 'rows=' || count(*) || chr(10) || string_agg(i || ': ' || n_nationkey || ' | ' || n_name, chr(10) ORDER BY i) AS report
+       FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation) GROUP BY n_regionkey""",
+)
+def debug_export(t):
+    rows = html.full_table(html.table_rows(_nations(t), "n_regionkey"), "n_regionkey", table_no=2)
+    return files.debug_report(rows, {"table_no": 2}, "n_regionkey").select("n_regionkey", "report")

@@ -131,7 +131,7 @@ def holder_keys(t):
 
 
 @query(
-    "F12 F14 F21 H6 H7",
+    "F12 F21 H6 H7",
     """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '/wiki/' || p_partkey WHEN 1 THEN '/wiki/' || p_partkey WHEN 2 THEN '' ELSE '/x/' || p_partkey END AS alt_path,
        p_partkey % 3 = 0 AS mirror, p_partkey % 3 = 2 AS person FROM part""",
 )
@@ -215,8 +215,7 @@ def missing_holder_labels(t):
     k = F.col("c_custkey") % 3
     url = F.concat(F.lit("https://en.wikipedia.org/wiki/Customer_"), F.col("c_custkey").cast("string"))
     label = rules.holder_label(url, F.when(k == 0, "1990"), F.when(k == 1, "1999"))
-    lists = t("customer").select("c_nationkey", label.alias("label")).groupBy("c_nationkey").agg(F.sort_array(F.collect_list("label")).alias("l"))
-    return lists.select("c_nationkey", rules.shown_labels(F.col("l")).alias("labels"))
+    return rules.label_lists(t("customer").select("c_nationkey", label.alias("label")), "c_nationkey")
 
 
 @query(

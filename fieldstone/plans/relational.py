@@ -15,7 +15,7 @@ _AS_OF = "1998-06-01"
 
 
 @query(
-    "J2 J1 P14 T1 T5",
+    "J1 J2 P14",
     f"""SELECT o_orderkey, c_name, n_name, r_name, strftime(o_orderdate, '%Y-%m-%d') AS term_start FROM orders JOIN customer ON o_custkey = c_custkey
         LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
         WHERE o_orderkey % 4 <> 0 AND o_orderdate::DATE BETWEEN DATE '{_AS_OF}' - 90 AND DATE '{_AS_OF}'""",
@@ -40,7 +40,7 @@ def scope_filter(t):
 
 
 @query(
-    "A1 A2 A3 A4 J3 T6 P2",
+    "A1 A2 A3 A4 J3",
     """SELECT s_suppkey, s_name, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS n_lines, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_suppkey = s_suppkey) AS n_parts,
        (SELECT min(l_orderkey) FROM lineitem WHERE l_suppkey = s_suppkey) AS first_order FROM supplier""",
 )
@@ -50,7 +50,7 @@ def page_list_counts(t):
 
 
 @query(
-    "P1 P3 P4 T1",
+    "P1 P3 T1",
     """SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_name ILIKE '%er#0%1%' AND contains(lower(c_name), '01') ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 3""",
 )
 def filtered_page(t):
@@ -65,20 +65,11 @@ def search_two_columns(t):
 
 
 @query(
-    "P8 P9 P11 T2",
-    """SELECT c_custkey, max(o_orderdate) AS checked FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 10 = 0) ON o_custkey = c_custkey GROUP BY c_custkey
-       HAVING (max(o_orderdate) IS NULL OR max(o_orderdate) < TIMESTAMP '1998-06-01' - INTERVAL 30 DAY) AND c_custkey % 30 = 7""",
-)
-def cooldown_batch(t):
-    return _cooldown(t, t("orders").filter("o_orderkey % 10 = 0"))
-
-
-@query(
-    "P8 P9 P11 T2",
+    "P8 P9",
     """SELECT c_custkey, max(o_orderdate) AS checked FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
        HAVING (max(o_orderdate) IS NULL OR max(o_orderdate) < TIMESTAMP '1998-06-01' - INTERVAL 30 DAY) AND c_custkey % 30 = 7""",
 )
-def cooldown_batch_whole(t):
+def cooldown_batch(t):
     return _cooldown(t, t("orders"))
 
 
@@ -170,7 +161,7 @@ def placeholders_by_name(t):
     return lookup.placeholders_like(holes, rows, "office_id", "name").select("c_custkey", "placeholder_id")
 
 
-@query("A5 A8 J12", "SELECT l_suppkey, l_returnflag, count(*) AS n, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS statuses FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+@query("A5 A8", "SELECT l_suppkey, l_returnflag, count(*) AS n, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS statuses FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def repeated_keys(t):
     return t("lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("l_linestatus")), ",").alias("statuses")).filter("n > 1")
 
@@ -202,7 +193,7 @@ def gaps_islands_days(t):
 
 
 @query(
-    "W2 H14",
+    "W2",
     """WITH v AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS v FROM events)
        SELECT user_id, event_id, coalesce(v, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS v FROM v""",
 )
@@ -221,7 +212,7 @@ def dedupe_first(t):
     return ordered.first_of_key(t("lineitem"), *keys, order=[F.col("l_orderkey"), F.col("l_linenumber")], comparable=F.col("l_quantity") <= 45).select("l_orderkey", "l_linenumber")
 
 
-@query("W4 A7 J14", "SELECT doc_id, min(doc_id) OVER (PARTITION BY trim(coalesce(text, ''))) AS keeper_id FROM documents")
+@query("A7", "SELECT doc_id, min(doc_id) OVER (PARTITION BY trim(coalesce(text, ''))) AS keeper_id FROM documents")
 def keep_least_id(t):
     return ordered.keeper(t("documents").select("doc_id", "text"), F.sha2(F.trim(F.coalesce("text", F.lit(""))), 256), "doc_id").select("doc_id", "keeper_id")
 
@@ -409,7 +400,7 @@ def unseen_people(t):
 
 
 @query(
-    "I6 A9 A15",
+    "I6 A9",
     """WITH r AS (SELECT l_suppkey % 50 AS k, round(avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END), 6) AS fill_rate FROM lineitem GROUP BY 1)
        SELECT k, fill_rate, CASE WHEN k % 2 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS last_rate FROM r WHERE k % 5 <> 0 AND CASE WHEN k % 2 = 0 THEN 0.9 ELSE 0.5 END - fill_rate > 0.3""",
 )
@@ -427,10 +418,10 @@ def fill_rate_drops(t):
 def expired_jobs(t):
     k = F.col("event_id")
     e = t("events").withColumn("as_of", F.lit(None).cast("timestamp"))
-    last = t("events").agg(F.max("ts").cast("timestamp").alias("last")).first()["last"]
+    last = t("events").agg(F.max("ts").cast("timestamp").alias("last"))  # one row
     status = F.when(k % 4 == 3, "done").when(k % 3 == 0, "queued").otherwise("running")
     jobs = e.select("event_id", status.alias("status"), F.when(k % 2 == 0, "full").otherwise("delta").alias("mode"), F.col("ts").cast("timestamp").alias("queued_at"), F.lit(None).cast("timestamp").alias("started_at"))
-    return diff.expired_jobs(jobs, F.lit(last)).select("event_id", "reason")
+    return diff.expired_jobs(jobs.join(F.broadcast(last)), F.col("last")).select("event_id", "reason")
 
 
 @query(
@@ -488,22 +479,12 @@ def failure_groups(t):
     return quality.grouped_failures(f, f.limit(0).select(F.lit("").alias("fingerprint"))).select("fingerprint", "n", "representative")
 
 
-@query(
-    "A16",
-    """SELECT s_suppkey, count(*) FILTER (WHERE l_linenumber % 3 > 0) AS n_sources, s_suppkey % 4 <> 0 AND count(*) FILTER (WHERE l_linenumber % 3 > 0) >= 2 AND coalesce(bool_or(l_linenumber % 3 > 0 AND l_returnflag = 'R'), false) AS is_notable
-       FROM supplier JOIN (SELECT * FROM lineitem WHERE l_orderkey % 40 = 0) ON l_suppkey = s_suppkey GROUP BY s_suppkey""",
-)
-def notability(t):
-    sources = t("lineitem").filter("l_orderkey % 40 = 0")
-    return _notability(sources, t("supplier").join(sources.select(F.col("l_suppkey").alias("s_suppkey")).distinct(), "s_suppkey"))
-
-
 @query(
     "A16",
     """SELECT s_suppkey, count(*) FILTER (WHERE l_linenumber % 3 > 0) AS n_sources, s_suppkey % 4 <> 0 AND count(*) FILTER (WHERE l_linenumber % 3 > 0) >= 2 AND coalesce(bool_or(l_linenumber % 3 > 0 AND l_returnflag = 'R'), false) AS is_notable
        FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey""",
 )
-def notability_whole(t):
+def notability(t):
     return _notability(t("lineitem"), t("supplier"))
 
 
@@ -527,7 +508,7 @@ def page_states(t):
     return t("events").select("event_id", quality.page_state(k != 0, k != 1, verdict, F.when(k == 5, "valid").otherwise("invalid")).alias("state"))
 
 
-@query("A14 P18", "SELECT count(DISTINCT l_suppkey) AS offices, count(*) FILTER (WHERE l_returnflag = 'R') AS unchanged, count(*) AS terms, count(DISTINCT l_partkey) AS links FROM lineitem")
+@query("A14", "SELECT count(DISTINCT l_suppkey) AS offices, count(*) FILTER (WHERE l_returnflag = 'R') AS unchanged, count(*) AS terms, count(DISTINCT l_partkey) AS links FROM lineitem")
 def run_counters(t):
     rows = t("lineitem").select(F.col("l_suppkey").alias("office_id"), F.when(F.col("l_returnflag") == "R", "unchanged").otherwise("new").alias("change_type"), F.col("l_partkey").alias("wiki_url"))
     return quality.run_counters(rows)
@@ -542,6 +523,6 @@ def open_items(t):
     return quality.open_items(flags, t("supplier").select((F.col("s_suppkey") % 2 == 1).alias("resolved"), F.col("s_name").alias("subject")))
 
 
-@query("P10 P23 W9 T4", "SELECT o_orderpriority, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS next_job FROM orders WHERE o_orderstatus = 'O' GROUP BY o_orderpriority")
+@query("T4", "SELECT o_orderpriority, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS next_job FROM orders WHERE o_orderstatus = 'O' GROUP BY o_orderpriority")
 def next_queued(t):
     return t("orders").filter("o_orderstatus = 'O'").groupBy("o_orderpriority").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("next_job"))

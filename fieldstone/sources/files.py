@@ -52,9 +52,21 @@ def import_counts(typed: DataFrame) -> DataFrame:
     return typed.agg(F.count_if("ok").alias("imported"), F.count_if(~F.col("ok")).alias("errors"))
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Golden tests; `problem` says why an entry is not valid."""
-    raw = spark.read.json(path, schema=MANIFEST, multiLine=True)
+def import_parties(stored: DataFrame, typed: DataFrame, overwrite: bool = False) -> DataFrame:
+    """Stored parties (country, name, link) after an import of the rows that are ok; with overwrite the parties of the countries in the file go first."""
+    fresh = typed.filter("ok").drop("ok").dropDuplicates(["country", "name"])
+    if overwrite:
+        stored = stored.join(fresh.select("country").distinct(), "country", "left_anti")
+    return stored.unionByName(fresh.join(stored, ["country", "name"], "left_anti"))
+
+
+def seeded(stored: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
+    """A reference table with the seed rows whose key it lacks."""
+    return stored.unionByName(rows.dropDuplicates(list(key)).join(stored, list(key), "left_anti"))
+
+
+def judged_manifest(raw: DataFrame) -> DataFrame:
+    """Manifest entries with `problem`, which says why an entry is not valid."""
     relative = ~F.col("html_file").rlike(r"^(/|[A-Za-z]:)|(^|/)\.\.(/|$)")
     problem = (
         F.when(F.coalesce("name", F.lit("")) == "", "no name")
@@ -64,6 +76,25 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("problem", problem)
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Golden tests out of a JSON file, judged."""
+    return judged_manifest(spark.read.json(path, schema=MANIFEST, multiLine=True))
+
+
+def export_manifest(stored: DataFrame) -> DataFrame:
+    """A JSON text for each stored test, as a manifest holds it."""
+    names = [c.split(" ")[0] for c in MANIFEST.split(", ")]
+    return stored.select("name", F.to_json(F.struct(*names)).alias("entry"))
+
+
+def seed_manifest(stored: DataFrame, entries: DataFrame) -> DataFrame:
+    """The entries if nothing is stored, else what is stored."""
+    some = stored.agg((F.count("*") > 0).alias("_some"))
+    valid = entries.filter("problem IS NULL").drop("problem").dropDuplicates(["name"])
+    # one row, so the product is as large as the entries
+    return stored.unionByName(valid.join(F.broadcast(some), ~F.col("_some")).select(*stored.columns))
+
+
 def import_manifest(stored: DataFrame, entries: DataFrame, overwrite: bool = False) -> DataFrame:
     """Stored tests after an import: new names are added; with overwrite, entries replace those of their name."""
     valid = entries.filter("problem IS NULL").drop("problem").dropDuplicates(["name"])
@@ -98,3 +129,25 @@ def member_pages(links: DataFrame, pages: DataFrame, url: Column) -> DataFrame:
     """The pages of the distinct links, each with the place where its link is met first."""
     firsts = links.select(url.alias("url"), "ord").filter("url IS NOT NULL").groupBy("url").agg(F.min("ord").alias("ord"))
     return firsts.join(pages, "url", "left")
+
+
+def primed_cache(cache: DataFrame, pages: DataFrame, fetched_at: Column) -> DataFrame:
+    """The cache (cache_key, html, fetched_at) after pages with a cache_key were written to it; what was there before gives way."""
+    fresh = pages.select("cache_key", "html", fetched_at.alias("fetched_at"))
+    return cache.join(fresh, "cache_key", "left_anti").unionByName(fresh)
+
+
+def read_through(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """wanted (cache_key, ...) with the html of the cache, and `hit`; misses are to be fetched."""
+    held = cache.select("cache_key", "html", F.lit(True).alias("hit"))
+    return wanted.join(held, "cache_key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def debug_report(rows: DataFrame, config: dict[str, object], *keys: str) -> DataFrame:
+    """`report`: for each page the config, the number of rows and the rows (row_index, col_index, text) as lines of text."""
+    lines = rows.groupBy(*keys, "row_index").agg(F.sort_array(F.collect_list(F.struct("col_index", "text"))).alias("cells"))
+    line = F.concat(F.col("row_index").cast("string"), F.lit(": "), F.array_join(F.transform("cells", lambda c: c["text"]), " | "))
+    pages = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("row_index", line.alias("line")))).alias("lines"))
+    head = [F.lit(f"{name}={value}") for name, value in config.items()]
+    text = F.concat(F.array(*head, F.concat(F.lit("rows="), F.size("lines").cast("string"))), F.transform("lines", lambda x: x["line"]))
+    return pages.select(*keys, F.array_join(text, "\n").alias("report"))

@@ -88,6 +88,14 @@ class _Builder(HTMLParser):
         if x.parent is not None:
             self.at = x.parent
 
+    def parse_marked_section(self, i, report=1):
+        """A marked section that the parser does not know ends at its bracket, as a comment would; the page goes on."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else len(self.rawdata)
+
     def handle_data(self, data):
         self.at.children.append(data)
 
@@ -189,3 +197,10 @@ def link_map(rows: DataFrame, *carried: str) -> DataFrame:
     """(row_index, col_index) of the cells that hold a link."""
     cells = rows.select(*carried, "table_no", "row_index", F.posexplode("cells").alias("col_index", "c"))
     return cells.filter(F.size("c.links") > 0).select(*carried, "table_no", "row_index", "col_index")
+
+
+def full_table(rows: DataFrame, *carried: str, table_no: int) -> DataFrame:
+    """Every cell of the data rows of one table, however many there are: row_index, col_index, text, n_links."""
+    own = rows.filter((F.col("table_no") == table_no) & (F.col("row_index") > 0))
+    cells = own.select(*carried, "row_index", F.posexplode("cells").alias("col_index", "c"))
+    return cells.select(*carried, "row_index", "col_index", F.col("c.text_sp").alias("text"), F.size("c.links").alias("n_links"))

@@ -2,7 +2,7 @@
 
 Each rule is a regular expression.  `trigram_query` derives from it a Boolean
 query over lower-cased trigrams: an OR of clauses, each an AND of trigrams that
-every match must contain.  `postings` lists, for the bounded set of trigrams in
+every match must contain; `index_query` keeps the rarest of each.  `postings` lists, for the bounded set of trigrams in
 the rules' queries, the documents that contain them; `candidates` intersects
 the postings clause by clause.  Only candidates are verified with the regular
 expression; rules without mandatory trigrams scan every text.
@@ -80,6 +80,9 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 _MOST_STRINGS = 64
+_MOST_TRIGRAMS = 2
+#: Letters from the rarest in prose to the commonest.
+_LETTERS = "zqxjkvbpygfwmucldrhsnioate"
 
 
 def _strings(items) -> set[str] | None:
@@ -149,6 +152,14 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return sorted((c for c in clauses if not any(d < c for d in clauses)), key=sorted)
 
 
+def index_query(pattern: str) -> list[frozenset[str]] | None:
+    """The trigram query with at most _MOST_TRIGRAMS of each clause, those that prose has least often; what it lets through is verified anyway."""
+    clauses = trigram_query(pattern)
+    # signs and digits first, then letters by how rare they are in prose
+    common = lambda t: (sum(_LETTERS.find(c) + 1 for c in t), t)
+    return clauses and [frozenset(sorted(c, key=common)[:_MOST_TRIGRAMS]) for c in clauses]
+
+
 def _keyed(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", *carried, text.alias("text"), F.xxhash64(text).alias("text_key"))
@@ -169,7 +180,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     terms = [
         (t, r.kind, n, 1 << i, (1 << len(clause)) - 1)
         for r in rules
-        for n, clause in enumerate(trigram_query(r.pattern) or [])
+        for n, clause in enumerate(index_query(r.pattern) or [])
         for i, t in enumerate(sorted(clause))
     ]
     table = docs.sparkSession.createDataFrame(terms, "trigram string, kind string, clause int, bit long, whole long")

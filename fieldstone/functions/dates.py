@@ -25,6 +25,11 @@ RANGE_DELIMITERS = ("–", "-", " —<br/>", " to ", " – ", ", to ")
 SPECIAL_ENDS = ("incumbent", "n/a", "present")
 NO_DATE_WORDS = ("present", "n/a", "incumbent", "invalid date")
 INVALID = "Invalid date"
+FOOTNOTE = r"(?U)\[\w+\]"
+PARENTHESES = r"\([^)]*\)"
+OLD_STYLE = r"(?i)\s*\[[^\]]*O\.?S\.[^\]]*\]"
+MONTH_DAY_WITHOUT_COMMA = rf"(\b(?:{MONTHS})\s+\d{{1,2}})\s+(\d{{4}}\b)"
+IN_OFFICE = r"(?i)^in office "
 
 _ISO = r"^\d{4}-\d{2}-\d{2}$"
 _YEAR = r"\b((?:17|18|19|20)\d{2})\b"
@@ -50,7 +55,8 @@ def real_date(value: Column) -> Column:
 
 
 def _built(day: Column, month: Column, year: Column) -> Column:
-    number = (F.call_function("instr", F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(month, 1, 3))) + 2) / 3
+    # names of three letters and a bar each
+    number = (F.call_function("instr", F.lit(SHORT_MONTHS.lower()), F.lower(F.substring(month, 1, 3))) + 3) / 4
     text = F.concat_ws("-", year, F.lpad(number.cast("int").cast("string"), 2, "0"), F.lpad(day, 2, "0"))
     return F.when(year.isNotNull(), F.date_format(text.try_cast("date"), "yyyy-MM-dd"))
 
@@ -125,17 +131,17 @@ def _formatted(text: Column, known: Column | None) -> Column:
 
 
 def without_footnotes(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\[\w+\]", "")
+    return F.regexp_replace(text, FOOTNOTE, "")
 
 
 def without_parentheses(text: Column) -> Column:
-    return F.regexp_replace(text, r"\([^)]*\)", "")
+    return F.regexp_replace(text, PARENTHESES, "")
 
 
 def _cleaned(value: Column) -> Column:
     text = without_parentheses(without_footnotes(F.coalesce(value, F.lit(""))))
-    text = F.trim(F.regexp_replace(text, r"(?i)\s*\[[^\]]*O\.?S\.[^\]]*\]", ""))
-    return F.regexp_replace(text, rf"(\b(?:{MONTHS})\s+\d{{1,2}})\s+(\d{{4}}\b)", "$1, $2")
+    text = F.trim(F.regexp_replace(text, OLD_STYLE, ""))
+    return F.regexp_replace(text, MONTH_DAY_WITHOUT_COMMA, "$1, $2")
 
 
 def _halves(text: Column) -> Column:
@@ -153,7 +159,7 @@ def _halves(text: Column) -> Column:
 
 
 def _bare_side(part: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(part), r"(?i)^in office ", ""))
+    return F.trim(F.regexp_replace(F.trim(part), IN_OFFICE, ""))
 
 
 def _side(part: Column, free_form: bool, known: Column | None) -> Column:

@@ -51,23 +51,31 @@ def check_type(url: Column, name: Column) -> Column:
     return F.when(missing, "missing_wiki_url").when(F.coalesce(name, F.lit("")) == "", "incomplete_individual").otherwise("general")
 
 
+# What the markup of an article has to hold, and the names of what it lacks.
+WIKITEXT_NEEDS = (
+    (r"(?i)\{\{infobox officeholder", "missing_infobox"),
+    ("(?i)<ref", "missing_refs"),
+    (r"(?i)\{\{reflist", "missing_reflist"),
+    (r"(?i)==\s*References\s*==", "missing_references_section"),
+    (r"(?i)\[\[Category:", "missing_categories"),
+)
+NOWIKI = "(?is)<nowiki>.*?</nowiki>"
+BIRTH_DATE = r"(?i)\|\s*birth_date\s*=\s*\S"
+BORN = r"(?i)\bborn\s+\w"
+BIRTH_TEMPLATE = r"(?i)\{\{birth date"
+
+
 def wikitext_errors(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
-    return _messages(
-        (~text.rlike(r"(?i)\{\{infobox officeholder"), "missing_infobox"),
-        (~text.rlike("(?i)<ref"), "missing_refs"),
-        (~text.rlike(r"(?i)\{\{reflist"), "missing_reflist"),
-        (~text.rlike(r"(?i)==\s*References\s*=="), "missing_references_section"),
-        (~text.rlike(r"(?i)\[\[Category:"), "missing_categories"),
-    )
+    return _messages(*[(~text.rlike(pattern), name) for pattern, name in WIKITEXT_NEEDS])
 
 
 def wikitext_warnings(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
-    shown = F.regexp_replace(text, "(?is)<nowiki>.*?</nowiki>", "")
+    shown = F.regexp_replace(text, NOWIKI, "")
     count = lambda s: F.length(shown) - F.length(F.replace(shown, F.lit(s), F.lit(s[0])))
-    born = text.rlike(r"(?i)\|\s*birth_date\s*=\s*\S") | text.rlike(r"(?i)\bborn\s+\w")
-    return _messages((count("{{") != count("}}"), "unmatched_braces"), (born & ~text.rlike(r"(?i)\{\{birth date"), "missing_birth_date_template"))
+    born = text.rlike(BIRTH_DATE) | text.rlike(BORN)
+    return _messages((count("{{") != count("}}"), "unmatched_braces"), (born & ~text.rlike(BIRTH_TEMPLATE), "missing_birth_date_template"))
 
 
 def fingerprint(prefix: str, *parts: Column) -> Column:

@@ -22,6 +22,9 @@ IGNORED_LINKS = (
 
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
+# Fixed value: links to parties are not links to persons.
+PARTY_PAGE = r"(?U)/wiki/[\w%]+_Party(?:_\([^)]*\))?$"
+
 
 def _part(url: Column, k: int) -> Column:
     return F.regexp_extract(F.trim(url), _URL, k)
@@ -130,7 +133,7 @@ def is_person_link(link: Column) -> Column:
     return (
         bare.startswith(f"{WIKI_BASE}/wiki/")
         & ~is_ignored(bare)
-        & ~bare.rlike(r"(?U)/wiki/[\w%]+_Party(?:_\([^)]*\))?$")
+        & ~bare.rlike(PARTY_PAGE)
         & (F.instr(bare, "/wiki/File:") == 0)
         & (F.instr(bare, "/wiki/Special:") == 0)
     )

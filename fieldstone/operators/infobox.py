@@ -13,6 +13,8 @@ from ..functions.common import once
 
 #: Both dates of the one term of a person whose infobox gives none.
 PLACEHOLDER = "YYYY-00-00"
+# Fixed value: words in the place of a date that are none.
+NO_DATES = ("assumed office", "incumbent", "invalid date")
 
 
 def role_query(raw: str | None) -> tuple[list[str], list[str]]:
@@ -106,7 +108,7 @@ def infobox_terms(pages: DataFrame, offices: DataFrame, *keys: str, role: str |
     alone = lambda text: F.regexp_replace(text, r"(?i)^\s*assumed office\s*", "")
 
     def dated(text: Column, known: Column | None) -> Column:
-        bad = lambda c: F.lower(c).isin("assumed office", "incumbent", "invalid date")
+        bad = lambda c: F.lower(c).isin(*NO_DATES)
 
         def judged(d: Column) -> Column:
             span = d["span"]

@@ -13,7 +13,8 @@ Range partitions over (hash, doc_id) split what a common passage brings over
 as many tasks as needed; a task reads its rows as a stream.  Runs that cross
 the border of two partitions are settled by the least doc_id of each such
 hash, of which there are two a partition at most.  Exact copies of a text
-are settled first: all windows of a later copy repeat.
+are settled first: all windows of a later copy repeat; a group of copies that
+holds many of all rows is dealt over several tasks.
 
 Defined results: null and empty texts have no words; a text under 13 words has no
 windows and keeps all words; a document with a null doc_id neither removes nor loses
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import Tables
 from .words import BLANK_WORDS, Block, blocks, grams
 
 WINDOW, SEED = 13, 5
@@ -203,28 +205,48 @@ def _sorted(pairs: DataFrame) -> DataFrame:
     return pairs.repartitionByRange(n, *_PAIRS).sortWithinPartitions(*_PAIRS)
 
 
+#: A group of copies that holds over one row in this many is dealt over several tasks; so there are no more such groups than that.
+HOT = 2048
+
+_TEXT = ["k1", "k2", "k3"]
+
+
+def _copies(named: DataFrame) -> DataFrame:
+    """doc_id and `copied`, the hashes of those of its texts that a smaller doc_id has too."""
+    keys = named.select("doc_id", F.xxhash64("text").alias("k1"), F.crc32(F.encode("text", "UTF-8")).alias("k2"), F.octet_length("text").alias("k3"))
+    most = max(named.count() // HOT, 1)
+    groups = keys.groupBy(*_TEXT).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("first < last")
+    cells = groups.select(*_TEXT, "first", F.explode(F.sequence(F.lit(0), (F.col("n") / most).cast("int"))).alias("cell"))
+    # as many rows as there are groups of over a HOT-th of all rows
+    hot = F.broadcast(groups.filter(F.col("n") > most).select(*_TEXT, ((F.col("n") / most).cast("int") + 1).alias("n_cells")))
+    placed = keys.join(hot, _TEXT, "left").withColumn("cell", F.coalesce(F.pmod(F.xxhash64("doc_id"), "n_cells").cast("int"), F.lit(0)))
+    return placed.join(cells, [*_TEXT, "cell"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("k1").alias("copied"))
+
+
 def dedup(docs: DataFrame, length: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, spans removed (start, end in words) and the words left, joined by one space."""
+    """doc_id, n_words, n_removed, spans removed (start, end in words) and the words left, joined by one space.
+
+    What copies and repeats are is written as tables first, so it is computed once and all later steps see the same borders of partitions.
+    """
+    tables = Tables(docs.sparkSession, "substring")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     named = texts.filter("doc_id IS NOT NULL")
-    keys = named.select("doc_id", F.xxhash64("text").alias("k1"), F.crc32(F.encode("text", "UTF-8")).alias("k2"), F.octet_length("text").alias("k3"))
-    firsts = keys.groupBy("k1", "k2", "k3").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    copies = keys.join(firsts, ["k1", "k2", "k3"]).filter("doc_id > first").select("doc_id").distinct()
+    copies = tables.write("copies", _copies(named))
+    is_copy = F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False))
 
     pairs = "hash long, doc_id long"
     # copies can't seed: what they share with later documents their first one shares too
-    seeds = _sorted(named.join(copies, "doc_id", "left_anti").mapInArrow(_anchors(length), pairs)).mapInArrow(_shared, pairs)
+    firsts = named.join(copies, "doc_id", "left").filter(~is_copy).select("doc_id", "text")
+    seeds = _sorted(firsts.mapInArrow(_anchors(length), pairs)).mapInArrow(_shared, pairs)
     seeds = seeds.groupBy("doc_id").agg(F.collect_list("hash").alias("seeds"))
     windows = named.join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_seeded(length), pairs)
-    said = _sorted(windows).mapInArrow(_repeats, pairs + ", says int")
+    said = tables.write("said", _sorted(windows).mapInArrow(_repeats, pairs + ", says int"))
     border = said.filter(F.col("says") != _SURE).groupBy("hash").agg(F.min("doc_id").alias("least"))
     # two hashes for each partition at most
     settled = said.filter(F.col("says") == _OPEN).join(F.broadcast(border), "hash").filter("doc_id > least")
     repeats = said.filter(F.col("says") == _SURE).select(*_PAIRS).unionByName(settled.select(*_PAIRS))
     repeats = repeats.groupBy("doc_id").agg(F.collect_list("hash").alias("hits"))
-    flagged = copies.withColumn("copy", F.lit(True))
-    ready = texts.join(repeats, "doc_id", "left").join(flagged, "doc_id", "left")
-    ready = ready.select("doc_id", "text", "hits", F.coalesce("copy", F.lit(False)).alias("copy"))
+    ready = texts.join(repeats, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "hits", is_copy.alias("copy"))
     return ready.mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, spans array<struct<start:bigint,end:bigint>>, text string")
 
 

@@ -359,6 +359,15 @@ def test_substring_dedup_common_passages(spark):
     same(rows(substring.digest(df), "doc_id", "n_words", "n_removed", "kept_sha256"), brute.substring_dedup(plain))
 
 
+def test_substring_dedup_copies(spark):
+    """A group of copies over many tasks, and doc_ids whose rows differ: one row a copy, the other not."""
+    rng = random.Random(9)
+    a, b, c = (" ".join(prose(rng, 40)) for _ in range(3))
+    plain = [(k, a) for k in range(3000)] + [(5, b), (7, b), (7, c), (9, None), (9, c), (None, a), (8, "")]
+    df = spark.createDataFrame(plain, "doc_id long, text string").repartition(6)
+    same(rows(substring.digest(df), "doc_id", "n_words", "n_removed", "kept_sha256"), brute.substring_dedup(plain))
+
+
 def test_sharding(docs):
     df, plain = docs
     got = sharding.shard(df).collect()

@@ -192,6 +192,25 @@ def duration_text(seconds: Column) -> Column:
     return F.concat_ws(" ", F.when(h > 0, F.concat(h, F.lit("h"))), F.when((h > 0) | (m > 0), F.concat(m, F.lit("m"))), F.concat(s, F.lit("s")))
 
 
+def minutes_text(seconds: Column) -> Column:
+    """'123m 4s', or '4s' under a minute: hours are not split off."""
+    whole = F.floor(seconds)
+    return F.concat(F.when(whole >= 60, F.concat(F.floor(whole / 60), F.lit("m "))).otherwise(""), whole % 60, F.lit("s"))
+
+
+def error_lines(errors: Column) -> Column:
+    """An array of structs (url, message) as indented lines, 'None' for no errors; null or empty parts are unknown."""
+    part = lambda c, none: F.coalesce(F.nullif(c, F.lit("")), F.lit(none))
+    lines = F.transform(errors, lambda e: F.concat(F.lit("  "), part(e["url"], "unknown"), F.lit("\n    "), part(e["message"], "unknown error")))
+    return F.coalesce(F.nullif(F.array_join(lines, "\n"), F.lit("")), F.lit("None"))
+
+
+def file_name(name: Column, most: int = 80) -> Column:
+    """A name as a file name: runs of white space and of characters that file systems refuse become one underscore; 'office' if nothing is left."""
+    clean = F.regexp_replace(F.trim(F.coalesce(name, F.lit(""))), r'[<>:"/\\|?*\s]+', "_")
+    return F.substring(F.coalesce(F.nullif(F.regexp_replace(clean, "^_+|_+$", ""), F.lit("")), F.lit("office")), 1, most)
+
+
 def diff_counts(patch: Column) -> Column:
     """struct(changed lines, whether a line touches DDL, whether it imports, whether it changes a signature) of a unified diff."""
     lines = F.filter(F.split(F.coalesce(patch, F.lit("")), "\n"), lambda x: x.rlike(r"^[+-](?![+-]{2})"))

@@ -214,3 +214,22 @@ def level_problem(level: Column, state: Column, city: Column, branch: Column) ->
         .when((low == "state") & city.isNotNull(), "state offices have no city")
         .when((low == "local") & (state.isNull() | city.isNull()), "local offices need a state and a city")
     )
+
+
+def scoped_filters(wanted: DataFrame, filters: DataFrame, bridges: Mapping[str, DataFrame], filter_id: str, *keys: str) -> DataFrame:
+    """`filter_id` for each row: the least filter with its keys whose scope is the row's in every dimension, null if there is none.
+
+    bridges: a dimension's column -> (filter_id, that column); a row without a value meets the filters that have no row in that bridge.
+    """
+    scoped = filters.select(filter_id, *keys)
+    for dimension, bridge in bridges.items():
+        scoped = scoped.join(bridge.select(filter_id, dimension), filter_id, "left")
+    least = scoped.groupBy(*keys, *bridges).agg(F.min(filter_id).alias(filter_id))
+    w, s = wanted.alias("w"), least.alias("s")
+    met = [F.col(f"w.{k}") == F.col(f"s.{k}") for k in keys] + [F.col(f"w.{d}").eqNullSafe(F.col(f"s.{d}")) for d in bridges]
+    return w.join(s, met, "left").select("w.*", F.col(f"s.{filter_id}").alias(filter_id))
+
+
+def unresolved(resolved: str = "resolved") -> Column:
+    """What is open: marked as not resolved; a row without a mark is neither."""
+    return F.coalesce(~F.col(resolved).cast("boolean"), F.lit(False))

@@ -89,3 +89,16 @@ def renumbered(rows: DataFrame, changes: DataFrame, *keys: str, number: str) ->
     back = changes.select(*keys, F.col("new_number").alias(number), F.col(number).alias("_to"))
     moves = forth.unionByName(back.join(forth, [*keys, number], "left_anti"))
     return rows.join(moves, [*keys, number], "left").withColumn(number, F.coalesce("_to", number)).drop("_to")
+
+
+def table_proposals(configs: DataFrame, scores: DataFrame, key: str, candidate: str, confirmed: Column) -> DataFrame:
+    """What a search for a better table says of each config (key, candidate, n_terms, current_missing), and the table after it.
+
+    message: 'no terms', 'none better', 'proposed' or, where it was confirmed, 'updated'.
+    """
+    searched = configs.filter("n_terms > 0").select(key, "current_missing")
+    best = best_candidate(scores.join(searched, key), key, candidate=candidate).select(key, F.col(candidate).alias("proposed"), F.col("missing").alias("missing_after"))
+    found, taken = F.col("proposed").isNotNull(), F.coalesce(confirmed, F.lit(False))
+    message = F.when(F.coalesce("n_terms", F.lit(0)) == 0, "no terms").when(~found, "none better").when(taken, "updated").otherwise("proposed")
+    before = F.when(message != "no terms", F.col("current_missing")).alias("missing_before")
+    return configs.join(best, key, "left").select(key, message.alias("message"), F.when(found & taken, F.col("proposed")).otherwise(F.col(candidate)).alias(candidate), "proposed", before, "missing_after")

@@ -122,3 +122,8 @@ def run_counters(rows: DataFrame) -> DataFrame:
         F.count("*").alias("terms"),
         F.count_distinct("wiki_url").alias("links"),
     )
+
+
+def eligible(people: DataFrame, most: int = 50) -> DataFrame:
+    """The next people to check: those with a placeholder or no link, `most` by their ids."""
+    return people.filter(F.col("wiki_url").startswith("No link:") | (F.col("wiki_url") == "")).orderBy("individual_id").limit(most)

@@ -84,7 +84,7 @@ def years_of(t):
     return t("orders").select("o_orderkey", dates.year_of(text).alias("y"))
 
 
-@query("F29 P9", "SELECT o_orderkey, (isodow(o_orderdate) - 1)::INT AS weekday_batch, (day(o_orderdate) % 30)::INT AS month_batch FROM orders")
+@query("F29 P9 I8", "SELECT o_orderkey, (isodow(o_orderdate) - 1)::INT AS weekday_batch, (day(o_orderdate) % 30)::INT AS month_batch FROM orders")
 def refresh_batches(t):
     return t("orders").select("o_orderkey", dates.weekday_batch(_day()).alias("weekday_batch"), dates.month_batch(_day()).alias("month_batch"))
 
@@ -104,7 +104,7 @@ _NAME = "replace(c_name, '#', '_')"
 
 
 @query(
-    "F9 F10 Q12",
+    "F9 F10 F11 Q12",
     f"""SELECT c_custkey,
        CASE c_custkey % 5 WHEN 0 THEN '/wiki/' || lower({_NAME}) WHEN 1 THEN '/wiki/' || lower({_NAME}) WHEN 2 THEN '/wiki/(' || lower({_NAME}) || ')+x'
             WHEN 3 THEN 'No link:7:' || {_NAME} ELSE 'https://example.org/w/index.php?title=' || {_NAME} || '&redlink=1' END AS canonical,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import diff, lookup, ordered, quality, writes
-from ..sources import files
+from ..sources import files, html
 from .registry import query
 
 _TS = "timestamp_ntz"
@@ -394,3 +394,89 @@ def edited_references(t):
     of_nation = F.col("id") <= 24
     edited = writes.set_where(grown, of_nation & (F.col("id") % 4 == 1), {"name": F.concat("name", F.lit("*"))})
     return writes.delete(edited, stored.filter("id % 4 = 2"), "id")
+
+
+@query(
+    "J5",
+    """WITH f AS (SELECT p_partkey AS filter_id, p_partkey % 40 AS role_key, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 7 END AS c, CASE WHEN p_partkey % 5 > 0 THEN p_partkey % 4 END AS l, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 3 END AS b FROM part)
+       SELECT c_custkey, (SELECT min(filter_id) FROM f WHERE role_key = c_custkey % 40 AND c IS NOT DISTINCT FROM CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 7 END
+         AND l IS NOT DISTINCT FROM CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 4 END AND b IS NOT DISTINCT FROM CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 3 END) AS filter_id FROM customer""",
+)
+def scoped_filters(t):
+    """Filters found by a role and by the scope of three bridges, where none stands for all."""
+    k, c = F.col("p_partkey"), F.col("c_custkey")
+    filters = t("part").select(k.alias("filter_id"), (k % 40).alias("role_key"))
+    bridge = lambda name, has, by: t("part").filter(has).select(k.alias("filter_id"), (k % by).alias(name))
+    bridges = {"country_id": bridge("country_id", k % 3 > 0, 7), "level_id": bridge("level_id", k % 5 > 0, 4), "branch_id": bridge("branch_id", k % 2 == 0, 3)}
+    wanted = t("customer").select("c_custkey", (c % 40).alias("role_key"), F.when(c % 4 > 0, c % 7).alias("country_id"), F.when(c % 3 > 0, c % 4).alias("level_id"), F.when(c % 2 == 0, c % 3).alias("branch_id"))
+    return lookup.scoped_filters(wanted, filters, bridges, "filter_id", "role_key").select("c_custkey", "filter_id")
+
+
+@query("P15", "SELECT event_id FROM events WHERE event_id % 3 = 1 UNION ALL SELECT event_id FROM events WHERE event_id % 3 = 0 AND event_type = 'click'")
+def unresolved_events(t):
+    """Changes that are open, and those of a status among the resolved ones; a third have no mark."""
+    k = F.col("event_id") % 3
+    marked = t("events").withColumn("resolved", F.when(k == 0, 1).when(k == 1, 0))
+    of_status = lookup.optional_filters(marked.filter("resolved = 1"), {"event_type": "click", "user_id": None})
+    return marked.filter(lookup.unresolved()).select("event_id").union(of_status.select("event_id"))
+
+
+@query(
+    "I13 W7",
+    """WITH c AS (SELECT l_suppkey, l_linenumber, count(*) AS n_rows, count(DISTINCT l_partkey) % 11 AS missing FROM lineitem GROUP BY ALL),
+       b AS (SELECT l_suppkey, l_linenumber AS proposed, missing AS missing_after FROM c WHERE missing < 6 AND l_suppkey % 5 > 0 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY missing, n_rows DESC, l_linenumber) = 1)
+       SELECT s_suppkey AS l_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'no terms' WHEN proposed IS NULL THEN 'none better' WHEN s_suppkey % 2 = 0 THEN 'updated' ELSE 'proposed' END AS message,
+         CASE WHEN proposed IS NOT NULL AND s_suppkey % 2 = 0 THEN proposed ELSE 9 END::INT AS table_no, proposed::INT AS proposed, CASE WHEN s_suppkey % 5 > 0 THEN 6 END::INT AS missing_before, missing_after
+       FROM supplier LEFT JOIN b ON l_suppkey = s_suppkey""",
+)
+def table_proposals(t):
+    k = F.col("l_suppkey")
+    scores = t("lineitem").groupBy("l_suppkey", F.col("l_linenumber").cast("int").alias("table_no")).agg(F.count("*").alias("n_rows"), (F.count_distinct("l_partkey") % 11).alias("missing"))
+    configs = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(9).alias("table_no"), (F.col("s_suppkey") % 5).alias("n_terms"), F.lit(6).alias("current_missing"))
+    return ordered.table_proposals(configs, scores, "l_suppkey", "table_no", k % 2 == 0)
+
+
+@query(
+    "F30",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7200 >= 60 THEN (o_orderkey % 7200 // 60) || 'm ' ELSE '' END || (o_orderkey % 60) || 's' AS took,
+       CASE o_orderkey % 3 WHEN 0 THEN 'office' ELSE substr('Mayor_of_' || o_orderkey || '_' || repeat('x', 70), 1, 80) END AS file,
+       CASE o_orderkey % 2 WHEN 0 THEN 'None' ELSE '  /u' || o_orderkey || chr(10) || '    bad' || chr(10) || '  unknown' || chr(10) || '    unknown error' END AS errors FROM orders""",
+)
+def report_texts(t):
+    k = F.col("o_orderkey")
+    name = F.when(k % 3 == 0, " ??? ").otherwise(F.concat(F.lit(' "Mayor: of/ '), k.cast("string"), F.lit(" | "), F.lit("x" * 70), F.lit("?")))
+    error = lambda url, message: F.struct(url.alias("url"), message.alias("message"))
+    two = F.array(error(F.concat(F.lit("/u"), k.cast("string")), F.lit("bad")), error(F.lit(None).cast("string"), F.lit("")))
+    errors = F.when(k % 2 == 1, two).otherwise(F.slice(two, 1, 0))
+    return t("orders").select("o_orderkey", rules.minutes_text(k % 7200).alias("took"), rules.file_name(name).alias("file"), rules.error_lines(errors).alias("errors"))
+
+
+@query("Q-c", _INDIVIDUALS + "SELECT individual_id, wiki_url FROM i WHERE wiki_url LIKE 'No link:%' ORDER BY individual_id LIMIT 50")
+def eligible_people(t):
+    return quality.eligible(_individuals(t)).select("individual_id", "wiki_url")
+
+
+@query(
+    "S21",
+    """SELECT CASE WHEN o_custkey % 6 = 0 THEN 'https://example.org/P ' || o_custkey ELSE 'https://en.wikipedia.org/wiki/P_' || o_custkey END AS url, min(o_orderkey) AS ord, 'P_' || o_custkey AS file
+       FROM orders WHERE o_orderkey % 9 > 0 GROUP BY o_custkey""",
+)
+def first_seen_links(t):
+    """Links in several spellings, each page once; blank ones are left out."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    page = F.when(k % 2 == 0, F.concat(F.lit("https://en.wikipedia.org/wiki/P_"), c)).when(k % 4 == 1, F.concat(F.lit(" https://en.wikipedia.org/P_"), c)).otherwise(F.concat(F.lit("https://en.wikipedia.org/wiki/P_"), c, F.lit("/")))
+    link = F.when(k % 9 == 0, "  ").when(F.col("o_custkey") % 6 == 0, F.concat(F.lit("https://example.org/P "), c)).otherwise(page)
+    return files.first_seen(t("orders").select(link.alias("link"), "o_orderkey"), "link", "o_orderkey")
+
+
+@query(
+    "S18",
+    """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 1 + c_custkey % 2 END::INT AS n_tables, CASE WHEN c_custkey % 2 = 1 AND c_custkey % 5 > 0 THEN 'a b|' || c_name || ';a b|2' ELSE '' END AS shown FROM customer""",
+)
+def raw_table_preview(t):
+    """The first two data rows of the second table, where a page has one."""
+    k = F.col("c_custkey")
+    second = F.concat(F.lit("<table><tr><th>h<th>i<tr><td> a\nb <td>"), "c_name", F.lit("<tr><td>a\nb<td>2<tr><td>3<td>4</table>"))
+    page = F.when(k % 5 > 0, F.concat(F.lit("<p>x</p><table><tr><td>1</table>"), F.when(k % 2 == 1, second).otherwise("")))
+    shown = html.table_preview(t("customer").select("c_custkey", page.alias("html")), "c_custkey", table_no=2, rows=2)
+    return shown.select("c_custkey", "n_tables", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("shown"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import rules, urls
 
 # Fixed value: the headers of an office file.
 OFFICE_HEADERS = (
@@ -131,6 +131,18 @@ def member_pages(links: DataFrame, pages: DataFrame, url: Column) -> DataFrame:
     return firsts.join(pages, "url", "left")
 
 
+def first_seen(links: DataFrame, url: str, order: str) -> DataFrame:
+    """The distinct links by their normalized form (the link itself where there is none), each with the place it is met first and a file name.
+
+    Blank links are left out.  Returns url (normalized), ord and file.
+    """
+    trimmed = F.trim(F.col(url))
+    normal = F.coalesce(urls.normalize_wiki_url(trimmed), trimmed)
+    last = F.regexp_replace(F.element_at(F.split("url", "/"), -1), "[^a-zA-Z0-9._-]+", "_")
+    firsts = links.filter(trimmed != "").select(normal.alias("url"), F.col(order).alias("ord")).groupBy("url").agg(F.min("ord").alias("ord"))
+    return firsts.withColumn("file", F.coalesce(F.nullif(last, F.lit("")), F.concat(F.lit("member_"), F.col("ord").cast("string"))))
+
+
 def primed_cache(cache: DataFrame, pages: DataFrame, fetched_at: Column) -> DataFrame:
     """The cache (cache_key, html, fetched_at) after pages with a cache_key were written to it; what was there before gives way."""
     fresh = pages.select("cache_key", "html", fetched_at.alias("fetched_at"))

@@ -187,6 +187,15 @@ def all_tables_preview(pages: DataFrame, *carried: str, rows: int = 10, confirm_
     return out.select(*carried, "n_tables", F.col("t.table_no").alias("table_no"), F.slice("t.rows", 1, rows).alias("rows"))
 
 
+def table_preview(pages: DataFrame, *carried: str, table_no: int, rows: int = 10) -> DataFrame:
+    """n_tables and the texts of the first data rows of one table; no rows if the page lacks it or has no html."""
+    tables = pages.select(*carried, html_tables(F.col("html"), rows).alias("tables"))
+    table = F.get(F.filter("tables", lambda t: t["table_no"] == table_no), 0)
+    data = F.slice(F.filter(table["rows"], lambda r: r["row_index"] > 0), 1, rows)
+    flat = F.transform(data, lambda r: F.transform(r["cells"], lambda c: F.trim(F.regexp_replace(c["text"], "\n", " "))))
+    return tables.select(*carried, F.coalesce(F.size("tables"), F.lit(0)).alias("n_tables"), F.coalesce(flat, F.array().cast("array<array<string>>")).alias("rows"))
+
+
 def header_cells(rows: DataFrame, *carried: str) -> DataFrame:
     """(col_index, text) of each table's first row."""
     first = rows.filter("row_index = 0").select(*carried, "table_no", F.posexplode("cells").alias("col_index", "c"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, neardup, quality_crf, quality_rules, secrets, sharding, substring, token_counts, url_rules
+from . import bpe, decontam, neardup, packing, periodic, quality_crf, quality_rules, repair, secrets, sharding, substring, token_counts, url_rules
+from .native import let, words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,46 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """documents with texts that are made periodic from some word on where the contract says so (a tenth of all)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def periodic_text(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    changed = let(words(F.coalesce("text", F.lit(""))), lambda w: F.when(F.size(w) > 0, periodic_text(w)).otherwise(F.col("text")))
+    return docs.withColumn("text", F.when(h % 10 == 0, changed).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.detect(with_periods(_table(spark, sf_dir, "documents"))))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """conversations as the contract damages them; times: how often a row stands."""
+    conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    v = F.crc32(F.concat_ws(":", conv, turn)) % 20
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(v == 4, "user").otherwise(role).alias("role"),
+        F.when(v == 1, "").when(v == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.when(v == 0, 0).when(v == 3, 2).otherwise(1).alias("times"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.repaired(damaged(_table(spark, sf_dir, "conversations")), "times"))
+
+
 _CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _HOST_PATH = f"""
     SELECT page_id,
@@ -111,6 +153,9 @@ _ALL = (
     op8_substring_dedup,
     op9_sharding,
     op10_quality_classifier,
+    op11_periodic_runs,
+    op12_packing,
+    op13_conversation_repair,
 )
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import Tables
-from .words import ALNUM_WORDS, Block, blocks
+from .words import ALNUM_WORDS, Block, blocks, same_spans, span_hashes
 
 WINDOW = 13
 #: Bytes of benchmark text whose windows a task holds at a time.
@@ -123,17 +123,25 @@ class Windows:
     """The windows of a block of benchmark items over their vocabulary."""
 
     def __init__(self, items: list[tuple[object, str | None]]):
-        texts = [t or "" for _, t in items]
-        column = pa.record_batch({"t": pa.array(texts, pa.string())})
-        word_ids: list[np.ndarray] = []
-        for _, _, data, offsets in blocks(column, "t"):
-            block = Block(data, offsets, ALNUM_WORDS, lower=True)
-            hashes = block.hashes()
-            word_ids += [hashes[a:b] for a, b in zip(block.first[:-1], block.first[1:], strict=True)]
-        self.vocabulary = np.unique(np.concatenate(word_ids)) if word_ids else np.zeros(0, np.uint64)
+        words: dict[bytes, int] = {}
+        numbered: list[np.ndarray] = []
+        for _, text in items:
+            data = np.frombuffer((text or "").encode(), np.uint8)
+            block = Block(data, np.array([0, len(data)]), ALNUM_WORDS, lower=True)
+            raw = block.data.tobytes()
+            numbered.append(np.array([words.setdefault(raw[a:b], len(words)) for a, b in zip(block.starts.tolist(), block.ends.tolist(), strict=True)], np.int64))
+        # the words, in the order of their hashes: all bytes, where each ends, its hash
+        self.data = np.frombuffer(b"".join(words), np.uint8)
+        self.ends = np.cumsum(np.array([len(w) for w in words], np.int64))
+        self.starts = self.ends - np.array([len(w) for w in words], np.int64)
+        hashes = span_hashes(self.data, self.starts, self.ends)
+        order = np.argsort(hashes, kind="stable")
+        self.vocabulary, self.starts, self.ends = hashes[order], self.starts[order], self.ends[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         found: dict[tuple[int, ...], set[int]] = {}
-        for i, words in enumerate(word_ids):
-            numbers = (np.searchsorted(self.vocabulary, words) + 1).tolist()
+        for i, own in enumerate(numbered):
+            numbers = (place[own] + 1).tolist()
             size = min(WINDOW, len(numbers))
             for a in range(len(numbers) - size + 1 if size else 0):
                 found.setdefault(tuple(numbers[a : a + size]), set()).add(i)
@@ -145,16 +153,32 @@ class Windows:
         for row, w in enumerate(found):
             self.patterns[row, : len(w)] = w
 
+    def numbers(self, block: Block) -> np.ndarray:
+        """The number of each word of a block in the vocabulary, from 1; 0 for others.  Hashes find a word, its bytes decide."""
+        hashes = block.hashes()
+        out = np.zeros(len(hashes), np.int64)
+        place = np.searchsorted(self.vocabulary, hashes)
+        both, shift = np.concatenate((block.data, self.data)), len(block.data)
+        open_ = np.arange(len(hashes))
+        while True:
+            open_ = open_[place[open_] < len(self.vocabulary)]
+            open_ = open_[self.vocabulary[place[open_]] == hashes[open_]]
+            if not len(open_):
+                return out
+            at = place[open_]
+            same = same_spans(both, block.starts[open_], block.ends[open_], self.starts[at] + shift, self.ends[at] + shift)
+            out[open_[same]] = at[same] + 1
+            open_ = open_[~same]
+            place[open_] += 1
+
     def hits(self, block: Block) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
         """Merged spans of hit words (starts, ends, in the words of the block) and the items of each text."""
         texts = block.texts()
         items: list[set[int]] = [set() for _ in range(len(block.first) - 1)]
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), items
-        hashes = block.hashes()
-        if not len(self.patterns) or not len(hashes):
+        if not len(self.patterns) or not len(block.starts):
             return none
-        place = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        numbers = np.where(self.vocabulary[place] == hashes, place + 1, 0)
+        numbers = self.numbers(block)
         known = numbers > 0
         begins = known.copy()
         begins[1:] &= ~known[:-1] | (texts[1:] != texts[:-1])

@@ -5,7 +5,7 @@ A window is 13 consecutive words.  Its anchor is the smallest hash among its
 of 13 words shares one).  Documents are joined on anchors: rows (anchor, doc) are
 sorted over range partitions and only anchors of two documents or more go on
 as seeds.  Each seed is extended both ways to the windows whose anchor it is;
-these are sorted the same way, and a window that also starts in a document
+these are sorted the same way by 128 bits of hash, and a window that also starts in a document
 with a smaller doc_id is a repeat.  Touching repeats of a document are joined
 to maximal spans when its words are removed.
 
@@ -32,48 +32,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Tables
-from .words import BLANK_WORDS, Block, blocks, grams
+from .words import BLANK_WORDS, Block, blocks, grams, mix
 
 WINDOW, SEED = 13, 5
 
-_PAIRS = ["hash", "doc_id"]
+#: A window is known by two hashes that share no number: seeds of 64 bits each.
+_PAIRS = ["hash", "check", "doc_id"]
+_CHECK = 0x2545F4914F6CDD1D
+_SEEDS = ["hash", "doc_id"]
 
 
-def _windows(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: its first word, its hash, the hash of its anchor."""
-    words = block.hashes()
-    whole = grams(words, length)
-    at = np.flatnonzero(block.room(length)[: len(whole)])
+def _windows(block: Block, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window: its first word and the hash of its anchor."""
+    at = np.flatnonzero(block.room(length))
     if not len(at):
-        return at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    seeds = grams(words, SEED)
-    least = seeds[: len(whole)].copy()
+        return at, np.zeros(0, np.uint64)
+    seeds = grams(block.hashes(), SEED)
+    n = len(block.starts) - length + 1
+    least = seeds[:n].copy()
     for i in range(1, length - SEED + 1):
-        np.minimum(least, seeds[i : i + len(whole)], out=least)
-    return at, whole[at], least[at]
+        np.minimum(least, seeds[i : i + n], out=least)
+    return at, least[at]
+
+
+def _whole(block: Block, length: int, at: np.ndarray) -> np.ndarray:
+    """Two hashes of the windows that start at some words, side by side."""
+    if not len(at):
+        return np.zeros((0, 2), np.int64)
+    return np.stack([grams(block.hashes(seed), length)[at] for seed in (0, _CHECK)], axis=1).view(np.int64)
+
+
+def _one(hashes: np.ndarray) -> np.ndarray:
+    """One number for two hashes, to find them among those of the same document."""
+    return mix(hashes[:, 0].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ hashes[:, 1].view(np.uint64))
 
 
 def _rows(hashes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids)], names=_PAIRS)
+    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(hashes[:, k])) for k in (0, 1)), pa.array(ids)], names=_PAIRS)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """True for the first row and rows that differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
 
 
 def _distinct(hashes: np.ndarray, texts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """Each hash of a text once."""
-    order = np.lexsort((hashes, texts))
+    """Each pair of hashes of a text once."""
+    order = np.lexsort((hashes[:, 1], hashes[:, 0], texts))
     h, t = hashes[order], texts[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])) if len(h) else np.zeros(0, bool)
+    new = _changes(h[:, 0], h[:, 1], t)
     return _rows(h[new], ids[t[new]])
 
 
+def _seeds(anchors: np.ndarray, texts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Each anchor of a text once; a seed needs no second hash."""
+    order = np.lexsort((anchors, texts))
+    h, t = anchors[order], texts[order]
+    new = _changes(h, t)
+    return pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids[t[new]])], names=_SEEDS)
+
+
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for a, e, data, offsets in blocks(batch, "text"):
                 block = Block(data, offsets, BLANK_WORDS)
-                at, _, anchors = _windows(block, length)
-                new = np.append(True, anchors[1:] != anchors[:-1]) if len(at) else at.astype(bool)
-                yield _distinct(anchors[new], block.texts()[at[new]], ids[a:e])
+                at, anchors = _windows(block, length)
+                new = _changes(anchors)
+                yield _seeds(anchors[new], block.texts()[at[new]], ids[a:e])
 
     return run
 
@@ -87,13 +118,13 @@ def _seeded(length: int):
             seeds = batch.column(2)
             for a, e, data, offsets in blocks(batch, "text"):
                 block = Block(data, offsets, BLANK_WORDS)
-                at, windows, anchors = _windows(block, length)
+                at, anchors = _windows(block, length)
                 bounds = np.searchsorted(at, block.first)
                 keep = np.zeros(len(at), dtype=bool)
                 for i in range(e - a):
                     lo, hi = bounds[i], bounds[i + 1]
                     keep[lo:hi] = np.isin(anchors[lo:hi].view(np.int64), seeds[a + i].values.to_numpy(), kind="sort")
-                yield _distinct(windows[keep], block.texts()[at[keep]], ids[a:e])
+                yield _distinct(_whole(block, length, at[keep]), block.texts()[at[keep]], ids[a:e])
 
     return run
 
@@ -105,6 +136,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     last: tuple | None = None
     known = held = False
+    rows = lambda h, d: pa.RecordBatch.from_arrays([pa.array(h), pa.array(d)], names=_SEEDS)
     for batch in batches:
         h, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(h):
@@ -119,9 +151,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = bool(shared[-1]), (h[-1], d[-1])
         held = not known
         keep = np.repeat(shared, end - start)
-        yield _rows(h[keep], d[keep])
+        yield rows(h[keep], d[keep])
     if held:
-        yield _rows(np.array([last[0]]), np.array([last[1]]))
+        yield rows(np.array([last[0]]), np.array([last[1]]))
 
 
 #: What `_repeats` says of a row: it repeats; it may (its hash may have begun in a partition before); the least of a hash that may go on.
@@ -129,30 +161,30 @@ _SURE, _OPEN, _LEAST = 0, 1, 2
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (hash, doc_id), with what each says."""
+    """Rows sorted by (hash, check, doc_id), with what each says."""
     first = current = least = None
 
-    def rows(h, d, say):
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), pa.array(np.full(len(h), say, np.int32))], names=[*_PAIRS, "says"])
+    def rows(h, c, d, say):
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(d), pa.array(np.full(len(h), say, np.int32))], names=[*_PAIRS, "says"])
 
     for batch in batches:
-        h, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        h, c, d = (batch.column(k).to_numpy() for k in range(3))
         if not len(h):
             continue
-        first = h[0] if first is None else first
-        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        first = (h[0], c[0]) if first is None else first
+        start = np.flatnonzero(_changes(h, c))
         low = d[start].copy()
-        if current is not None and h[0] == current:
+        if current is not None and (h[0], c[0]) == current:
             low[0] = least
-        current, least = h[-1], low[-1]
+        current, least = (h[-1], c[-1]), low[-1]
         begun = np.repeat(low, np.diff(np.append(start, len(h))))
-        open_ = h == first
+        open_ = (h == first[0]) & (c == first[1])
         sure = (d > begun) & ~open_
-        yield rows(h[sure], d[sure], _SURE)
+        yield rows(h[sure], c[sure], d[sure], _SURE)
         if open_.any():
-            yield rows(h[open_], d[open_], _OPEN)
+            yield rows(h[open_], c[open_], d[open_], _OPEN)
     if current is not None:
-        yield rows(np.array([current]), np.array([least]), _LEAST)
+        yield rows(np.array([current[0]]), np.array([current[1]]), np.array([least]), _LEAST)
 
 
 def _kept(length: int):
@@ -161,8 +193,8 @@ def _kept(length: int):
             hits, copies = batch.column(2), batch.column(3).to_pylist()
             for a, e, data, offsets in blocks(batch, "text"):
                 block = Block(data, offsets, BLANK_WORDS)
-                at, windows, _ = _windows(block, length)
-                windows = windows.view(np.int64)
+                at = np.flatnonzero(block.room(length))
+                windows = _one(_whole(block, length, at))
                 raw, n_removed, spans, texts = data.tobytes(), [], [], []
                 for i in range(e - a):
                     lo, hi = block.first[i], block.first[i + 1]
@@ -172,7 +204,7 @@ def _kept(length: int):
                     if copies[a + i]:
                         pass
                     elif hits[a + i].is_valid:
-                        starts = starts[np.isin(windows[x:y], hits[a + i].values.to_numpy(), kind="sort")]
+                        starts = starts[np.isin(windows[x:y], _one(_pairs(hits[a + i].values)), kind="sort")]
                     else:
                         starts = starts[:0]
                     mine = []
@@ -200,9 +232,13 @@ def _kept(length: int):
     return run
 
 
-def _sorted(pairs: DataFrame) -> DataFrame:
+def _pairs(hits: pa.StructArray) -> np.ndarray:
+    return np.stack([hits.field(k).to_numpy() for k in ("hash", "check")], axis=1)
+
+
+def _sorted(pairs: DataFrame, by: list[str]) -> DataFrame:
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartitionByRange(n, *_PAIRS).sortWithinPartitions(*_PAIRS)
+    return pairs.repartitionByRange(n, *by).sortWithinPartitions(*by)
 
 
 #: A group of copies that holds over one row in this many is dealt over several tasks; so there are no more such groups than that.
@@ -234,18 +270,18 @@ def dedup(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     copies = tables.write("copies", _copies(named))
     is_copy = F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False))
 
-    pairs = "hash long, doc_id long"
+    pairs, wide = "hash long, doc_id long", "hash long, check long, doc_id long"
     # copies can't seed: what they share with later documents their first one shares too
     firsts = named.join(copies, "doc_id", "left").filter(~is_copy).select("doc_id", "text")
-    seeds = _sorted(firsts.mapInArrow(_anchors(length), pairs)).mapInArrow(_shared, pairs)
+    seeds = _sorted(firsts.mapInArrow(_anchors(length), pairs), _SEEDS).mapInArrow(_shared, pairs)
     seeds = seeds.groupBy("doc_id").agg(F.collect_list("hash").alias("seeds"))
-    windows = named.join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_seeded(length), pairs)
-    said = tables.write("said", _sorted(windows).mapInArrow(_repeats, pairs + ", says int"))
-    border = said.filter(F.col("says") != _SURE).groupBy("hash").agg(F.min("doc_id").alias("least"))
+    windows = named.join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_seeded(length), wide)
+    said = tables.write("said", _sorted(windows, _PAIRS).mapInArrow(_repeats, wide + ", says int"))
+    border = said.filter(F.col("says") != _SURE).groupBy("hash", "check").agg(F.min("doc_id").alias("least"))
     # two hashes for each partition at most
-    settled = said.filter(F.col("says") == _OPEN).join(F.broadcast(border), "hash").filter("doc_id > least")
+    settled = said.filter(F.col("says") == _OPEN).join(F.broadcast(border), ["hash", "check"]).filter("doc_id > least")
     repeats = said.filter(F.col("says") == _SURE).select(*_PAIRS).unionByName(settled.select(*_PAIRS))
-    repeats = repeats.groupBy("doc_id").agg(F.collect_list("hash").alias("hits"))
+    repeats = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "check")).alias("hits"))
     ready = texts.join(repeats, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "hits", is_copy.alias("copy"))
     return ready.mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, spans array<struct<start:bigint,end:bigint>>, text string")
 

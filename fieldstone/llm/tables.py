@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; the warehouse where none is set; a temporary folder on one machine only."""
+    """The folder of spark.checkpoint.dir; where none is set, a temporary folder if all runs on one machine, and else an error."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if spark.sparkContext.master.split("[")[0] == "local":
         return os.path.join(tempfile.gettempdir(), "fieldstone-tables")
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/fieldstone-tables"
+    raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
 
 
 class Tables:

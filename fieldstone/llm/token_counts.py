@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import blocks, span_hashes
+from .words import blocks, same_spans, span_hashes
 
 LIMIT = 512
 #: Characters of a chunk of the first transducer.
@@ -314,7 +314,10 @@ class Counter:
                 if b - a <= 64:
                     pieces[piece] = found
             sizes[k] = found
-        np.add.at(out, text_of, sizes[inverse])
+        each = sizes[inverse]
+        for k in np.flatnonzero(~same_spans(data, begin, end, begin[first][inverse], end[first][inverse])).tolist():  # equal hashes of different pieces
+            each[k] = count(raw[begin[k] : end[k]])
+        np.add.at(out, text_of, each)
         return out
 
 

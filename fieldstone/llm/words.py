@@ -2,8 +2,9 @@
 
 Every operator that needs the words of whole texts inside a Python task works on
 the UTF-8 bytes of a block of documents at once: a 256-entry table says which
-bytes belong to words, so all separators must be ASCII.  Word and n-gram hashes
-are 64-bit polynomial hashes (mod 2**64) passed through a bit mixer.
+bytes belong to words, so all separators must be ASCII.  Words of up to 16 bytes are
+hashed as one or two numbers by a bit mixer, longer ones by XXH3; n-grams mix the
+hashes of their words.  Hashes choose what is compared: `same_spans` compares bytes.
 """
 
 from __future__ import annotations
@@ -12,15 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text handled at a time inside a task.
 BLOCK_BYTES = 2 << 20
-#: Bytes of words that are summed up at a time.
-SEGMENT_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+_LENGTH, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def byte_table(separators: bytes) -> np.ndarray:
@@ -48,43 +46,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, as many as a segment has bytes."""
-    if not _powers:
-        for name, base in (("up", _BASE), ("down", _INV)):
-            grown = np.full(SEGMENT_BYTES + 1, np.uint64(base), dtype=np.uint64)
-            grown[0] = 1
-            _powers[name] = np.multiply.accumulate(grown)
-    return _powers["up"], _powers["down"]
+#: Masks for the first 0 to 8 bytes of a number.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each of some sorted spans that don't overlap: the sum of (byte + 1) * base**place over its bytes, mixed.
+def _numbers(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a little-endian number."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
 
-    Spans are summed up over segments of bytes, so one long text needs no more room than its spans.
-    """
-    out = np.zeros(len(starts), dtype=np.uint64)
-    at = 0
-    while at < len(out):
-        base = int(starts[at])
-        end = int(np.searchsorted(ends, base + SEGMENT_BYTES, side="right"))
-        if end > at:
-            out[at:end] = _summed(data, base, starts[at:end], ends[at:end])
-        else:  # a span longer than a segment
-            end, stop = at + 1, int(ends[at])
-            for k in range(base, stop, SEGMENT_BYTES):
-                part = _summed(data, k, np.array([k]), np.array([min(k + SEGMENT_BYTES, stop)]))
-                out[at:end] += part * np.uint64(pow(_BASE, k - base, 1 << 64))
-        at = end
-    return mix(out)
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash for each of some spans; different for different spans of the same length of up to 8 bytes."""
+    sizes = ends - starts
+    at = _numbers(data)
+    out = mix((at[starts] & _MASKS[np.minimum(sizes, 8)]) ^ sizes.astype(np.uint64) * _LENGTH ^ np.uint64(seed))
+    two = np.flatnonzero((sizes > 8) & (sizes <= 16))
+    second = mix((at[starts[two] + 8] & _MASKS[sizes[two] - 8]) + _SECOND)
+    out[two] = mix((out[two] ^ second) * _SECOND + second)
+    long = np.flatnonzero(sizes > 16)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        digest = xxhash.xxh3_64_intdigest
+        out[long] = np.fromiter((digest(raw[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
+    return out
 
 
-def _summed(data: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = powers()
-    part = data[base : ends[-1]]
-    sums = np.zeros(len(part) + 1, dtype=np.uint64)
-    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
-    return (sums[ends - base] - sums[starts - base]) * down[starts - base]
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """True where a span has the bytes of its other span."""
+    at, sizes = _numbers(data), ends - starts
+    same = sizes == other_ends - others
+    for k in range(0, 64, 8):
+        live = np.flatnonzero(same & (sizes > k))
+        if not len(live):
+            return same
+        mask = _MASKS[np.minimum(sizes[live] - k, 8)]
+        same[live] = (at[starts[live] + k] ^ at[others[live] + k]) & mask == 0
+    for i in np.flatnonzero(same & (sizes > 64)).tolist():
+        same[i] = np.array_equal(data[starts[i] : ends[i]], data[others[i] : other_ends[i]])
+    return same
 
 
 class Block:
@@ -106,9 +106,9 @@ class Block:
         self.ends = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.starts, offsets)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash for each word."""
-        return span_hashes(self.data, self.starts, self.ends)
+        return span_hashes(self.data, self.starts, self.ends, seed)
 
     def texts(self) -> np.ndarray:
         """The number of the text of each word."""

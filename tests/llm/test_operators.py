@@ -475,5 +475,5 @@ def test_empty_tables(spark, sf_dir):
 
 def test_queries_are_registered(spark, sf_dir):
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if regex.match(r"op\d+_", n)} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in names if regex.match(r"op\d+_", n)} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in names

@@ -1,13 +1,15 @@
 """Table rows to term rows under an extraction config: binding of columns, links, dates, parties, carry-over.
 
-The config's columns (0-based; -1: none) are joined to the rows beforehand, so
-every step is a Column expression over `cells`; only what looks at the row
+A config's fields (columns are 0-based; -1: none) are Python values, which shape
+the plan, or columns of a table of configs that `extract_units` joins to the rows, so that one plan
+serves all units.  Every step is a Column expression over `cells`; only what looks at the rows
 before (a continuation under a rowspan) is a window over one table's rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ NO_PARTY, NO_DISTRICT = "No party", "No district"
 
 @dataclass(frozen=True)
 class Config:
-    """An extraction config; columns are 0-based, -1 is none."""
+    """An extraction config; columns are 0-based, -1 is none.  A field is a value or a Column."""
 
     table_no: int = 1
     table_rows: int = 2
@@ -40,26 +42,52 @@ class Config:
     ignore_non_links: bool = False
     find_date_in_infobox: bool = False
     party_link: bool = False
+    party_ignore: bool = False
+    district_ignore: bool = False
+    district_at_large: bool = False
 
     COLUMNS = ("link_column", "party_column", "term_start_column", "term_end_column", "district_column")
 
+    @classmethod
+    def of(cls, config: Column, *named: str) -> Config:
+        """The fields of a struct column of configs, of which it has those named; a null, or a field that is not named, has its default."""
+        return cls(**{f.name: F.coalesce(config[f.name].cast(_TYPES[f.type]), F.lit(f.default)) for f in fields(cls) if f.name in named})
+
+
+_TYPES = {"int": "int", "str": "string", "bool": "boolean"}
+
+
+def either(flag: bool | Column, yes: Callable[[], Column], no: Callable[[], Column]) -> Column:
+    """yes() or no(): once for all by a value, row by row by a Column."""
+    if isinstance(flag, Column):
+        return F.when(flag, yes()).otherwise(no())
+    return yes() if flag else no()
+
+
+def _col(value: int | str | bool | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def _may(flag: bool | Column) -> bool:
+    """Whether a flag can be set for any row."""
+    return isinstance(flag, Column) or flag
+
 
 def cell(i: Column) -> Column:
     """The cell at an index; null for none or one beyond the row."""
     return F.when(i >= 0, F.get("cells", i))
 
 
-def mirrored(i: Column, right_to_left: bool) -> Column:
+def mirrored(i: Column, right_to_left: bool | Column) -> Column:
     """Columns counted from the right; none stays none, and the filter column is not mirrored."""
-    return F.when(i < 0, i).otherwise(F.size("cells") - 1 - i) if right_to_left else i
+    return either(right_to_left, lambda: F.when(i < 0, i).otherwise(F.size("cells") - 1 - i), lambda: i)
 
 
-def passes_filter(column: int, criteria: str) -> Column:
+def passes_filter(column: int | Column, criteria: str | Column) -> Column:
     """Whether one cell holds a text, whatever its case and white space."""
     squeeze = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
-    if column < 0 or not criteria.strip():
-        return F.lit(True)
-    return F.coalesce(F.contains(squeeze(cell(F.lit(column))["text_sp"]), squeeze(F.lit(criteria))), F.lit(False))
+    at, wanted = _col(column), squeeze(_col(criteria))
+    return (at < 0) | (wanted == "") | F.coalesce(F.contains(squeeze(cell(at)["text_sp"]), wanted), F.lit(False))
 
 
 def link_target(href: Column) -> Column:
@@ -124,37 +152,46 @@ def recovered_range(skip: Column, known: Column | None = None) -> Column:
 
 def loose_texts(start: Column, end: Column, short: Column, config: Config) -> Column:
     """The date texts of a row that the fixed forms do not settle."""
-    if config.years_only:
-        return F.array().cast("array<string>")
-    if config.term_dates_merged:
-        full = F.flatten(F.transform(F.filter("cells", lambda c, i: (i == start) | _may_be_range(c)), lambda c: dates.loose_ranges(c["text_sp"])))
-    else:
-        full = F.concat(dates.loose_singles(cell(start)["text_sp"]), dates.loose_singles(cell(end)["text_sp"]))
-    if not config.parse_rowspan:
-        return full
-    ranges = F.flatten(F.transform("cells", lambda c: dates.loose_ranges(c["text_sp"])))
-    singles = F.flatten(F.transform(F.slice("cells", 1, 2), lambda c: dates.loose_singles(c["text_sp"])))
-    return F.when(short, F.concat(ranges, singles)).otherwise(full)
+    none = F.array().cast("array<string>")
+    merged = lambda: F.flatten(F.transform(F.filter("cells", lambda c, i: (i == start) | _may_be_range(c)), lambda c: dates.loose_ranges(c["text_sp"])))
+    apart = lambda: F.concat(dates.loose_singles(cell(start)["text_sp"]), dates.loose_singles(cell(end)["text_sp"]))
 
+    def dated() -> Column:
+        full = either(config.term_dates_merged, merged, apart)
+        if not _may(config.parse_rowspan):
+            return full
+        ranges = F.flatten(F.transform("cells", lambda c: dates.loose_ranges(c["text_sp"])))
+        singles = F.flatten(F.transform(F.slice("cells", 1, 3), lambda c: dates.loose_singles(c["text_sp"])))
+        return F.when(short, F.concat(ranges, singles)).otherwise(full)
 
-def term_dates(start: Column, end: Column, years_only: bool, merged: bool, known: Column | None = None) -> Column:
+    return F.coalesce(either(config.years_only, lambda: none, dated), none)
+
+
+def term_dates(start: Column, end: Column, years_only: bool | Column, merged: bool | Column, known: Column | None = None) -> Column:
     """struct(term_start, term_end, term_start_year, term_end_year) by the config's mode."""
     a, b = cell(start), cell(end)
     no_text, no_year = F.lit(None).cast("string"), F.lit(None).cast("int")
-    if years_only:
-        years = dates.year_range(a["text_sp"]) if merged else F.struct(dates.year_range(a["text_sp"])["start"].alias("start"), dates.year_range(b["text_sp"])["end"].alias("end"))
+    pair = lambda first, last: F.struct(first.alias("start"), last.alias("end"))
+
+    def in_years() -> Column:
+        years = either(merged, lambda: dates.year_range(a["text_sp"]), lambda: pair(dates.year_range(a["text_sp"])["start"], dates.year_range(b["text_sp"])["end"]))
         return F.struct(no_text.alias("term_start"), no_text.alias("term_end"), years["start"].alias("term_start_year"), years["end"].alias("term_end_year"))
-    if merged:
-        own = once(dates.date_range(a["text_sp"], known=known), lambda own: F.when(own["start"] == dates.INVALID, F.coalesce(recovered_range(start, known), own)).otherwise(own))
-        c = a
-    else:
-        own, c = F.struct(dates.single_date(a["text_sp"], known=known).alias("start"), dates.single_date(b["text_sp"], known=known).alias("end")), b
 
-    def dated(own: Column) -> Column:
-        first, last = _or_sort_value(own["start"], a, False), _or_sort_value(own["end"], c, True)
-        return F.struct(first.alias("term_start"), last.alias("term_end"), no_year.alias("term_start_year"), no_year.alias("term_end_year"))
+    def in_one() -> Column:
+        kept = lambda own: F.when(own["start"] == dates.INVALID, F.coalesce(recovered_range(start, known), own)).otherwise(own)
+        return once(dates.date_range(a["text_sp"], known=known), lambda own: dated(once(kept(own), lambda x: x), a))
+
+    def in_two() -> Column:
+        return dated(pair(dates.single_date(a["text_sp"], known=known), dates.single_date(b["text_sp"], known=known)), b)
+
+    def dated(own: Column, c: Column) -> Column:
+        def texts(own: Column) -> Column:
+            first, last = _or_sort_value(own["start"], a, False), _or_sort_value(own["end"], c, True)
+            return F.struct(first.alias("term_start"), last.alias("term_end"), no_year.alias("term_start_year"), no_year.alias("term_end_year"))
+
+        return once(own, texts)
 
-    return once(own, dated)
+    return either(years_only, in_years, lambda: either(merged, in_one, in_two))
 
 
 def table_years(start: Column, end: Column) -> Column:
@@ -167,14 +204,15 @@ def table_years(start: Column, end: Column) -> Column:
 def infobox_dates(terms: DataFrame, people: DataFrame, offices: DataFrame, *keys: str, role: str | None = None) -> DataFrame:
     """The terms with the dates of their holders' infoboxes, one row for each term found there.
 
-    terms: with `table_years`, which stand alone if the infobox gives no date; rows without a link keep their dates.
+    terms: with `table_years`, which stand alone if the infobox gives no date; rows without a link, or with null table_years, keep their dates.
     people: (wiki_link, page); offices: keys and office_path.
     """
-    pairs = terms.filter(F.col("wiki_link") != urls.NO_LINK).select(*keys, "wiki_link").distinct()
+    asked = F.col("table_years").isNotNull()
+    pairs = terms.filter(asked & (F.col("wiki_link") != urls.NO_LINK)).select(*keys, "wiki_link").distinct()
     boxes = infobox.infobox_terms(pairs.join(people, "wiki_link", "left"), pairs.join(offices, [*keys]), *keys, "wiki_link", role=role)
     boxes = boxes.select(*keys, "wiki_link", F.col("term_start").alias("box_start"), F.col("term_end").alias("box_end"))
     joined = terms.join(boxes, [*keys, "wiki_link"], "left")
-    linked, none = F.col("box_start").isNotNull(), F.coalesce(F.col("box_start") == infobox.PLACEHOLDER, F.lit(False))
+    linked, none = asked & F.col("box_start").isNotNull(), F.coalesce(F.col("box_start") == infobox.PLACEHOLDER, F.lit(False))
     chosen = {}
     for side in ("start", "end"):
         chosen[f"term_{side}"] = F.when(linked, F.when(~none, F.col(f"box_{side}"))).otherwise(F.col(f"term_{side}"))
@@ -188,104 +226,155 @@ def extract(
     """Term rows of the tables in `rows` (keys, table_no, row_index, cells) under one config.
 
     Returns the keys, table_no, row_index, wiki_link ('No link' if none), name_from_table, party_text, district,
-    term_start, term_end, term_start_year, term_end_year, dead_link; rows that the config drops are left out.  With find_date_in_infobox, people and offices
-    are those of infobox_dates; with party_link there are also party_links, the addresses in the party's cell.
+    term_start, term_end, term_start_year, term_end_year, dead_link, continued, party_cells; rows that the config drops are left out.
+    continued: a short row under the rowspan of the last row that gave a term, whose link it has, and whose district and party if none of its cells has any.
+    party_cells: (text, hrefs) of the cells in which a party is looked for: the party's cell, or all of a continued row; hrefs only with party_link.
+    With find_date_in_infobox, people and offices are those of infobox_dates; with party_link there are also party_links, the addresses in the party's cell.
     """
     n, excluded = F.size("cells"), F.array().cast("array<string>") if excluded_links is None else excluded_links
+    rowspan = config.parse_rowspan
     data = rows.filter((F.col("table_no") == config.table_no) & (F.col("row_index") > 0)).filter(passes_filter(config.filter_column, config.filter_criteria))
-    bound = data.select("*", *[mirrored(F.lit(getattr(config, c)), config.read_right_to_left).alias(c) for c in Config.COLUMNS])
-    short = F.lit(config.parse_rowspan) & (n <= F.lit(max(config.term_end_column, config.term_start_column)))
-    bound = bound.withColumn("short", short)
-    if config.dynamic_parse:
+    bound = data.select("*", *[mirrored(_col(getattr(config, c)), config.read_right_to_left).alias(c) for c in Config.COLUMNS])
+    few = _col(rowspan) & (_col(config.term_end_column) >= 0) & (n <= _col(config.term_end_column))
+    bound = bound.withColumns({"few": few, "is_bound": F.lit(True)})
+    if _may(config.dynamic_parse):
+        dynamic = _col(config.dynamic_parse)
         high = F.greatest("term_end_column", "link_column")
-        bound = bound.withColumn("found", F.when(~F.col("short"), found_link_column(F.lit(0), high)))
-        bound = bound.filter("short OR found >= 0")
-        move = F.when(F.col("short") | (F.col("link_column") < 0), 0).otherwise(F.col("found") - F.col("link_column"))
-        bound = bound.withColumn("move", move).withColumns(
+        bound = bound.withColumn("found", F.when(dynamic, found_link_column(F.lit(0), high)))
+        bound = bound.withColumn("is_bound", ~dynamic | (F.col("found") >= 0)).filter("few OR is_bound")
+        moved = dynamic & F.col("is_bound")
+        bound = bound.withColumn("move", F.when(moved & (F.col("link_column") >= 0), F.col("found") - F.col("link_column")).otherwise(0)).withColumns(
             {
-                "link_column": F.when(F.col("short"), F.col("link_column")).otherwise(F.col("found")),
+                "link_column": F.when(moved, F.col("found")).otherwise(F.col("link_column")),
                 "term_start_column": F.when(F.col("term_start_column") < 0, -1).otherwise(F.col("term_start_column") + F.col("move")),
                 "term_end_column": F.when(F.col("term_end_column") < 0, -1).otherwise(F.col("term_end_column") + F.col("move")),
                 "district_column": F.when(F.col("district_column") <= 0, F.col("district_column")).otherwise(F.col("district_column") + F.col("move")),
                 "party_column": F.when(F.col("party_column") <= 0, F.col("party_column")).otherwise(F.col("party_column") + F.col("move")),
             }
         )
-    least = F.lit(2) if config.parse_rowspan else F.lit(config.table_rows)
-    bound = bound.filter((n >= least) & (F.col("short") | (n > F.col("term_end_column")) | F.lit(config.find_date_in_infobox)))
-    own = holder_link(F.col("link_column"), excluded, F.col("term_start_column"))
-    linked = bound.withColumn("own_link", F.when(~F.col("short"), own))
-    linked = linked.withColumn("own_district", F.when(~F.col("short"), rules.district(cell(F.col("district_column"))["text"])))
-    if config.parse_rowspan:
+    reaches = n > F.col("term_end_column")
+    bound = bound.filter(either(rowspan, lambda: n >= 2, lambda: (n >= _col(config.table_rows)) & (reaches | _col(config.find_date_in_infobox))))
+    own = F.when(F.col("is_bound"), holder_link(F.col("link_column"), excluded, F.col("term_start_column")))
+    linked = bound.withColumn("own_link", own).withColumn("own_district", rules.district(cell(F.col("district_column"))["text"]))
+    if _may(rowspan):
+        # the last row before that gave a term is the one that a short row goes on
         before = Window.partitionBy(*keys, "table_no").orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
+        alone = F.col("own_link").isNotNull() & either(config.ignore_non_links, lambda: urls.is_person_link(F.col("own_link")), lambda: F.lit(True))
+        linked = linked.withColumn("alone", alone).withColumn("begun", F.coalesce(F.max("alone").over(before), F.lit(False)))
+        linked = linked.withColumn("short", F.col("few") & F.col("begun"))
+        gives = F.col("alone") & ~F.col("short") & (reaches | ~F.col("begun"))
+        probed = F.get(F.filter(F.transform("cells", lambda c: rules.district(c["text"])), lambda d: d != NO_DISTRICT), 0)
+        district = F.when(F.col("short"), probed).when(gives, F.coalesce("own_district", F.lit(NO_DISTRICT)))
+        linked = linked.withColumns({"given": F.when(gives, F.col("own_link")), "district_here": district, "gives": gives})
+        goes_on = F.col("short")
         linked = linked.withColumns(
             {
-                "link": F.when(F.col("short"), F.last("own_link", True).over(before)).otherwise(F.col("own_link")),
-                "kept_district": F.when(F.col("short"), F.last("own_district", True).over(before)).otherwise(F.col("own_district")),
+                "link": F.when(goes_on, F.last("given", True).over(before)).otherwise(F.col("own_link")),
+                "kept_district": F.when(goes_on, F.coalesce("district_here", F.last("district_here", True).over(before))).otherwise(F.col("own_district")),
             }
-        ).filter("NOT short OR link IS NOT NULL")
+        ).filter(~_col(rowspan) | F.col("short") | F.col("gives"))
     else:
-        linked = linked.withColumn("link", F.col("own_link")).withColumn("kept_district", F.col("own_district"))
+        linked = linked.withColumns({"short": F.lit(False), "link": F.col("own_link"), "kept_district": F.col("own_district")})
 
     def dated(known: Column) -> Column:
         full = term_dates(F.col("term_start_column"), F.col("term_end_column"), config.years_only, config.term_dates_merged, known)
-        if not config.parse_rowspan:
+        if not _may(rowspan):
             return full
-        # a short row: the first cell with a range, else the first two cells
-        ranges = F.filter(F.transform("cells", lambda c: dates.date_range(c["text_sp"], known=known)), lambda r: r["start"] != dates.INVALID)
-        single = lambda k: dates.single_date(cell(F.lit(k))["text_sp"], known=known)
-        probe = F.coalesce(F.get(ranges, 0), F.struct(single(0).alias("start"), single(1).alias("end")))
-        years = F.filter(F.transform("cells", lambda c: dates.year_range(c["text_sp"])), lambda r: r["start"].isNotNull())
-        text = F.lit(config.years_only)
+        # a short row: the first cell with a range, else two cells of one date each, else the first date
         no = lambda kind: F.lit(None).cast(kind)
-        brief = F.struct(
-            F.when(~text, probe["start"]).alias("term_start"),
-            F.when(~text, probe["end"]).alias("term_end"),
-            F.when(text, F.get(years, 0)["start"]).otherwise(no("int")).alias("term_start_year"),
-            F.when(text, F.get(years, 0)["end"]).otherwise(no("int")).alias("term_end_year"),
-        )
-        return F.when(F.col("short"), brief).otherwise(full)
+
+        def in_texts() -> Column:
+            valid = F.filter(F.transform("cells", lambda c: dates.date_range(c["text_sp"], known=known)), lambda r: (r["start"] != dates.INVALID) & (r["end"] != dates.INVALID))
+            single = lambda k: dates.single_date(cell(F.lit(k))["text_sp"], known=known)
+            apart = lambda r: (r["start"] != r["end"]) & (r["start"] != dates.INVALID) & (r["end"] != dates.INVALID)
+            pairs = F.filter(F.array(*(F.struct(single(k).alias("start"), single(k + 1).alias("end")) for k in (0, 1))), lambda r: F.coalesce(apart(r), F.lit(False)))
+
+            def best(valid: Column) -> Column:
+                found = F.coalesce(F.get(F.filter(valid, lambda r: r["start"] != r["end"]), 0), F.get(pairs, 0), F.get(valid, 0))
+                return once(found, lambda r: F.struct(r["start"].alias("term_start"), r["end"].alias("term_end"), no("int").alias("term_start_year"), no("int").alias("term_end_year")))
+
+            return once(valid, best)
+
+        def in_years() -> Column:
+            years = F.filter(F.transform("cells", lambda c: dates.year_range(c["text_sp"])), lambda r: r["start"].isNotNull() | r["end"].isNotNull())
+            first = F.get(years, 0)
+            return F.struct(no("string").alias("term_start"), no("string").alias("term_end"), first["start"].alias("term_start_year"), first["end"].alias("term_end_year"))
+
+        return F.when(F.col("short"), either(config.years_only, in_years, in_texts)).otherwise(full)
 
     loose = loose_texts(F.col("term_start_column"), F.col("term_end_column"), F.col("short"), config)
-    in_infobox = config.find_date_in_infobox and not config.years_only
-    link_cell = cell(F.col("link_column"))
+    in_infobox = _may(config.find_date_in_infobox) and config.years_only is not True and not (isinstance(config.find_date_in_infobox, Column) and people is None)
+    asked = _col(config.find_date_in_infobox) & ~_col(config.years_only)
+    link_cell, party_cell = cell(F.col("link_column")), cell(F.col("party_column"))
+    hrefs = lambda c: either(config.party_link, lambda: F.transform(c["links"], lambda a: a["href"]), lambda: F.array().cast("array<string>"))
+    searched = F.when(F.col("short"), F.col("cells")).when(party_cell.isNotNull(), F.array(party_cell)).otherwise(F.slice("cells", 1, 0))
     out = dates.free_forms(linked, loose).withColumn("dates", dated(F.col("known"))).select(
         *keys,
         "table_no",
         "row_index",
         F.coalesce("link", F.lit(urls.NO_LINK)).alias("wiki_link"),
         F.coalesce(F.get(link_cell["links"], 0)["text"], link_cell["text"]).alias("name_from_table"),
-        cell(F.col("party_column"))["text_sp"].alias("party_text"),
-        *([F.transform(cell(F.col("party_column"))["links"], lambda a: a["href"]).alias("party_links")] if config.party_link else []),
-        F.coalesce("kept_district", F.lit(NO_DISTRICT)).alias("district"),
+        party_cell["text_sp"].alias("party_text"),
+        *([hrefs(party_cell).alias("party_links")] if _may(config.party_link) else []),
+        either(config.district_ignore, lambda: F.lit("No District"), lambda: either(config.district_at_large, lambda: F.lit("At-Large"), lambda: F.coalesce("kept_district", F.lit(NO_DISTRICT)))).alias("district"),
         "dates.*",
         urls.is_dead(F.col("link")).alias("dead_link"),
-        *([table_years(F.col("term_start_column"), F.col("term_end_column")).alias("table_years")] if in_infobox else []),
+        F.col("short").alias("continued"),
+        F.when(~_col(config.party_ignore), F.transform(searched, lambda c: F.struct(c["text_sp"].alias("text"), hrefs(c).alias("hrefs")))).alias("party_cells"),
+        *([config.ignore_non_links.alias("strict")] if isinstance(config.ignore_non_links, Column) else []),
+        *([F.when(asked, table_years(F.col("term_start_column"), F.col("term_end_column"))).alias("table_years")] if in_infobox else []),
     )
     if in_infobox:
         if people is None or offices is None:
             raise ValueError("find_date_in_infobox needs people and offices")
         out = infobox_dates(out, people, offices, *keys, role=role)
+    if isinstance(config.ignore_non_links, Column):
+        return out.filter(~F.col("strict") | urls.is_person_link(F.col("wiki_link"))).drop("strict")
     return out.filter(urls.is_person_link(F.col("wiki_link"))) if config.ignore_non_links else out
 
 
+def extract_units(rows: DataFrame, units: DataFrame, page: str, unit: str, people: DataFrame | None = None, offices: DataFrame | None = None, role: str | None = None) -> DataFrame:
+    """Term rows of all units in one plan: what `extract` returns, keyed by page and unit.
+
+    rows: the page's key, table_no, row_index, cells; units: the page's key, the unit's, and any fields of Config as columns (a null, or one that
+    is not there, has its default).  A page may have many units, and a unit finds nothing if the page lacks its table.  With people and offices
+    (keyed by page and unit), units of find_date_in_infobox take their dates from there; without, from the table.
+    """
+    named = [f.name for f in fields(Config) if f.name in units.columns]
+    own = Config.of(F.struct(*named), *named)
+    fixed = {f.name: _col(getattr(own, f.name)) for f in fields(Config)}
+    configs = units.select(page, unit, F.struct(*(c.alias(name) for name, c in fixed.items())).alias("config"), fixed["table_no"].alias("table_no"))
+    joined = rows.select(page, "table_no", "row_index", "cells").join(configs, [page, "table_no"])
+    return extract(joined, Config(**{f.name: F.col("config")[f.name] for f in fields(Config)}), page, unit, people=people, offices=offices, role=role)
+
+
 def resolve_parties(terms: DataFrame, parties: DataFrame, country: Column, *keys: str) -> DataFrame:
-    """`party`: the party of the first of party_links (if terms has them) that is a party's link, else the first party in
-    the order of names whose name the text contains, else 'No party'.
+    """`party` for terms of `extract`: the party of the first of the row's party_cells that has one, by its first address that is a
+    party's link, else the first party in the order of names whose name the text contains.
 
-    parties: (country, name), a table of names a country, and `link` for a match by links; texts and lists of links are matched once each.
+    A continued row without any keeps the party of the row before; other rows have 'No party', and null where the config ignores parties.
+    parties: (country, name), a table of names a country, and `link` for a match by links; texts and addresses are matched once each.
     """
-    texts = terms.select(country.alias("country"), F.lower("party_text").alias("key")).filter("key IS NOT NULL").distinct()
-    met = texts.join(parties, "country").filter(F.contains("key", F.lower("name"))).groupBy("country", "key").agg(F.min("name").alias("party"))
-    keyed = terms.withColumn("country", country).withColumn("key", F.lower("party_text"))
-    out = keyed.join(met, ["country", "key"], "left")
-    if "party_links" in terms.columns:
-        lists = terms.select(country.alias("country"), "party_links").filter(F.size("party_links") > 0).distinct()
-        hrefs = lists.select("country", "party_links", F.posexplode("party_links").alias("at", "href"))
+    rows = terms.withColumn("country", country)
+    cells = rows.select("country", *keys, "table_no", "row_index", F.posexplode("party_cells").alias("at", "c")).distinct()
+    cells = cells.withColumn("key", F.lower("c.text"))
+    texts = cells.select("country", "key").filter("key <> ''").distinct()
+    met = texts.join(parties, "country").filter(F.contains("key", F.lower("name"))).groupBy("country", "key").agg(F.min("name").alias("by_text"))
+    found = cells.join(met, ["country", "key"], "left")
+    if "link" in parties.columns:
+        hrefs = cells.select("country", *keys, "table_no", "row_index", "at", F.posexplode("c.hrefs").alias("nth", "href"))
         full = hrefs.withColumn("link", dates.without_footnotes(F.concat(F.lit(urls.WIKI_BASE), "href")))
         named = parties.filter("link IS NOT NULL").groupBy("country", "link").agg(F.min("name").alias("name"))
-        by_link = full.join(named, ["country", "link"]).groupBy("country", "party_links").agg(F.min_by("name", "at").alias("by_link"))
-        out = out.join(by_link, ["country", "party_links"], "left").withColumn("party", F.coalesce("by_link", "party")).drop("by_link")
-    return out.withColumn("party", F.coalesce("party", F.lit(NO_PARTY))).drop("key")
+        cell_of = ["country", *keys, "table_no", "row_index", "at"]
+        by_link = full.join(named, ["country", "link"]).groupBy(*cell_of).agg(F.min_by("name", "nth").alias("by_link"))
+        found = found.join(by_link, cell_of, "left").withColumn("by_text", F.coalesce("by_link", "by_text"))
+    row = [*keys, "table_no", "row_index"]
+    first = found.filter("by_text IS NOT NULL").groupBy(*row).agg(F.min_by("by_text", "at").alias("own"))
+    out = rows.join(first, row, "left")
+    here = F.when(F.col("continued"), F.col("own")).otherwise(F.coalesce("own", F.lit(NO_PARTY)))
+    before = Window.partitionBy(*keys, "table_no").orderBy("row_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = F.coalesce(F.last(here, True).over(before), F.lit(NO_PARTY))
+    return out.withColumn("party", F.when(F.col("party_cells").isNotNull(), carried)).drop("own", "country")
 
 
 def preview(terms: DataFrame, *keys: str, most: int = 50, years_only: bool = False) -> DataFrame:

@@ -235,6 +235,82 @@ def _infobox_terms(t):
     return terms.select("c_custkey", "term_start", "term_end")
 
 
+#: Layouts of the pages of `unit_terms`: the bits of the unit's number.
+_RIGHT_TO_LEFT, _MERGED, _YEARS, _FILTERED, _DYNAMIC, _LINKS_ONLY, _LAYOUTS, _UNITS = 1, 2, 4, 8, 16, 32, 64, 80
+
+
+def _unit_pages(t):
+    """A page of a customer's orders in the layout of its unit; units from _LAYOUTS on have rowspans."""
+    o, k, u = t("orders").withColumn("g", F.col("o_custkey")), F.col("o_orderkey"), F.col("o_custkey") % _UNITS
+    has = lambda bit: (u < _LAYOUTS) & (u.bitwiseAND(bit) > 0)
+    dynamic = has(_DYNAMIC) & ~has(_RIGHT_TO_LEFT)
+    name = F.concat(F.lit("P "), k.cast("string"))
+    person = F.when(k % 7 == 0, name).otherwise(F.concat(F.lit("<a href='/wiki/P_"), k.cast("string"), F.lit("'>"), name, F.lit("</a>")))
+    year = F.year(_day())
+    start = F.when(has(_YEARS), year.cast("string")).otherwise(F.date_format(_day(), "MMMM d, yyyy"))
+    end = F.when(has(_YEARS), (year + 4).cast("string")).otherwise(F.date_format(F.date_add(_day(), 365), "MMMM d, yyyy"))
+    span = F.concat(start, F.lit(" – "), end)
+    district = F.when(k % 4 == 0, F.concat((k % 10 + 4).cast("string"), F.lit("th"))).otherwise("whole")
+    kind = F.when(k % 3 == 0, "Circuit  Judge").otherwise("Clerk")
+    when = F.when(has(_MERGED), F.array(span)).otherwise(F.array(start, end))
+    cells = F.when(dynamic, F.concat(F.array(F.lit("note"), person), when, F.array(district, kind))).otherwise(F.concat(F.array(district, person), when, F.array(kind)))
+    cells = F.when(has(_RIGHT_TO_LEFT), F.reverse(cells)).otherwise(cells)
+    short = F.array(span, F.when(k % 5 == 0, "9th").otherwise("note"))
+    cells = F.when(u < _LAYOUTS, cells).when(k % 3 == 0, F.array(person, district, start, end)).otherwise(short)
+    row = F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))), ""), F.lit("</tr>"))
+    return _html(o, "g", header="<th>a<th>b", row=row, order="o_orderkey")
+
+
+def _unit_configs(t):
+    """A row for each customer: the fields of its unit's config; what a layout does not need is null."""
+    u = F.col("c_custkey") % _UNITS
+    has = lambda bit: (u < _LAYOUTS) & (u.bitwiseAND(bit) > 0)
+    dynamic, merged, rowspan = has(_DYNAMIC) & ~has(_RIGHT_TO_LEFT), has(_MERGED), u >= _LAYOUTS
+    first = F.when(rowspan | dynamic, 0).otherwise(1)
+    cells = F.when(dynamic, 6).otherwise(5) - F.when(merged, 1).otherwise(0)
+    start = F.when(rowspan, 2).otherwise(first + 1)
+    end = start + F.when(merged, 0).otherwise(1)
+    return t("customer").select(
+        F.col("c_custkey").alias("g"),
+        u.alias("unit"),
+        F.lit(2).alias("table_no"),
+        F.when(~rowspan, cells).alias("table_rows"),
+        first.alias("link_column"),
+        start.alias("term_start_column"),
+        end.alias("term_end_column"),
+        F.when(rowspan, 1).when(dynamic, end + 1).otherwise(0).alias("district_column"),
+        F.when(has(_FILTERED), F.when(has(_RIGHT_TO_LEFT), 0).otherwise(cells - 1)).alias("filter_column"),
+        F.when(has(_FILTERED), " circuit judge").alias("filter_criteria"),
+        F.when(dynamic, True).alias("dynamic_parse"),
+        has(_RIGHT_TO_LEFT).alias("read_right_to_left"),
+        rowspan.alias("parse_rowspan"),
+        has(_YEARS).alias("years_only"),
+        merged.alias("term_dates_merged"),
+        (has(_LINKS_ONLY) | (rowspan & (u % 2 == 1))).alias("ignore_non_links"),
+    )
+
+
+@query(
+    "H5 H8 H9 H10 H11 H12 H13 H14 H15 H16 H17 H20 J13",
+    f"""WITH o AS (SELECT o_custkey AS g, (o_custkey % {_UNITS})::INT AS unit, o_orderkey AS k, o_orderdate::DATE AS d, (o_custkey % {_UNITS}) < {_LAYOUTS} AS plain FROM orders),
+        marked AS (SELECT *, k % 7 <> 0 AS linked, CASE WHEN k % 4 = 0 THEN (k % 10 + 4) || 'th' ELSE 'No district' END AS own, plain AND unit & {_YEARS} > 0 AS years,
+                   NOT plain AND k % 3 = 0 AND k % 7 <> 0 AS begins, NOT plain AND k % 3 <> 0 AS short FROM o),
+        carried AS (SELECT *, max(CASE WHEN begins THEN k END) OVER w AS lead_key FROM marked WINDOW w AS (PARTITION BY g ORDER BY k ROWS UNBOUNDED PRECEDING)),
+        placed AS (SELECT *, last_value(CASE WHEN begins THEN own WHEN short AND lead_key IS NOT NULL AND k % 5 = 0 THEN '9th' END IGNORE NULLS) OVER (PARTITION BY g ORDER BY k ROWS UNBOUNDED PRECEDING) AS kept FROM carried)
+        SELECT g, unit, CASE WHEN NOT plain THEN 'https://en.wikipedia.org/wiki/P_' || lead_key WHEN linked THEN 'https://en.wikipedia.org/wiki/P_' || k ELSE 'No link' END AS wiki_link,
+               CASE WHEN plain THEN own ELSE kept END AS district,
+               CASE WHEN NOT years THEN strftime(d, '%Y-%m-%d') END AS term_start, CASE WHEN NOT years THEN strftime(d + INTERVAL 365 DAY, '%Y-%m-%d') END AS term_end,
+               CASE WHEN years THEN year(d)::INT END AS term_start_year, CASE WHEN years THEN year(d)::INT + 4 END AS term_end_year
+        FROM placed
+        WHERE CASE WHEN plain THEN (unit & {_FILTERED} = 0 OR k % 3 = 0) AND (linked OR (unit & {_LINKS_ONLY} = 0 AND NOT (unit & {_DYNAMIC} > 0 AND unit & {_RIGHT_TO_LEFT} = 0)))
+              ELSE begins OR (short AND lead_key IS NOT NULL) END""",
+)
+def unit_terms(t):
+    """Eighty configs, every mode among them, over all pages in one plan."""
+    terms = ex.extract_units(html.table_rows(_unit_pages(t), "g"), _unit_configs(t), "g", "unit")
+    return terms.select("g", "unit", "wiki_link", "district", "term_start", "term_end", "term_start_year", "term_end_year")
+
+
 @query("S21", "SELECT url, min(page_id) AS ord FROM (SELECT page_id, url FROM pages) GROUP BY url")
 def member_pages(t):
     links = t("pages").select("url", F.col("page_id").alias("ord"))

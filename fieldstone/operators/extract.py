@@ -354,27 +354,36 @@ def resolve_parties(terms: DataFrame, parties: DataFrame, country: Column, *keys
 
     A continued row without any keeps the party of the row before; other rows have 'No party', and null where the config ignores parties.
     parties: (country, name), a table of names a country, and `link` for a match by links; texts and addresses are matched once each.
+    Terms without party_cells have one cell each, of party_text and (if there) party_links; keys, table_no and row_index tell rows apart.
     """
     rows = terms.withColumn("country", country)
-    cells = rows.select("country", *keys, "table_no", "row_index", F.posexplode("party_cells").alias("at", "c")).distinct()
+    row = [*keys, *(c for c in ("table_no", "row_index") if c in terms.columns)]
+    added = [c for c in ("party_cells", "continued") if c not in terms.columns]
+    if "party_cells" in added:
+        links = F.coalesce("party_links", F.array().cast("array<string>")) if "party_links" in terms.columns else F.array().cast("array<string>")
+        rows = rows.withColumn("party_cells", F.array(F.struct(F.col("party_text").alias("text"), links.alias("hrefs"))))
+    if "continued" in added:
+        rows = rows.withColumn("continued", F.lit(False))
+    cells = rows.select("country", *row, F.posexplode("party_cells").alias("at", "c")).distinct()
     cells = cells.withColumn("key", F.lower("c.text"))
     texts = cells.select("country", "key").filter("key <> ''").distinct()
     met = texts.join(parties, "country").filter(F.contains("key", F.lower("name"))).groupBy("country", "key").agg(F.min("name").alias("by_text"))
     found = cells.join(met, ["country", "key"], "left")
     if "link" in parties.columns:
-        hrefs = cells.select("country", *keys, "table_no", "row_index", "at", F.posexplode("c.hrefs").alias("nth", "href"))
+        hrefs = cells.select("country", *row, "at", F.posexplode("c.hrefs").alias("nth", "href"))
         full = hrefs.withColumn("link", dates.without_footnotes(F.concat(F.lit(urls.WIKI_BASE), "href")))
         named = parties.filter("link IS NOT NULL").groupBy("country", "link").agg(F.min("name").alias("name"))
-        cell_of = ["country", *keys, "table_no", "row_index", "at"]
+        cell_of = ["country", *row, "at"]
         by_link = full.join(named, ["country", "link"]).groupBy(*cell_of).agg(F.min_by("name", "nth").alias("by_link"))
         found = found.join(by_link, cell_of, "left").withColumn("by_text", F.coalesce("by_link", "by_text"))
-    row = [*keys, "table_no", "row_index"]
     first = found.filter("by_text IS NOT NULL").groupBy(*row).agg(F.min_by("by_text", "at").alias("own"))
     out = rows.join(first, row, "left")
+    if "continued" in added:
+        return out.withColumn("party", F.coalesce("own", F.lit(NO_PARTY))).drop("own", "country", *added)
     here = F.when(F.col("continued"), F.col("own")).otherwise(F.coalesce("own", F.lit(NO_PARTY)))
     before = Window.partitionBy(*keys, "table_no").orderBy("row_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = F.coalesce(F.last(here, True).over(before), F.lit(NO_PARTY))
-    return out.withColumn("party", F.when(F.col("party_cells").isNotNull(), carried)).drop("own", "country")
+    return out.withColumn("party", F.when(F.col("party_cells").isNotNull(), carried)).drop("own", "country", *added)
 
 
 def preview(terms: DataFrame, *keys: str, most: int = 50, years_only: bool = False) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, urls
@@ -17,34 +15,37 @@ PLACEHOLDER = "YYYY-00-00"
 NO_DATES = ("assumed office", "incumbent", "invalid date")
 
 
-def role_query(raw: str | None) -> tuple[list[str], list[str]]:
-    """Includes and excludes of a query such as `"judge" -"chief judge"`; unbalanced or empty parts are errors."""
-    text = (raw or "").strip()
-    normal = lambda s: re.sub(r"\s+", " ", re.sub(r"[^a-z0-9]+", " ", s.lower())).strip()
-    includes, excludes, rest = [], [], text
-    for m in re.finditer(r'(-?)"([^"]*)"', text):
-        if not normal(m[2]):
-            raise ValueError("empty quoted part in role query")
-        (excludes if m[1] else includes).append(normal(m[2]))
-    rest = re.sub(r'-?"[^"]*"', " ", text).strip()
-    if '"' in rest:
-        raise ValueError("unbalanced quote in role query")
-    if re.search(r"(^|\s)-", rest):
-        raise ValueError("an exclusion needs a quoted phrase")
-    if normal(rest):
-        includes.append(normal(rest))
-    return includes, excludes
-
-
-def role_matches(text: Column, includes: list[str], excludes: list[str]) -> Column:
-    """Any include and no exclude, as whole words; a text without words matches no query but the empty one."""
-    hay = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), F.lit(" "))
-    ok = F.lit(not includes)
-    for phrase in includes:
-        ok = ok | F.contains(hay, F.lit(f" {phrase} "))
-    for phrase in excludes:
-        ok = ok & ~F.contains(hay, F.lit(f" {phrase} "))
-    return ok & (F.trim(hay) != "") if includes or excludes else F.lit(True)
+def role_query(raw: Column) -> Column:
+    """struct(includes, excludes, error) of a query such as `"judge" -"chief judge"`: phrases of lower-case words, any of
+    which, and none of which, a text has to hold; error says what is wrong with the query, null if nothing is.
+    """
+    text = F.trim(F.coalesce(raw, F.lit("")))
+    quoted = F.regexp_extract_all(text, F.lit('(-?"[^"]*")'), F.lit(1))
+    rest = F.trim(F.regexp_replace(text, '-?"[^"]*"', " "))
+    phrases = lambda parts: F.filter(F.transform(parts, _words), lambda p: p != "")
+    error = (
+        F.when(F.exists(quoted, lambda q: _words(q) == ""), "empty quoted part in role query")
+        .when(F.contains(rest, F.lit('"')), "unbalanced quote in role query")
+        .when(rest.rlike(r"(^|\s)-"), "an exclusion needs a quoted phrase")
+    )
+    return F.struct(
+        phrases(F.concat(F.filter(quoted, lambda q: ~q.startswith("-")), F.array(rest))).alias("includes"),
+        phrases(F.filter(quoted, lambda q: q.startswith("-"))).alias("excludes"),
+        error.alias("error"),
+    )
+
+
+def _words(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def role_matches(text: Column, query: Column) -> Column:
+    """Any include and no exclude, as whole words; a text without words matches no query but the empty one, and no text one with an error."""
+    space = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    holds = lambda phrases: F.exists(phrases, lambda p: F.contains(space(_words(text)), space(p)))
+    free = (F.size(query["includes"]) == 0) & (F.size(query["excludes"]) == 0)
+    asked = ((F.size(query["includes"]) == 0) | holds(query["includes"])) & ~holds(query["excludes"]) & (_words(text) != "")
+    return query["error"].isNull() & (free | asked)
 
 
 def biography(page: Column, url: Column, free_form: bool = True) -> Column:
@@ -91,19 +92,27 @@ def slug_variants(path: Column) -> Column:
 
 
 def infobox_terms(pages: DataFrame, offices: DataFrame, *keys: str, role: str | None = None, free_form: bool = True) -> DataFrame:
-    """Terms of the office of a person (keys, page, office_path) from the infobox rows that link to it.
+    """Terms of the office of a person (keys, page) from the infobox rows that link to it (keys, office_path).
+
+    Each office may have a role query of its own in a column `role`; then there is a column role_error, and a query with an error finds nothing.
+    Without that column the one of the argument holds for all, and an error in it is raised.
 
     The dates stand in one of the next two rows: a range, or one date (the end is then 'present').  A person without
     an infobox, a row that matches or a date gets one term of the placeholder, with a null `pos`.
     """
-    includes, excludes = role_query(role)
-    rows = pages.select(*keys, F.posexplode("page.rows").alias("pos", "r"))
-    order = Window.partitionBy(*keys).orderBy("pos")
-    ahead = rows.withColumn("next1", F.lead("r").over(order)["text"]).withColumn("next2", F.lead("r", 2).over(order)["text"])
+    by_office = "role" in offices.columns
+    if not by_office:
+        wrong = pages.sparkSession.range(1).select(role_query(F.lit(role))["error"]).first()[0]
+        if wrong:
+            raise ValueError(wrong)
+    asked = offices.withColumn("query", role_query(F.col("role") if by_office else F.lit(role)))
+    all_rows, at = F.col("page.rows"), F.col("pos")
+    rows = pages.select(*keys, "page", F.posexplode("page.rows").alias("pos", "r"))
+    ahead = rows.select(*keys, "pos", "r", F.get(all_rows, at + 1)["text"].alias("next1"), F.get(all_rows, at + 2)["text"].alias("next2")).filter(F.size("r.links") > 0)
     linked = ahead.withColumn("link", F.explode("r.links")).withColumn("path", F.lower(urls.infobox_path(F.col("link.href"))))
-    wanted = offices.select(*keys, F.explode(slug_variants(F.col("office_path"))).alias("wanted")).distinct()
+    wanted = asked.select(*keys, "query", F.explode(slug_variants(F.col("office_path"))).alias("wanted")).distinct()
     linked = linked.withColumn("wanted", F.explode(F.array_distinct(F.array(F.col("path"), F.substring_index("path", "/", -1)))))
-    met = linked.join(wanted, [*keys, "wanted"]).filter(role_matches(F.col("r.text"), includes, excludes)).dropDuplicates([*keys, "pos"])
+    met = linked.join(wanted, [*keys, "wanted"]).filter(role_matches(F.col("r.text"), F.col("query"))).dropDuplicates([*keys, "pos"])
 
     alone = lambda text: F.regexp_replace(text, r"(?i)^\s*assumed office\s*", "")
 
@@ -122,4 +131,8 @@ def infobox_terms(pages: DataFrame, offices: DataFrame, *keys: str, role: str |
     found = dated_rows.filter("d IS NOT NULL")
     terms = found.select(*keys, "pos", F.col("d.start").alias("term_start"), F.col("d.end").alias("term_end"))
     no_date = lambda c: F.coalesce(c, F.lit(PLACEHOLDER)).alias(c)
-    return pages.select(*keys).distinct().join(terms, [*keys], "left").select(*keys, "pos", no_date("term_start"), no_date("term_end"))
+    people = pages.select(*keys).distinct()
+    if by_office:
+        people = people.join(asked.groupBy(*keys).agg(F.max("query.error").alias("role_error")), [*keys], "left")
+    errors = ["role_error"] if by_office else []
+    return people.join(terms, [*keys], "left").select(*keys, "pos", no_date("term_start"), no_date("term_end"), *errors)

@@ -157,14 +157,30 @@ def by_either_key(rows: DataFrame, lookup: DataFrame, value: str, scope: str, ke
 
 
 def nearest(rows: DataFrame, stored: DataFrame, key: str, row_id: str, row_year: str, stored_id: str, stored_year: str) -> DataFrame:
-    """Each row with the stored row of its key whose year is nearest; without a year the first; ties: the first.
+    """Each row with the stored row of its key whose year is nearest (none counts as 0); without a year the first; ties: the first, by stored_id.
 
-    One shuffle on the key; a row with none stored keeps nulls.
+    No pair of a row and a stored row is made: the first stored row of each year and the years asked for stand in one line by year,
+    where the last one before and the first one after a year are looked up.  A key's line holds a row for each distinct
+    year, and rows meet their year's answer in an equi-join.  A row with none stored keeps nulls.
     """
-    both = rows.join(stored, key, "left")
-    gap = F.when(F.coalesce(F.col(row_year), F.lit(0)) != 0, F.abs(F.col(row_year) - F.coalesce(F.col(stored_year), F.lit(0))))
-    order = Window.partitionBy(key, row_id).orderBy(gap.asc_nulls_first(), F.col(stored_id))
-    return both.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+    columns = [c for c in stored.columns if c != key]
+    year = F.coalesce(F.col(stored_year), F.lit(0)).cast("long")
+    first = F.min_by(F.struct(year.alias("y"), F.col(stored_id).alias("i"), F.struct(*columns).alias("row")), F.col(stored_id)).alias("_held")
+    held = stored.groupBy(key, year.alias("_year")).agg(first)
+    asked_year = F.coalesce(F.col(row_year), F.lit(0)).cast("long")
+    asked = rows.select(key, asked_year.alias("_year")).distinct()
+    line = held.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    of_key = Window.partitionBy(key)
+    up = of_key.orderBy("_year", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = of_key.orderBy(F.desc("_year"), "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = line.select(
+        key, "_year", "_asked", F.last("_held", True).over(up).alias("b"), F.last("_held", True).over(down).alias("a"), F.min_by("_held", F.col("_held.i")).over(of_key).alias("any")
+    ).filter("_asked")
+    gap = lambda side: F.abs(F.col(f"{side}.y") - F.col("_year"))
+    before = F.col("a").isNull() | (gap("b") < gap("a")) | ((gap("b") == gap("a")) & (F.col("b.i") <= F.col("a.i")))
+    best = F.when(F.col("_year") == 0, F.col("any")).when(F.col("b").isNotNull() & before, F.col("b")).otherwise(F.col("a"))
+    met = rows.withColumn("_year", asked_year).join(near.select(key, "_year", best["row"].alias("_row")), [key, "_year"], "left")
+    return met.select(*rows.columns, *(F.col("_row")[c].alias(c) for c in columns))
 
 
 def with_children(parents: DataFrame, children: DataFrame, key: str, name: str, *columns: str) -> DataFrame:

@@ -83,6 +83,53 @@ def missing_holders(stored: DataFrame, parsed: DataFrame, *keys: str, holder: st
     return known.select(*keys).distinct().join(counts, list(keys), "left").fillna(0, ["missing"])
 
 
+#: Parts into which the holders of one key are numbered, so that no task numbers them all.
+_PARTS = 64
+
+
+def table_scores(stored: DataFrame, parsed: DataFrame, key: str, candidate: str, holder: str, coarse: str) -> DataFrame:
+    """key, candidate, n_rows, n_stored, missing, missing_coarse: for each candidate table how many of the key's stored holders it lacks.
+
+    stored: key and the holders by their exact and their coarse key (`holder`, `coarse`; blanks and nulls are none); parsed: the same for the rows of each
+    candidate.  Stored holders are numbered, and what a table has of them is a bitmap of fixed size for each part of the
+    numbers, built by partial aggregation.
+    """
+    scores = parsed.groupBy(key, candidate).agg(F.count("*").alias("n_rows"))
+    for column, name in ((holder, "missing"), (coarse, f"missing_{coarse}")):
+        known = stored.filter(F.coalesce(F.col(column), F.lit("")) != "").select(key, F.col(column).alias("_h")).distinct()
+        part = F.pmod(F.xxhash64("_h"), F.lit(_PARTS)).cast("int")
+        number = F.row_number().over(Window.partitionBy(key, "_part").orderBy("_h")).cast("long")
+        known = known.withColumn("_part", part).withColumn("_n", number)
+        held = parsed.select(key, candidate, F.col(column).alias("_h")).join(known, [key, "_h"])
+        bits = held.groupBy(key, candidate, "_part", F.bitmap_bucket_number("_n").alias("_bucket")).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("_n"))).alias("n"))
+        covered = bits.groupBy(key, candidate).agg(F.sum("n").alias("_covered"))
+        total = known.groupBy(key).agg(F.count("*").alias("_total"))
+        scores = scores.join(total, key, "left").join(covered, [key, candidate], "left")
+        scores = scores.withColumn(name, F.coalesce("_total", F.lit(0)) - F.coalesce("_covered", F.lit(0)))
+        scores = (scores.withColumn("n_stored", F.coalesce("_total", F.lit(0))) if column == holder else scores).drop("_total", "_covered")
+    return scores.select(key, candidate, "n_rows", "n_stored", "missing", F.col(f"missing_{coarse}").alias("missing_coarse"))
+
+
+def shifted_tables(scores: DataFrame, current: DataFrame, key: str, candidate: str, limit: float = 0.40) -> DataFrame:
+    """key, current, missing_before, found, missing_after: for keys whose current table lacks more than a share of the stored holders.
+
+    current: the key's table now; one that was not parsed lacks all holders.  found is the table that lacks fewer holders than the current one, by exact keys, then by coarse ones; of
+    several the one with more rows, but the first of those that lack none; ties: the first.  Null if no table is better.
+    """
+    now = current.select(key, F.col(candidate).alias("current"))
+    own = now.join(scores, (now[key] == scores[key]) & (F.col("current") == F.col(candidate)), "left").select(now[key], "current", "missing", "missing_coarse")
+    stored = scores.groupBy(key).agg(F.max("n_stored").alias("n_stored"))
+    own = own.join(stored, key).select(
+        key, "current", "n_stored", F.coalesce("missing", "n_stored").alias("missing_before"), F.coalesce("missing_coarse", "n_stored").alias("coarse_before")
+    )
+    alarmed = own.filter(F.col("missing_before") > limit * F.col("n_stored"))
+    worse = F.struct("missing", "missing_coarse") < F.struct(F.col("missing_before").alias("missing"), F.col("coarse_before").alias("missing_coarse"))
+    others = scores.drop("n_stored").join(alarmed, key).filter((F.col(candidate) != F.col("current")) & worse)
+    rows = F.when((F.col("missing") == 0) & (F.col("missing_coarse") == 0), 0).otherwise(-F.col("n_rows"))
+    best = others.groupBy(key).agg(F.min(F.struct("missing", "missing_coarse", rows.alias("r"), F.col(candidate).alias("t"))).alias("_b"))
+    return alarmed.join(best, key, "left").select(key, "current", "missing_before", F.col("_b.t").alias("found"), F.col("_b.missing").alias("missing_after"))
+
+
 def renumbered(rows: DataFrame, changes: DataFrame, *keys: str, number: str) -> DataFrame:
     """Numbers changed as asked (keys, number, new_number); the row that had a new number gets the old one."""
     forth = changes.select(*keys, F.col(number), F.col("new_number").alias("_to"))

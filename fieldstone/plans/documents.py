@@ -311,6 +311,23 @@ def unit_terms(t):
     return terms.select("g", "unit", "wiki_link", "district", "term_start", "term_end", "term_start_year", "term_end_year")
 
 
+_ROLES = (None, '"mayor"', '"deputy mayor"', '-"mayor of"', 'judge "mayor"', '"mayor', '"mayor of" -"deputy mayor"', 'mayor -judge', '"" "mayor"', "Mayor, of X!")
+
+
+@query(
+    "H25 H27 H28",
+    f"""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 10 IN (0, 1, 4, 6, 9) THEN strftime(d, '%Y-%m-%d') ELSE 'YYYY-00-00' END AS term_start,
+        CASE WHEN c_custkey % 2 = 0 AND c_custkey % 10 IN (0, 1, 4, 6, 9) THEN strftime(d + INTERVAL 90 DAY, '%Y-%m-%d') ELSE 'YYYY-00-00' END AS term_end,
+        CASE c_custkey % 10 WHEN 5 THEN 'unbalanced quote in role query' WHEN 7 THEN 'an exclusion needs a quoted phrase' WHEN 8 THEN 'empty quoted part in role query' END AS role_error FROM {_FIRST}""",
+)
+def infobox_roles(t):
+    """Each office has a role query of its own, some of them malformed."""
+    people = _people(t)
+    role = F.get(F.array(*map(F.lit, _ROLES)), (F.col("c_custkey") % len(_ROLES)).cast("int"))
+    offices = people.select("c_custkey", F.concat(F.lit("/wiki/Mayor_of_"), F.col("c_nationkey").cast("string")).alias("office_path"), role.alias("role"))
+    return infobox.infobox_terms(people, offices, "c_custkey").select("c_custkey", "term_start", "term_end", "role_error")
+
+
 @query("S21", "SELECT url, min(page_id) AS ord FROM (SELECT page_id, url FROM pages) GROUP BY url")
 def member_pages(t):
     links = t("pages").select("url", F.col("page_id").alias("ord"))

@@ -66,23 +66,24 @@ def search_two_columns(t):
 
 @query(
     "P8 P9",
-    """SELECT c_custkey, max(o_orderdate) AS checked FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
-       HAVING (max(o_orderdate) IS NULL OR max(o_orderdate) < TIMESTAMP '1998-06-01' - INTERVAL 30 DAY) AND c_custkey % 30 = 7""",
+    """SELECT c_custkey, max(o_orderdate) AS checked FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' GROUP BY c_custkey
+       HAVING (max(o_orderdate) IS NULL OR max(o_orderdate) < TIMESTAMP '2000-06-01' - INTERVAL 30 DAY) AND c_custkey % 30 = 7""",
 )
 def cooldown_batch(t):
-    return _cooldown(t, t("orders"))
+    """The customers of a batch whose last urgent order that is pending is old, or who have none."""
+    return _cooldown(t, t("orders").filter("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'"))
 
 
 def _cooldown(t, orders):
     last = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("checked"))
     rows = lookup.batch(t("customer"), "c_custkey", 30, 7).join(last, "c_custkey", "left")
-    return lookup.stale(rows, "checked", F.lit(_AS_OF).cast("timestamp_ntz"), 30).select("c_custkey", "checked")
+    return lookup.stale(rows, "checked", F.lit("2000-06-01").cast("timestamp_ntz"), 30).select("c_custkey", "checked")
 
 
-@query("P5 P6 J6 J7 U2", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0) AND c_nationkey IN (1, 2, 3) AND c_name LIKE 'Customer#%'")
+@query("P5 P6 J6 J7 U2", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') AND c_nationkey IN (1, 2, 3) AND c_name LIKE 'Customer#%'")
 def people_without_terms(t):
     people = t("customer").filter(F.col("c_nationkey").isin(1, 2, 3) & F.col("c_name").startswith("Customer#"))
-    return people.join(t("orders").filter("o_orderkey % 20 = 0"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return people.join(t("orders").filter("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query(
@@ -242,6 +243,31 @@ def missing_holders(t):
     return ordered.missing_holders(stored, stored.filter("c_custkey % 3 <> 0"), "c_nationkey", holder="holder")
 
 
+@query(
+    "W7 A17 I5 I13",
+    """WITH p AS (SELECT l_suppkey, l_linenumber AS table_no, 'P_' || l_partkey AS h, 'P_' || (l_partkey % 50) AS c FROM lineitem),
+       s AS (SELECT l_suppkey, 'P_' || l_partkey AS h, 'P_' || (l_partkey % 50) AS c FROM lineitem WHERE l_returnflag = 'R' OR l_linenumber = 2),
+       n AS (SELECT l_suppkey, count(DISTINCT h) AS n_stored, count(DISTINCT c) AS n_coarse FROM s GROUP BY ALL),
+       t AS (SELECT l_suppkey, table_no, count(*) AS n_rows FROM p GROUP BY ALL),
+       e AS (SELECT l_suppkey, table_no, count(*) AS had FROM (SELECT DISTINCT l_suppkey, table_no, h FROM p SEMI JOIN s USING (l_suppkey, h)) GROUP BY ALL),
+       y AS (SELECT l_suppkey, table_no, count(*) AS had_c FROM (SELECT DISTINCT l_suppkey, table_no, c FROM p SEMI JOIN s USING (l_suppkey, c)) GROUP BY ALL),
+       x AS (SELECT l_suppkey, table_no, n_rows, n_stored, n_stored - coalesce(had, 0) AS m, n_coarse - coalesce(had_c, 0) AS mc FROM t JOIN n USING (l_suppkey) LEFT JOIN e USING (l_suppkey, table_no) LEFT JOIN y USING (l_suppkey, table_no)),
+       own AS (SELECT s_suppkey AS l_suppkey, 1 + s_suppkey % 9 AS current, n.n_stored, coalesce(m, n.n_stored) AS missing_before, coalesce(mc, n.n_stored) AS coarse_before
+               FROM supplier JOIN n ON n.l_suppkey = s_suppkey LEFT JOIN x ON x.l_suppkey = s_suppkey AND table_no = 1 + s_suppkey % 9),
+       a AS (SELECT * FROM own WHERE missing_before > 0.4 * n_stored),
+       r AS (SELECT l_suppkey, table_no, m, row_number() OVER (PARTITION BY l_suppkey ORDER BY m, mc, CASE WHEN m = 0 AND mc = 0 THEN 0 ELSE -n_rows END, table_no) AS k
+             FROM a JOIN (SELECT * EXCLUDE n_stored FROM x) x USING (l_suppkey) WHERE table_no <> current AND (m < missing_before OR (m = missing_before AND mc < coarse_before)))
+       SELECT l_suppkey, current::INT AS current, missing_before, table_no AS found, m AS missing_after FROM a LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (l_suppkey)""",
+)
+def shifted_tables(t):
+    """Offices whose table lacks over 40 % of their holders, and the table of their page that lacks fewest."""
+    keys = {"h": F.concat(F.lit("P_"), F.col("l_partkey").cast("string")), "c": F.concat(F.lit("P_"), (F.col("l_partkey") % 50).cast("string"))}
+    parsed = t("lineitem").select("l_suppkey", F.col("l_linenumber").alias("table_no"), *(v.alias(k) for k, v in keys.items()))
+    stored = t("lineitem").filter("l_returnflag = 'R' OR l_linenumber = 2").select("l_suppkey", *(v.alias(k) for k, v in keys.items()))
+    current = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), (1 + F.col("s_suppkey") % 9).cast("int").alias("table_no"))
+    return ordered.shifted_tables(ordered.table_scores(stored, parsed, "l_suppkey", "table_no", "h", "c"), current, "l_suppkey", "table_no")
+
+
 @query(
     "W8",
     """WITH r AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, bool_or(bool_or(l_linenumber = 1)) OVER (PARTITION BY l_orderkey) AS moved FROM lineitem GROUP BY l_orderkey, l_linenumber)

@@ -150,9 +150,9 @@ def first_and_last(t):
     return ordered.first_and_last(t("orders"), "o_custkey", order=F.struct("o_orderdate", "o_orderkey"), columns=("o_orderkey", "o_orderstatus"))
 
 
-@query("J12", "SELECT n_nationkey, CASE WHEN count(s_suppkey) > 0 THEN string_agg(s_name, ',' ORDER BY s_name) END AS alt_links FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 2 = 0 GROUP BY n_nationkey")
+@query("J12", "SELECT n_nationkey, CASE WHEN count(s_suppkey) > 0 THEN string_agg(s_name, ',' ORDER BY s_name) END AS alt_links FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey")
 def office_links(t):
-    links = t("supplier").filter("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("n_nationkey"), "s_name")
+    links = t("supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_name")
     return lookup.with_children(t("nation").select("n_nationkey"), links, "n_nationkey", "l", "s_name").select("n_nationkey", F.array_join("l", ",").alias("alt_links"))
 
 
@@ -264,10 +264,10 @@ def skipped_holders(t):
 
 @query(
     "I11",
-    """SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS place, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3 AS admitted FROM events WHERE event_id % 4 = 0""",
+    """SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS place, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3 AS admitted FROM events""",
 )
 def admitted_jobs(t):
-    jobs = t("events").filter("event_id % 4 = 0").select("user_id", F.col("event_id").alias("job_id"), F.col("ts").alias("queued_at"))
+    jobs = t("events").select("user_id", F.col("event_id").alias("job_id"), F.col("ts").alias("queued_at"))
     return diff.admitted_jobs(jobs, "user_id", depth=3).select(F.col("job_id").alias("event_id"), "place", "admitted")
 
 
@@ -314,15 +314,17 @@ def office_rows(t):
 
 @query(
     "S9",
-    """SELECT n_regionkey::VARCHAR AS country, n_name AS name, '/new' AS link FROM nation WHERE n_regionkey IN (1, 2) AND n_nationkey % 2 = 0
-       UNION ALL SELECT n_regionkey::VARCHAR, n_name, '/old' FROM nation WHERE n_regionkey NOT IN (1, 2)""",
+    """SELECT 'replaced' AS kind, n_regionkey::VARCHAR AS country, n_name AS name, '/new' AS link FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 > 0
+       UNION ALL SELECT 'added', n_regionkey::VARCHAR, n_name, CASE WHEN n_regionkey = 1 THEN '/old' ELSE '/new' END FROM nation WHERE n_regionkey = 1 OR (n_nationkey % 2 = 0 AND n_nationkey % 3 > 0)""",
 )
 def imported_parties(t):
-    """The parties of the countries in a file are replaced; rows without a name are not imported."""
-    stored = t("nation").select(_text("n_regionkey").alias("country"), F.col("n_name").alias("name"), F.lit("/old").alias("link"))
-    rows = t("nation").filter("n_regionkey IN (1, 2)")
-    raw = _raw(rows, files.PARTY_HEADERS, country=_text("n_regionkey"), party_name=F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(" "), "n_name")), party_link=F.lit("/new"))
-    return files.import_parties(stored, files.parties(raw), overwrite=True)
+    """A file that replaces all parties, and one whose new ones are added; rows without a name or a link are not imported."""
+    k = F.col("n_nationkey")
+    stored = t("nation").filter("n_regionkey = 1").select(_text("n_regionkey").alias("country"), F.col("n_name").alias("name"), F.lit("/old").alias("link"))
+    named = {"party_name": F.when(k % 2 == 0, F.concat(F.lit(" "), "n_name")), "party_link": F.when(k % 3 > 0, " /new ").otherwise(" ")}
+    typed = files.parties(_raw(t("nation"), files.PARTY_HEADERS, country=_text("n_regionkey"), **named))
+    kind = lambda name, df: df.select(F.lit(name).alias("kind"), "country", "name", "link")
+    return kind("replaced", files.import_parties(stored, typed, overwrite=True)).unionByName(kind("added", files.import_parties(stored, typed)))
 
 
 def _entries(t):

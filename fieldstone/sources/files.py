@@ -44,7 +44,7 @@ def rules_name(header: str) -> str:
 def parties(raw: DataFrame) -> DataFrame:
     c = lambda h: F.trim(F.coalesce(F.col(f"`{h}`"), F.lit("")))
     typed = raw.select(c("Country").alias("country"), c("Party name").alias("name"), c("Party link").alias("link"))
-    return typed.withColumn("ok", (F.col("country") != "") & (F.col("name") != ""))
+    return typed.withColumn("ok", (F.col("country") != "") & (F.col("name") != "") & (F.col("link") != ""))
 
 
 def import_counts(typed: DataFrame) -> DataFrame:
@@ -53,10 +53,10 @@ def import_counts(typed: DataFrame) -> DataFrame:
 
 
 def import_parties(stored: DataFrame, typed: DataFrame, overwrite: bool = False) -> DataFrame:
-    """Stored parties (country, name, link) after an import of the rows that are ok; with overwrite the parties of the countries in the file go first."""
+    """Stored parties (country, name, link) after an import of the rows that are ok; with overwrite all stored ones go first."""
     fresh = typed.filter("ok").drop("ok").dropDuplicates(["country", "name"])
     if overwrite:
-        stored = stored.join(fresh.select("country").distinct(), "country", "left_anti")
+        return fresh.select(*stored.columns)
     return stored.unionByName(fresh.join(stored, ["country", "name"], "left_anti"))
 
 

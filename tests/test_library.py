@@ -74,20 +74,6 @@ def test_suspicious(spark):
     assert got == [["year_as_name"], ["html_in_url"], ["title_in_name"], [], ["sql_in_url", "long_name"]]
 
 
-def test_role_query():
-    assert infobox.role_query("") == ([], [])
-    assert infobox.role_query('"judge" -"chief judge"') == (["judge"], ["chief judge"])
-    assert infobox.role_query('judge -"x"') == (["judge"], ["x"])
-    for bad in ("-x", '"open', "judge -", '""'):
-        with pytest.raises(ValueError):
-            infobox.role_query(bad)
-
-
-def test_role_matches(spark):
-    ok = infobox.role_matches(F.col("v"), ["judge"], ["chief judge"])
-    assert [r[0] for r in values(spark, ["A Judge of x", "Chief  Judge", "judges", None], ok)] == [True, False, False, False]
-
-
 def test_slug_variants(spark):
     got = [set(r[0]) for r in values(spark, ["/wiki/List_of_governors_of_Ohio", "/wiki/Mayor_of_X", "/wiki/Y"], infobox.slug_variants(F.col("v")))]
     assert {"governors_of_ohio", "ohio_governor"} <= got[0] and "x_mayor" in got[1] and got[2] == {"/wiki/y", "y"}

@@ -12,9 +12,9 @@ costs no task more than its rows.  A task holds less than one sequence a class.
 the pieces of unfilled sequences are laid end to end and cut anew at the
 capacity, and the rest into powers of two, which need no padding.
 
-Chunks between spaces are tokenized once and remembered: the tokenizer drops white space and none of
-its rules reaches over it, so the ids of a text are those of its chunks.  Chunks of ASCII are cut into
-words here, others by the tokenizer's own parts; a word's ids come from its model.
+Each distinct word is tokenized once and remembered: the tokenizer drops white space and none of
+its rules reaches over a space.  Texts of ASCII, accented Latin letters and common punctuation, for which the rules are plain, are cut into
+words here; chunks between spaces that hold anything else go through the tokenizer.
 
 Defined results: a null or empty text has no tokens but the end token; a null
 doc_id is an ordinary value; repeated rows are packed each on its own; an empty
@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,24 +36,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 #: Tokens of a sequence.
 CAPACITY = 4096
-#: Bytes of chunks and ids that a task remembers, and how many.
-MOST_BYTES, MOST_CHUNKS = 64 << 20, 500_000
+#: Distinct words, and chunks, that a task remembers, and the longest of them in characters.
+MOST_WORDS, LONGEST = 1_000_000, 64
 #: Characters of a text that are tokenized at a time, cut at a space.
 _SEGMENT = 1 << 20
 #: Bytes of ids after which a batch of pieces is handed on.
 _BATCH_BYTES = 4 << 20
 
-#: The split rule of the tokenizer for lower-case ASCII text, and what may be in such a chunk.
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_ASCII_CHUNK = re.compile(r"[\x21-\x7E]*")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters (without the dotted capital I, which becomes two characters) and punctuation that need no normalization.
+_LETTERS, _MARKS, _BLANKS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F", "\u00A1\u00A7\u00AB\u00BB\u00BF\u2010-\u2027", " \t\n\x0B\f\r"
+#: The split rule for lower-case texts of these.
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_BLANKS}0-9{_LETTERS}]+")
 
 
 class Encoder:
-    """The ids of texts as little-endian unsigned 32-bit numbers, chunk by chunk."""
+    """The ids of texts as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, data: bytes):
         spec = json.loads(data)
@@ -72,48 +75,55 @@ class Encoder:
         self.whole = Tokenizer.from_buffer(data)
         self.whole.no_padding()
         self.whole.no_truncation()
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        self.chunks: dict[str, bytes] = {}
+        self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        special = "|".join(re.escape(t["content"]) for t in spec["added_tokens"])
+        self.odd = re.compile(rf"[^!-~{_LETTERS}{_MARKS}{_BLANKS}]" + (f"|{special}" if special else ""))
         self.words: dict[str, bytes] = {}
-        self.held = 0
+        self.chunks: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         out, at = [], 0
         while at < len(text):
             end = text.find(" ", at + _SEGMENT)
             end = len(text) if end < 0 else end
-            out.append(self._segment(text[at:end].split(" ")))
+            self._segment(text[at:end], out)
             at = end + 1
         return b"".join(out)
 
-    def _segment(self, chunks: list[str]) -> bytes:
-        if self.held > MOST_BYTES or len(self.chunks) > MOST_CHUNKS:
-            self.chunks.clear()
-            self.words.clear()
-            self.held = 0
-        known = self.chunks
-        for chunk in set(chunks).difference(known):
-            known[chunk] = found = self._chunk(chunk)
-            self.held += len(chunk) + len(found)
-        return b"".join(map(known.__getitem__, chunks))
+    def _segment(self, text: str, out: list[bytes]) -> None:
+        for held in (self.words, self.chunks):
+            if len(held) > MOST_WORDS:
+                held.clear()
+        at = 0
+        while odd := self.odd.search(text, at):
+            start, end = text.rfind(" ", at, odd.start()) + 1 or at, text.find(" ", odd.start())
+            end = len(text) if end < 0 else end
+            out += (self._plain(text[at:start]), self._chunk(text[start:end]))
+            at = end
+        out.append(self._plain(text[at:]))
+
+    def _plain(self, text: str) -> bytes:
+        words, known = _WORDS.findall(text.lower()), self.words
+        long = {}
+        for word in set(words).difference(known):
+            (known if len(word) <= LONGEST else long)[word] = self._ids(word)
+        get = known.__getitem__ if not long else lambda w: long[w] if w in long else known[w]
+        return b"".join(map(get, words))
 
     def _chunk(self, chunk: str) -> bytes:
-        if any(s in chunk for s in self.special):
-            return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if _ASCII_CHUNK.fullmatch(chunk):
-            words = _ASCII_WORDS.findall(chunk.lower())  # a byte of printable ASCII is its own byte-level character
-        else:
-            words = [w for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(chunk))]
-        return b"".join(map(self._word, words))
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        found = self.chunks.get(chunk)
         if found is None:
-            found = b"".join(t.id.to_bytes(4, "little") for t in self.whole.model.tokenize(word))
-            self.words[word] = found
-            self.held += len(word) + len(found)
+            found = np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(chunk) <= LONGEST:
+                self.chunks[chunk] = found
         return found
 
+    def _ids(self, word: str) -> bytes:
+        if not word.isascii():  # printable ASCII is written as it is at the level of bytes
+            ((word, _),) = self.byte_level.pre_tokenize_str(word)
+        ids = [t.id for t in self.whole.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 _encoders: dict[str, Encoder] = {}
 

@@ -26,7 +26,7 @@ def test_ids():
         encode = packing.Encoder(f.read()).encode
     texts = [t or "" for _, t, *_ in odd_rows()] + [
         "It's DON'T we'll 'tis o'clock --'s ''s 's's 12345 a1b2 x²½Ⅷ", "ΣΟΦΟΣ ΌΣΟΣ. İstanbul straße ẞ ﬁne Å é e ́ ́x", "a b c　d​e \x1c\x1f \x85 x\ty\nz",
-        "<|endoftext|> x<|startoftext|>y<|ENDOFTEXT|> <| endoftext|>", "   lead  and trail   ", "漢字かな カナ 한국어 ไทย עברית 🙂🙃 👩‍👩‍👧", "A" * 5000, "é" * 3000, "!?" * 2000, "…—–«»“”", "\x00\x01\x7f", "ſ K Å DŽ ǅ",
+        "<|endoftext|> x<|startoftext|>y<|ENDOFTEXT|> <| endoftext|>", "   lead  and trail   ", "漢字かな カナ 한국어 ไทย עברית 🙂🙃 👩‍👩‍👧", "A" * 5000, "é" * 3000, "!?" * 2000, "…—–«»“”", "\x00\x01\x7f", "ſ K Å DŽ ǅ", "plain 漢 words é漢é,é İi İ ÀÖ×Øö÷øÿ ĀſŸ «x» ¿q? “z”… ‑ ǿ ª º µ ² ³ ¼", "<|endoftext|>", "a\u2028b\u00a0c\u00add",
     ]
     tokenizer = library()
     for text in texts:
@@ -35,7 +35,7 @@ def test_ids():
 
 def test_segments(monkeypatch):
     monkeypatch.setattr(packing, "_SEGMENT", 7)
-    monkeypatch.setattr(packing, "MOST_CHUNKS", 2)
+    monkeypatch.setattr(packing, "MOST_WORDS", 2)
     with open(WORDS, "rb") as f:
         encode = packing.Encoder(f.read()).encode
     for text in ("some words  of a text that is cut   here", " " * 30, "x" * 40 + " y", "y " + "x" * 40):

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, rules, urls
 from ..functions.common import once
+from ..sources import html
 from . import infobox
+from .lookup import first_name_in
 
 NO_PARTY, NO_DISTRICT = "No party", "No district"
 
@@ -348,6 +350,13 @@ def extract_units(rows: DataFrame, units: DataFrame, page: str, unit: str, peopl
     return extract(joined, Config(**{f.name: F.col("config")[f.name] for f in fields(Config)}), page, unit, people=people, offices=offices, role=role)
 
 
+def unit_rows(pages: DataFrame, units: DataFrame, page: str, max_rows: int | None = None) -> DataFrame:
+    """The rows of the tables that units ask for (a null table_no: the first), for extract_units; no other table of a page is built."""
+    table = F.coalesce("table_no", F.lit(Config.table_no)) if "table_no" in units.columns else F.lit(Config.table_no)
+    wanted = units.select(page, table.alias("_table")).distinct()
+    return html.table_rows(pages.join(wanted, page), page, max_rows=max_rows, only=F.col("_table"))
+
+
 def resolve_parties(terms: DataFrame, parties: DataFrame, country: Column, *keys: str) -> DataFrame:
     """`party` for terms of `extract`: the party of the first of the row's party_cells that has one, by its first address that is a
     party's link, else the first party in the order of names whose name the text contains.
@@ -367,7 +376,7 @@ def resolve_parties(terms: DataFrame, parties: DataFrame, country: Column, *keys
     cells = rows.select("country", *row, F.posexplode("party_cells").alias("at", "c")).distinct()
     cells = cells.withColumn("key", F.lower("c.text"))
     texts = cells.select("country", "key").filter("key <> ''").distinct()
-    met = texts.join(parties, "country").filter(F.contains("key", F.lower("name"))).groupBy("country", "key").agg(F.min("name").alias("by_text"))
+    met = first_name_in(texts, parties.select("country", "name"), "country", "key", "by_text")
     found = cells.join(met, ["country", "key"], "left")
     if "link" in parties.columns:
         hrefs = cells.select("country", *row, "at", F.posexplode("c.hrefs").alias("nth", "href"))

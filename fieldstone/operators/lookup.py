@@ -5,8 +5,11 @@ Sides are never forced to be broadcast: Spark does so where statistics say that
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,6 +186,60 @@ def nearest(rows: DataFrame, stored: DataFrame, key: str, row_id: str, row_year:
     return met.select(*rows.columns, *(F.col("_row")[c].alias(c) for c in columns))
 
 
+#: Bytes of names that a task holds at a time.
+NAMES_BLOCK = 4 << 20
+
+
+def first_name_in(texts: DataFrame, names: DataFrame, scope: str, text: str, found: str) -> DataFrame:
+    """(scope, text, found): for each of distinct texts (lower case) the first name, in the order of names, of its scope that it holds, whatever the name's case.
+
+    Names (scope, name) go into Aho-Corasick automata, one for each scope, and each text is read once for all of them.  They are
+    broadcast in blocks of NAMES_BLOCK bytes by their hash, one block at a time, so texts are read once a block.  Texts
+    that hold no name, and nulls, are left out.
+    """
+    spark = texts.sparkSession
+    names = names.filter("name <> ''").select(scope, "name").distinct()
+    size = names.agg(F.coalesce(F.sum(F.octet_length("name") + F.lit(32)), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // NAMES_BLOCK))
+    schema = texts.select(scope, text).schema.add(found, "string")
+
+    def search(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = _automata(sent.value)
+            for batch in batches:
+                best = [_least(of.get(s), t) for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                hit = pa.array([b is not None for b in best])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string())], names=schema.names).filter(hit)
+
+        return run
+
+    rows, parts = texts.select(scope, text), []
+    for k in range(blocks):
+        block = names.filter(F.pmod(F.xxhash64(scope, "name"), F.lit(blocks)) == k) if blocks > 1 else names
+        sent = spark.sparkContext.broadcast([tuple(r) for r in block.collect()])  # NAMES_BLOCK bytes in expectation
+        parts.append(rows.mapInArrow(search(sent), schema))
+    met = reduce(DataFrame.unionByName, parts)
+    return met if blocks == 1 else met.groupBy(scope, text).agg(F.min(found).alias(found))
+
+
+def _automata(names: list[tuple]) -> dict:
+    """scope -> an automaton whose words hold the least name that is written like them in lower case."""
+    of: dict = {}
+    for scope, name in names:
+        words = of.setdefault(scope, ahocorasick.Automaton())
+        key = name.lower()
+        words.add_word(key, min(name, words.get(key, name)))
+    for words in of.values():
+        words.make_automaton()
+    return of
+
+
+def _least(words, text: str | None) -> str | None:
+    if words is None or text is None:
+        return None
+    return min((name for _, name in words.iter(text)), default=None, key=str.encode)
+
+
 def with_children(parents: DataFrame, children: DataFrame, key: str, name: str, *columns: str) -> DataFrame:
     """Parents with the sorted list of their children."""
     child = F.struct(*columns) if len(columns) > 1 else F.col(columns[0])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls
@@ -115,13 +115,27 @@ def open_items(flags: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def run_counters(rows: DataFrame) -> DataFrame:
-    """Counters of a run in one pass: offices, unchanged, terms, distinct links, and biographies by outcome."""
-    return rows.agg(
-        F.count_distinct("office_id").alias("offices"),
-        F.count_if(F.col("change_type") == "unchanged").alias("unchanged"),
-        F.count("*").alias("terms"),
-        F.count_distinct("wiki_url").alias("links"),
-    )
+    """Counters of a run in one pass: offices, unchanged, terms, distinct links, and biographies by outcome (if rows have a column biography)."""
+    counters = _counters("biography" in rows.columns)
+    return rows.agg(F.count_distinct("office_id").alias("offices"), *(c.alias(name) for name, c in counters.items()), F.count_distinct("wiki_url").alias("links"))
+
+
+def _counters(biographies: bool) -> dict[str, Column]:
+    kinds = ("ok", "failed", "skipped") if biographies else ()
+    plain = {"unchanged": F.count_if(F.col("change_type") == "unchanged"), "terms": F.count("*")}
+    return plain | {f"bio_{kind}": F.count_if(F.col("biography") == kind) for kind in kinds}
+
+
+def observed(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """The rows, and what is counted while they are written: unchanged, terms, linked, bio_ok, bio_failed, bio_skipped.
+
+    rows: change_type, wiki_url, biography (ok, failed, skipped or null).  No further pass: the numbers are those of the
+    first action on the rows, by Observation.get.  Distinct counts can't be observed; run_counters has those.
+    """
+    run = Observation("run_counters")
+    linked = F.count_if(F.coalesce(F.col("wiki_url") != "No link", F.lit(False)))
+    counters = _counters(True) | {"linked": linked}
+    return rows.observe(run, *(c.alias(name) for name, c in counters.items())), run
 
 
 def eligible(people: DataFrame, most: int = 50) -> DataFrame:

@@ -307,7 +307,8 @@ def _unit_configs(t):
 )
 def unit_terms(t):
     """Eighty configs, every mode among them, over all pages in one plan."""
-    terms = ex.extract_units(html.table_rows(_unit_pages(t), "g"), _unit_configs(t), "g", "unit")
+    units = _unit_configs(t)
+    terms = ex.extract_units(ex.unit_rows(_unit_pages(t), units, "g"), units, "g", "unit")
     return terms.select("g", "unit", "wiki_link", "district", "term_start", "term_end", "term_start_year", "term_end_year")
 
 
@@ -349,12 +350,29 @@ def export_tree(t):
     return files.export_tree(pages, offices, links, tables)
 
 
-@query("S4", None)
+@query(
+    "S4",
+    r"""WITH bare AS (SELECT page_id, regexp_replace(html, '<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'gs') AS html FROM pages),
+       found AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*>', 0)) AS tag, unnest(range(len(regexp_extract_all(html, '<a\s[^>]*>', 0)))) AS pos FROM bare)
+       SELECT page_id, pos::INT AS pos, replace(regexp_extract(tag, 'href="([^"]*)"', 1), '&amp;', '&') AS href FROM found""",
+)
 def page_links(t):
-    """All links of the landed pages, as holders' links where they can be."""
-    page = t("pages").select("page_id", html.html_page(F.concat(F.lit("<table class='infobox vcard'><tr><td>"), F.col("html"), F.lit("</td></tr></table>"))).alias("p"))
-    links = page.select("page_id", F.explode("p.rows").alias("r")).select("page_id", F.explode("r.links").alias("a"))
-    return links.select("page_id", F.col("a.href").alias("href"), urls.infobox_path(F.col("a.href")).alias("path"))
+    """All links of the raw pages, in their order."""
+    return html.page_links(t("pages"), "page_id").select("page_id", "pos", "href")
+
+
+@query(
+    "H1 H2 H3 H4 S17 S18",
+    """SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS row_index, CASE WHEN o_orderkey % 5 > 0 THEN 2 END::INT AS n_cells,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'ValueError: a row of 6 cells' END AS error FROM orders QUALIFY row_index <= 4""",
+)
+def lateral_rows(t):
+    """The first rows of one table of each page by a table function; a row that is too wide costs no other."""
+    o = t("orders").withColumn("g", F.col("o_custkey"))
+    row = F.concat(F.lit("<tr>"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("<td>x" * 6)).otherwise(_td(F.col("o_orderkey").cast("string"), "y")), F.lit("</tr>"))
+    pages = _html(o, "g", header="<th>a<th>b", row=row, order="o_orderkey").withColumn("wanted", F.lit(2))
+    rows = html.lateral_rows(pages, "g", table_no=F.col("wanted"), max_rows=4, max_cells=5).filter("row_index > 0")
+    return rows.select("g", "row_index", F.when(F.col("cells").isNotNull(), F.size("cells")).alias("n_cells"), "error")
 
 
 def _small_terms(t, *cells, header="<th>a<th>b<th>c"):

@@ -86,6 +86,17 @@ def people_without_terms(t):
     return people.join(t("orders").filter("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
+@query("J9 H19", """WITH names AS (SELECT DISTINCT substr(p_name, 1, 5) AS name FROM part)
+    SELECT p_partkey, (SELECT min(name) FROM names WHERE contains(lower(p_type || ' ' || p_name), lower(name))) AS name FROM part""")
+def names_in_texts(t):
+    """The first of the names of all parts, cut short, that a part's text holds."""
+    text = F.lower(F.concat_ws(" ", "p_type", "p_name"))
+    parts = t("part").select("p_partkey", F.lit("x").alias("scope"), text.alias("key"))
+    names = t("part").select(F.lit("x").alias("scope"), F.substring("p_name", 1, 5).alias("name"))
+    found = lookup.first_name_in(parts.select("scope", "key").distinct(), names, "scope", "key", "name")
+    return parts.join(found, ["scope", "key"], "left").select("p_partkey", "name")
+
+
 @query(
     "P13 J4 J13",
     """SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -534,9 +545,15 @@ def page_states(t):
     return t("events").select("event_id", quality.page_state(k != 0, k != 1, verdict, F.when(k == 5, "valid").otherwise("invalid")).alias("state"))
 
 
-@query("A14", "SELECT count(DISTINCT l_suppkey) AS offices, count(*) FILTER (WHERE l_returnflag = 'R') AS unchanged, count(*) AS terms, count(DISTINCT l_partkey) AS links FROM lineitem")
+@query(
+    "A14",
+    """SELECT count(DISTINCT l_suppkey) AS offices, count(*) FILTER (WHERE l_returnflag = 'R') AS unchanged, count(*) AS terms, count(DISTINCT l_partkey) AS links,
+       count(*) FILTER (WHERE l_linenumber < 3) AS bio_ok, count(*) FILTER (WHERE l_linenumber = 3) AS bio_failed, count(*) FILTER (WHERE l_linenumber > 4) AS bio_skipped FROM lineitem""",
+)
 def run_counters(t):
-    rows = t("lineitem").select(F.col("l_suppkey").alias("office_id"), F.when(F.col("l_returnflag") == "R", "unchanged").otherwise("new").alias("change_type"), F.col("l_partkey").alias("wiki_url"))
+    n = F.col("l_linenumber")
+    biography = F.when(n < 3, "ok").when(n == 3, "failed").when(n > 4, "skipped")
+    rows = t("lineitem").select(F.col("l_suppkey").alias("office_id"), F.when(F.col("l_returnflag") == "R", "unchanged").otherwise("new").alias("change_type"), F.col("l_partkey").alias("wiki_url"), biography.alias("biography"))
     return quality.run_counters(rows)
 
 

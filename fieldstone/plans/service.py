@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import diff, lookup, ordered, quality, writes
+from ..session import run_folder
 from ..sources import files, html
 from .registry import query
 
@@ -327,6 +328,52 @@ def imported_parties(t):
     return kind("replaced", files.import_parties(stored, typed, overwrite=True)).unionByName(kind("added", files.import_parties(stored, typed)))
 
 
+@query(
+    "S8 S9 S10",
+    """SELECT CASE WHEN c_custkey % 5 = 0 THEN 'malformed line' WHEN c_custkey % 5 = 1 THEN 'malformed line' WHEN c_custkey % 7 = 0 THEN 'no Party name' WHEN c_custkey % 11 = 0 THEN 'no Party link' END AS reason,
+       count(*) AS n FROM customer GROUP BY ALL""",
+)
+def file_rejects(t):
+    """The lines of a file, written in the run's folder, by the reason why they are not imported; null: they are."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    quoted = F.concat(F.lit('"'), name, F.lit(', of ""X"""'))
+    line = (
+        F.when(k % 5 == 0, F.concat(F.lit("US,"), name))
+        .when(k % 5 == 1, F.concat(F.lit("US,"), name, F.lit(",/l,more")))
+        .when(k % 7 == 0, "US, ,/l")
+        .when(k % 11 == 0, F.concat(F.lit("US,"), quoted, F.lit(",")))
+        .otherwise(F.concat(F.lit("US,"), quoted, F.lit(",/l")))
+    )
+    spark = t("customer").sparkSession
+    folder = run_folder(spark, "parties")
+    t("customer").select(line.alias("value")).write.text(folder)
+    raw = files.read_lines(spark, folder, files.PARTY_HEADERS, header=False)
+    return files.rejects(raw, *files.PARTY_HEADERS).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "S12 F27",
+    """SELECT p_partkey, array_to_string(CASE WHEN p_partkey % 9 = 0 THEN ['manifest entry must be a JSON object'] ELSE list_filter([
+         CASE WHEN p_partkey % 4 = 0 THEN 'missing required keys: source_url, enabled' END,
+         CASE p_partkey % 5 WHEN 0 THEN 'html_file must be a non-empty string' WHEN 1 THEN 'html_file must be a relative path' WHEN 2 THEN 'html_file does not exist' END,
+         CASE p_partkey % 3 WHEN 0 THEN 'config_json must be a JSON object or array, got string' END,
+         CASE p_partkey % 7 WHEN 0 THEN 'expected_json must be a JSON object or array, got void' WHEN 1 THEN 'expected_json must be a JSON object or array, got bigint' END], lambda e: e IS NOT NULL) END, '; ') AS errors FROM part""",
+)
+def manifest_errors(t):
+    """One manifest for each part, with each of the checks' messages among them."""
+    k = F.col("p_partkey")
+    file = F.when(k % 5 == 0, F.lit(' ')).when(k % 5 == 1, "/tmp/x.html").when(k % 5 == 2, "a/none.html").otherwise("a/1.html")
+    fields = [
+        F.lit('"name":"t","test_type":"bio"'), F.concat(F.lit('"html_file":"'), file, F.lit('"')), F.when(k % 4 > 0, F.lit('"source_url":null,"enabled":1')),
+        F.concat(F.lit('"config_json":'), F.when(k % 3 == 0, F.lit('"{}"')).otherwise("{}")), F.concat(F.lit('"expected_json":'), F.when(k % 7 == 0, "null").when(k % 7 == 1, "5").otherwise("[]")),
+    ]
+    entry = F.when(k % 9 == 0, F.lit("[1]")).otherwise(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
+    texts = t("part").select("p_partkey", F.concat(F.lit("["), entry, F.lit("]")).alias("text"))
+    existing = t("region").select(F.concat(F.lit("a/"), F.col("r_regionkey").cast("string"), F.lit(".html")).alias("path"))
+    errors = files.manifest_errors(files.manifest_entries(texts, "text", "p_partkey"), "entry", existing, "path")
+    return errors.select("p_partkey", F.array_join("errors", "; ").alias("errors"))
+
+
 def _entries(t):
     k = F.col("p_partkey")
     return t("part").select(

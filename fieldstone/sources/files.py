@@ -18,6 +18,64 @@ MANIFEST = "name string, test_type string, html_file string, source_url string,
 TEST_TYPES = ("table_config", "infobox", "bio")
 
 
+#: What a CSV reader can't fit into its columns.
+CORRUPT = "_corrupt"
+# Fixed value: the keys of a manifest's entries.
+MANIFEST_KEYS = ("name", "test_type", "html_file", "source_url", "config_json", "expected_json", "enabled")
+
+
+def read_lines(spark: SparkSession, path: str, headers: tuple[str, ...], header: bool = True) -> DataFrame:
+    """A CSV file, all columns as text, and CORRUPT: the line if it has too few or too many cells or an open quote, else null."""
+    schema = ", ".join(f"`{h}` string" for h in (*headers, CORRUPT))
+    return spark.read.csv(path, header=header, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True)
+
+
+def rejects(raw: DataFrame, *required: str) -> DataFrame:
+    """The lines of read_lines with `reason`: why a line is not imported; null for those that are."""
+    lacking = [F.when(F.trim(F.coalesce(F.col(f"`{h}`"), F.lit(""))) == "", F.lit(f"no {h}")) for h in required]
+    return raw.withColumn("reason", F.coalesce(F.when(F.col(CORRUPT).isNotNull(), "malformed line"), *lacking))
+
+
+def manifest_entries(texts: DataFrame, text: str, *carried: str) -> DataFrame:
+    """The carried columns, index and entry (variant): the elements of manifests; one row with a null entry if a text is no JSON array."""
+    parsed = texts.select(*carried, F.try_parse_json(text).alias("_v"))
+    is_list = F.startswith(F.schema_of_variant("_v"), F.lit("ARRAY"))
+    whole = F.when(is_list, F.try_variant_get("_v", "$", "array<variant>"))
+    return parsed.select(*carried, F.posexplode(F.coalesce(whole, F.array(F.lit(None).cast("variant")))).alias("index", "entry"))
+
+
+def manifest_errors(entries: DataFrame, entry: str, existing: DataFrame, path: str) -> DataFrame:
+    """`errors` of manifest entries (variant): all that is wrong with each, none if it is valid.
+
+    existing: the relative paths of the files there are, such as those of a listing (`listed_files`).
+    """
+    v = F.col(entry)
+    of = lambda key: F.try_variant_get(v, f"$.{key}", "variant")
+    kind = lambda key: F.coalesce(F.regexp_extract(F.schema_of_variant(of(key)), r"^\w+", 0), F.lit("VOID"))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    missing = F.filter(F.array(*[F.when(of(k).isNull(), F.lit(k)) for k in MANIFEST_KEYS]), lambda k: k.isNotNull())
+    file = F.when(kind("html_file") == "STRING", F.trim(F.try_variant_get(v, "$.html_file", "string")))
+    known = existing.select(F.col(path).alias("_file")).distinct().withColumn("_there", F.lit(True))
+    typed = [F.when(~kind(k).isin("OBJECT", "ARRAY"), F.concat(F.lit(f"{k} must be a JSON object or array, got "), F.lower(kind(k)))) for k in ("config_json", "expected_json")]
+    no_file = (
+        F.when(F.coalesce("_file", F.lit("")) == "", "html_file must be a non-empty string")
+        .when(F.startswith("_file", F.lit("/")), "html_file must be a relative path")
+        .when(F.col("_there").isNull(), "html_file does not exist")
+    )
+    lacks = F.when(F.size(missing) > 0, F.concat(F.lit("missing required keys: "), F.array_join(missing, ", ")))
+    found = F.filter(F.array(lacks, no_file, *typed), lambda e: e.isNotNull())
+    judged = entries.withColumn("_file", file).join(known, "_file", "left")
+    return judged.withColumn("errors", F.when(is_object, found).otherwise(F.array(F.lit("manifest entry must be a JSON object")))).drop("_file", "_there")
+
+
+def listed_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """path: the files below a folder that fit a pattern, relative to it; their content is not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path")
+    bare = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
+    local = F.regexp_replace("path", "^[a-z]+:/*", "/")
+    return found.select(F.substring(local, F.length(bare) + 2, F.length(local)).alias("path"))
+
+
 def read_csv(spark: SparkSession, path: str, headers: tuple[str, ...]) -> DataFrame:
     """A CSV file with a header row, all columns as text."""
     return spark.read.csv(path, header=True, schema=", ".join(f"`{h}` string" for h in headers), enforceSchema=False, multiLine=True)
@@ -155,6 +213,38 @@ def read_through(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.join(held, "cache_key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def with_source(reports: DataFrame, pages: DataFrame, *keys: str) -> DataFrame:
+    """Reports that end with the page's raw HTML (pages: keys, html); a page without HTML has an empty one."""
+    whole = F.concat("report", F.lit("\nhtml=\n"), F.coalesce("html", F.lit("")))
+    return reports.join(pages.select(*keys, "html"), [*keys], "left").withColumn("report", whole).drop("html")
+
+
+def write_texts(texts: DataFrame, folder: str, key: str, text: str) -> None:
+    """Each text as a file of its own below folder/key=..., written by the tasks; keys have to be distinct, null texts are empty."""
+    rows = texts.select(F.coalesce(text, F.lit("")).alias("value"), key)
+    # a task has the rows of a key together, so a key is one file
+    rows.repartition(key).write.partitionBy(key).option("lineSep", "\x00").mode("overwrite").text(folder)
+
+
+def read_texts(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """(key, text) of a folder that write_texts has written."""
+    return spark.read.text(folder, wholetext=True).select(key, F.rtrim("value", F.lit("\x00")).alias("text"))
+
+
+def write_snapshot(pages: DataFrame, folder: str) -> DataFrame:
+    """The HTML of pages (page_id, url, html) as files below folder/html, and folder/index: page_id, url, ord, file, sha256, n_chars; returns the index.
+
+    Members are the distinct normalized links, each by the page that has it first.
+    """
+    firsts = first_seen(pages, "url", "page_id")
+    members = firsts.join(pages.select(F.col("page_id").alias("ord"), "html").dropDuplicates(["ord"]), "ord").withColumn("page_id", F.col("ord"))
+    write_texts(members, f"{folder}/html", "page_id", "html")
+    html = F.coalesce("html", F.lit(""))
+    index = members.select("page_id", "url", "ord", "file", F.sha2(html, 256).alias("sha256"), F.length(html).alias("n_chars"))
+    index.write.mode("overwrite").parquet(f"{folder}/index")
+    return pages.sparkSession.read.parquet(f"{folder}/index")
+
+
 def debug_report(rows: DataFrame, config: dict[str, object], *keys: str) -> DataFrame:
     """`report`: for each page the config, the number of rows and the rows (row_index, col_index, text) as lines of text."""
     lines = rows.groupBy(*keys, "row_index").agg(F.sort_array(F.collect_list(F.struct("col_index", "text"))).alias("cells"))

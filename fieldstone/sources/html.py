@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.pandas.functions import arrow_udf
 
 LINK = "struct<href:string,text:string>"
@@ -122,9 +123,11 @@ def _cell(node: Node) -> dict:
     }
 
 
-def _tables(html: str, max_rows: int | None) -> list[dict]:
+def _tables(html: str, max_rows: int | None, only: int | None = None) -> list[dict]:
     out = []
     for k, table in enumerate(parse(html).all("table"), 1):
+        if only is not None and k != only:
+            continue
         rows = []
         for i, tr in enumerate(table.all("tr")):
             if max_rows is not None and i > max_rows:
@@ -152,14 +155,68 @@ def _page(html: str) -> dict:
     return out
 
 
-def html_tables(html: Column, max_rows: int | None = None) -> Column:
-    """All tables of a page in document order, nested ones included; max_rows data rows of each at most."""
+def html_tables(html: Column, max_rows: int | None = None, only: Column | None = None) -> Column:
+    """All tables of a page in document order, nested ones included; max_rows data rows of each at most.
+
+    only: the number of the one table whose rows are built; null for all.
+    """
 
     @arrow_udf(TABLES)
-    def run(pages: pa.Array) -> pa.Array:
-        return pa.array([None if h is None else _tables(h, max_rows) for h in pages.to_pylist()], _ARROW_TABLES)
+    def run(pages: pa.Array, wanted: pa.Array) -> pa.Array:
+        return pa.array([None if h is None else _tables(h, max_rows, k) for h, k in zip(pages.to_pylist(), wanted.to_pylist(), strict=True)], _ARROW_TABLES)
 
-    return run(html)
+    return run(html, F.lit(None).cast("int") if only is None else only.cast("int"))
+
+
+#: Cells of a row beyond which it is an error.
+MOST_CELLS = 10_000
+
+
+class _TableRows:
+    def eval(self, html: str | None, table_no: int | None, max_rows: int | None, max_cells: int):
+        if html is None:
+            return
+        for k, table in enumerate(parse(html).all("table"), 1):
+            if table_no is not None and k != table_no:
+                continue
+            for i, tr in enumerate(table.all("tr")):
+                if max_rows is not None and i > max_rows:
+                    break
+                try:
+                    found = list(tr.all("td", "th"))
+                    if len(found) > max_cells:
+                        raise ValueError(f"a row of {len(found)} cells")
+                    cells = [(c["text"], c["text_sp"], [(a["href"], a["text"]) for a in c["links"]], c["sort_values"], c["is_header"]) for c in map(_cell, found)]
+                    yield k, i, cells, None
+                except (IndexError, AttributeError, TypeError, ValueError) as e:
+                    yield k, i, None, f"{type(e).__name__}: {e}"
+
+
+class _PageLinks:
+    def eval(self, html: str | None):
+        if html is not None:
+            for i, a in enumerate(_links(parse(html))):
+                yield i, a["href"], a["text"]
+
+
+_table_rows = udtf(_TableRows, returnType=f"table_no int, row_index int, cells array<{CELL}>, error string")
+_page_links = udtf(_PageLinks, returnType="pos int, href string, text string")
+
+
+def lateral_rows(pages: DataFrame, *carried: str, table_no: Column | None = None, max_rows: int | None = None, max_cells: int = MOST_CELLS) -> DataFrame:
+    """The carried columns, table_no, row_index, cells, error: a row for each table row, made by a table function.
+
+    A row that fails has null cells and what was wrong with it, and the rest of its table goes on.  With table_no, which may differ from page to
+    page, the rows of other tables are never built; with max_rows, those after so many data rows.
+    """
+    wanted = pages.select(*carried, "html", (F.lit(None) if table_no is None else table_no).cast("int").alias("_wanted"))
+    made = wanted.lateralJoin(_table_rows(F.col("html").outer(), F.col("_wanted").outer(), F.lit(max_rows).cast("int"), F.lit(max_cells)))
+    return made.select(*carried, "table_no", "row_index", "cells", "error")
+
+
+def page_links(pages: DataFrame, *carried: str) -> DataFrame:
+    """The carried columns, pos, href, text: the links of each page in the order of the document."""
+    return pages.select(*carried, "html").lateralJoin(_page_links(F.col("html").outer())).select(*carried, "pos", "href", "text")
 
 
 def html_page(html: Column) -> Column:
@@ -172,9 +229,9 @@ def html_page(html: Column) -> Column:
     return run(html)
 
 
-def table_rows(pages: DataFrame, *carried: str, max_rows: int | None = None) -> DataFrame:
-    """The carried columns, table_no, row_index (0: the header) and cells: a row for each table row."""
-    tables = pages.select(*carried, F.explode(html_tables(F.col("html"), max_rows)).alias("t"))
+def table_rows(pages: DataFrame, *carried: str, max_rows: int | None = None, only: Column | None = None) -> DataFrame:
+    """The carried columns, table_no, row_index (0: the header) and cells: a row for each table row, of all tables or one of each page."""
+    tables = pages.select(*carried, F.explode(html_tables(F.col("html"), max_rows, only)).alias("t"))
     rows = tables.select(*carried, F.col("t.table_no").alias("table_no"), F.explode("t.rows").alias("r"))
     return rows.select(*carried, "table_no", F.col("r.row_index").alias("row_index"), F.col("r.cells").alias("cells"))
 

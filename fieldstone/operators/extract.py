@@ -292,7 +292,8 @@ def extract(
             pairs = F.filter(F.array(*(F.struct(single(k).alias("start"), single(k + 1).alias("end")) for k in (0, 1))), lambda r: F.coalesce(apart(r), F.lit(False)))
 
             def best(valid: Column) -> Column:
-                found = F.coalesce(F.get(F.filter(valid, lambda r: r["start"] != r["end"]), 0), F.get(pairs, 0), F.get(valid, 0))
+                neither = F.struct(single(0).alias("start"), single(1).alias("end"))
+                found = F.coalesce(F.get(F.filter(valid, lambda r: r["start"] != r["end"]), 0), F.get(pairs, 0), F.get(valid, 0), neither)
                 return once(found, lambda r: F.struct(r["start"].alias("term_start"), r["end"].alias("term_end"), no("int").alias("term_start_year"), no("int").alias("term_end_year")))
 
             return once(valid, best)

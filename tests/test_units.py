@@ -54,7 +54,7 @@ def test_rowspan_goes_on_the_last_row_that_gave_a_term(spark, as_rows):
         (wiki + "Ann", "9th", "1995-05-01", "1996-05-01", True),
         (wiki + "Ann", "9th", "1997-05-01", "1998-05-01", True),
         (wiki + "Bob", "No district", "1999-05-01", "present", False),
-        (wiki + "Bob", "No district", None, None, True),
+        (wiki + "Bob", "No district", "Invalid date", "Invalid date", True),
     ]
 
 

@@ -16,7 +16,7 @@ Scoring runs in Arrow tasks over whole texts; a task holds one block of texts at
 
 Defined results: a null or empty text has no lines and gets the score of the curve at no
 good share; a null doc_id is scored, is not held out, and is not learned from; repeated
-rows are scored each on its own; an empty table gives an empty table; without labels
+rows are learned from once and scored each on its own; an empty table gives an empty table; without labels
 of both kinds every score is 0.5; only doc_id and text are read.
 """
 
@@ -231,12 +231,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     # both kinds by the same share, so that scores keep the frequency of labels
     share = min(1.0, sample / sum(counts.values()))
     picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    # the labels picked are bounded, so they may be broadcast; rows may repeat a doc_id and texts may be long, so both are bounded again
-    chosen = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    # the labels picked are bounded, so they may be broadcast; a doc_id may have any number of texts and these may be long, so both are bounded again
+    chosen = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").distinct()
     n, size = chosen.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     share = min(1.0, sample * 2 / max(n, 1), SAMPLE_BYTES / max(size, 1))
     if share < 1:
-        chosen = chosen.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000))
+        chosen = chosen.filter(F.pmod(F.xxhash64("doc_id", "quality", "text", F.lit(8)), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = chosen.select("doc_id", "quality", "text").orderBy("doc_id", "quality", "text").toArrow()
     quality = rows.column("quality").to_numpy().astype(np.int64)
     if len(set(quality.tolist())) < 2:

@@ -5,11 +5,11 @@ aggregation), grows conjunctions of thresholds by FOIL gain on two thirds of
 the sample, prunes them on the rest, and keeps those that are precise there.
 The result is an ordered list, emitted as one Spark conditional expression.
 
-The labels used are a bounded sample (`SAMPLE`, chosen by a hash of doc_id), so
-the sample may be broadcast; its cells are at most as many as its rows.
+The labels used are a bounded sample (`SAMPLE`, chosen by a hash of doc_id and label), so
+the sample may be broadcast; the different texts that they label are bounded again, and cells are at most as many as these rows.
 
 Defined results: a null text has no words and fails the base rule; a null
-doc_id or label is not learned from; repeated rows are judged each on its own;
+doc_id or label is not learned from; repeated rows (of documents or labels) are learned from once and judged each on its own;
 an empty table gives an empty table, and without labels the learned list is
 empty.  Other columns pass through `keep` untouched whatever their names.
 """
@@ -115,10 +115,14 @@ Rule = tuple[Condition, ...]
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Conjunctions that hold for documents labelled quality 0, in the order in which they were found."""
-    known = labels.select("doc_id", "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL")
+    known = labels.select("doc_id", "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL").distinct()
     share = min(1.0, 0.95 * sample / max(1, known.count()))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    labelled = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    picked = known.filter(F.pmod(F.xxhash64("doc_id", "quality"), F.lit(1_000_000)) < int(share * 1_000_000))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").distinct()
+    # a doc_id may have any number of texts, so the rows are bounded, too
+    n = labelled.count()
+    if n > sample:
+        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id", "quality", "text", F.lit(2)), F.lit(1_000_000)) < int(sample / n * 1_000_000))
     # each row is used several times below; the table is bounded by the sample
     held = measure(labelled, "doc_id", "quality").select("doc_id", "quality", *MEASURES).persist()
     try:

@@ -14,7 +14,8 @@ as many tasks as needed; a task reads its rows as a stream.  Runs that cross
 the border of two partitions are settled by the least doc_id of each such
 hash, of which there are two a partition at most.  Exact copies of a text
 are settled first: all windows of a later copy repeat; a group of copies that
-holds many of all rows is dealt over several tasks.
+holds many of all rows is dealt over several tasks.  What belongs to a document is
+gathered by its doc_id and a part, a small hash of its text, so a doc_id on very many rows is no single group.
 
 Defined results: null and empty texts have no words; a text under 13 words has no
 windows and keeps all words; a document with a null doc_id neither removes nor loses
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Tables
@@ -40,6 +41,9 @@ WINDOW, SEED = 13, 5
 _PAIRS = ["hash", "check", "doc_id"]
 _CHECK = 0x2545F4914F6CDD1D
 _SEEDS = ["hash", "doc_id"]
+#: The texts of a doc_id, and the rows that come of them, are in one of so many parts.
+_PARTS = 1 << 15
+_KEY = ["doc_id", "part"]
 
 
 def _windows(block: Block, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +71,8 @@ def _one(hashes: np.ndarray) -> np.ndarray:
     return mix(hashes[:, 0].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) ^ hashes[:, 1].view(np.uint64))
 
 
-def _rows(hashes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(hashes[:, k])) for k in (0, 1)), pa.array(ids)], names=_PAIRS)
+def _rows(hashes: np.ndarray, ids: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(hashes[:, k])) for k in (0, 1)), pa.array(ids), pa.array(parts)], names=[*_PAIRS, "part"])
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -80,31 +84,31 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _distinct(hashes: np.ndarray, texts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+def _distinct(hashes: np.ndarray, texts: np.ndarray, ids: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
     """Each pair of hashes of a text once."""
     order = np.lexsort((hashes[:, 1], hashes[:, 0], texts))
     h, t = hashes[order], texts[order]
     new = _changes(h[:, 0], h[:, 1], t)
-    return _rows(h[new], ids[t[new]])
+    return _rows(h[new], ids[t[new]], parts[t[new]])
 
 
-def _seeds(anchors: np.ndarray, texts: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+def _seeds(anchors: np.ndarray, texts: np.ndarray, ids: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
     """Each anchor of a text once; a seed needs no second hash."""
     order = np.lexsort((anchors, texts))
     h, t = anchors[order], texts[order]
     new = _changes(h, t)
-    return pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids[t[new]])], names=_SEEDS)
+    return pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids[t[new]]), pa.array(parts[t[new]])], names=[*_SEEDS, "part"])
 
 
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, parts = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for a, e, data, offsets in blocks(batch, "text"):
                 block = Block(data, offsets, BLANK_WORDS)
                 at, anchors = _windows(block, length)
                 new = _changes(anchors)
-                yield _seeds(anchors[new], block.texts()[at[new]], ids[a:e])
+                yield _seeds(anchors[new], block.texts()[at[new]], ids[a:e], parts[a:e])
 
     return run
 
@@ -114,8 +118,8 @@ def _seeded(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            seeds = batch.column(2)
+            ids, parts = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            seeds = batch.column(3)
             for a, e, data, offsets in blocks(batch, "text"):
                 block = Block(data, offsets, BLANK_WORDS)
                 at, anchors = _windows(block, length)
@@ -124,7 +128,7 @@ def _seeded(length: int):
                 for i in range(e - a):
                     lo, hi = bounds[i], bounds[i + 1]
                     keep[lo:hi] = np.isin(anchors[lo:hi].view(np.int64), seeds[a + i].values.to_numpy(), kind="sort")
-                yield _distinct(_whole(block, length, at[keep]), block.texts()[at[keep]], ids[a:e])
+                yield _distinct(_whole(block, length, at[keep]), block.texts()[at[keep]], ids[a:e], parts[a:e])
 
     return run
 
@@ -136,24 +140,24 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     last: tuple | None = None
     known = held = False
-    rows = lambda h, d: pa.RecordBatch.from_arrays([pa.array(h), pa.array(d)], names=_SEEDS)
+    rows = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*_SEEDS, "part"])
     for batch in batches:
-        h, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        h, d, p = (batch.column(k).to_numpy() for k in range(3))
         if not len(h):
             continue
         if held:
-            h, d = np.append(last[0], h), np.append(last[1], d)
+            h, d, p = (np.append(x, y) for x, y in zip(last, (h, d, p), strict=True))
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         end = np.append(start[1:], len(h))
         shared = d[start] != d[end - 1]
-        if last is None or (known and h[0] == last[0]):
+        if last is None or (known and h[0] == last[0][0]):
             shared[0] = True
-        known, last = bool(shared[-1]), (h[-1], d[-1])
+        known, last = bool(shared[-1]), (h[-1:], d[-1:], p[-1:])
         held = not known
         keep = np.repeat(shared, end - start)
-        yield rows(h[keep], d[keep])
+        yield rows(h[keep], d[keep], p[keep])
     if held:
-        yield rows(np.array([last[0]]), np.array([last[1]]))
+        yield rows(*last)
 
 
 #: What `_repeats` says of a row: it repeats; it may (its hash may have begun in a partition before); the least of a hash that may go on.
@@ -164,11 +168,11 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (hash, check, doc_id), with what each says."""
     first = current = least = None
 
-    def rows(h, c, d, say):
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(d), pa.array(np.full(len(h), say, np.int32))], names=[*_PAIRS, "says"])
+    def rows(h, c, d, p, say):
+        return pa.RecordBatch.from_arrays([*map(pa.array, (h, c, d, p)), pa.array(np.full(len(h), say, np.int32))], names=[*_PAIRS, "part", "says"])
 
     for batch in batches:
-        h, c, d = (batch.column(k).to_numpy() for k in range(3))
+        h, c, d, p = (batch.column(k).to_numpy() for k in range(4))
         if not len(h):
             continue
         first = (h[0], c[0]) if first is None else first
@@ -180,11 +184,11 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun = np.repeat(low, np.diff(np.append(start, len(h))))
         open_ = (h == first[0]) & (c == first[1])
         sure = (d > begun) & ~open_
-        yield rows(h[sure], c[sure], d[sure], _SURE)
+        yield rows(h[sure], c[sure], d[sure], p[sure], _SURE)
         if open_.any():
-            yield rows(h[open_], c[open_], d[open_], _OPEN)
+            yield rows(h[open_], c[open_], d[open_], p[open_], _OPEN)
     if current is not None:
-        yield rows(np.array([current[0]]), np.array([current[1]]), np.array([least]), _LEAST)
+        yield rows(np.array([current[0]]), np.array([current[1]]), np.array([least]), np.zeros(1, np.int16), _LEAST)
 
 
 def _kept(length: int):
@@ -247,8 +251,12 @@ HOT = 2048
 _TEXT = ["k1", "k2", "k3"]
 
 
+def _part(text_hash: Column) -> Column:
+    return F.pmod(text_hash, F.lit(_PARTS)).cast("short").alias("part")
+
+
 def _copies(named: DataFrame) -> DataFrame:
-    """doc_id and `copied`, the hashes of those of its texts that a smaller doc_id has too."""
+    """doc_id, part and `copied`, the hashes of those of its texts in that part that a smaller doc_id has too."""
     keys = named.select("doc_id", F.xxhash64("text").alias("k1"), F.crc32(F.encode("text", "UTF-8")).alias("k2"), F.octet_length("text").alias("k3"))
     most = max(named.count() // HOT, 1)
     groups = keys.groupBy(*_TEXT).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("first < last")
@@ -256,7 +264,7 @@ def _copies(named: DataFrame) -> DataFrame:
     # as many rows as there are groups of over a HOT-th of all rows
     hot = F.broadcast(groups.filter(F.col("n") > most).select(*_TEXT, ((F.col("n") / most).cast("int") + 1).alias("n_cells")))
     placed = keys.join(hot, _TEXT, "left").withColumn("cell", F.coalesce(F.pmod(F.xxhash64("doc_id"), "n_cells").cast("int"), F.lit(0)))
-    return placed.join(cells, [*_TEXT, "cell"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("k1").alias("copied"))
+    return placed.join(cells, [*_TEXT, "cell"]).filter("doc_id > first").groupBy("doc_id", _part(F.col("k1"))).agg(F.collect_set("k1").alias("copied"))
 
 
 def dedup(docs: DataFrame, length: int = WINDOW) -> DataFrame:
@@ -266,23 +274,25 @@ def dedup(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """
     tables = Tables(docs.sparkSession, "substring")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    texts = texts.select("doc_id", "text", _part(F.xxhash64("text")))
     named = texts.filter("doc_id IS NOT NULL")
     copies = tables.write("copies", _copies(named))
     is_copy = F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False))
 
-    pairs, wide = "hash long, doc_id long", "hash long, check long, doc_id long"
+    pairs, wide = "hash long, doc_id long, part short", "hash long, check long, doc_id long, part short"
     # copies can't seed: what they share with later documents their first one shares too
-    firsts = named.join(copies, "doc_id", "left").filter(~is_copy).select("doc_id", "text")
+    firsts = named.join(copies, _KEY, "left").filter(~is_copy).select("doc_id", "text", "part")
     seeds = _sorted(firsts.mapInArrow(_anchors(length), pairs), _SEEDS).mapInArrow(_shared, pairs)
-    seeds = seeds.groupBy("doc_id").agg(F.collect_list("hash").alias("seeds"))
-    windows = named.join(seeds, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_seeded(length), wide)
+    # sets, as rows may be repeated
+    seeds = seeds.groupBy(*_KEY).agg(F.collect_set("hash").alias("seeds"))
+    windows = named.join(seeds, _KEY).select("doc_id", "text", "part", "seeds").mapInArrow(_seeded(length), wide)
     said = tables.write("said", _sorted(windows, _PAIRS).mapInArrow(_repeats, wide + ", says int"))
     border = said.filter(F.col("says") != _SURE).groupBy("hash", "check").agg(F.min("doc_id").alias("least"))
     # two hashes for each partition at most
     settled = said.filter(F.col("says") == _OPEN).join(F.broadcast(border), ["hash", "check"]).filter("doc_id > least")
-    repeats = said.filter(F.col("says") == _SURE).select(*_PAIRS).unionByName(settled.select(*_PAIRS))
-    repeats = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "check")).alias("hits"))
-    ready = texts.join(repeats, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "text", "hits", is_copy.alias("copy"))
+    repeats = said.filter(F.col("says") == _SURE).select(*_PAIRS, "part").unionByName(settled.select(*_PAIRS, "part"))
+    repeats = repeats.groupBy(*_KEY).agg(F.collect_set(F.struct("hash", "check")).alias("hits"))
+    ready = texts.join(repeats, _KEY, "left").join(copies, _KEY, "left").select("doc_id", "text", "hits", is_copy.alias("copy"))
     return ready.mapInArrow(_kept(length), "doc_id long, n_words long, n_removed long, spans array<struct<start:bigint,end:bigint>>, text string")
 
 

@@ -2,7 +2,8 @@
 
 A written table cuts the lineage and is computed once; a lost executor costs no
 more than its running tasks.  Tables that are no longer read are removed, so
-the disk holds what the running step needs.
+the disk holds what the running step needs; what a result still reads, and what a
+failure leaves, goes when the application ends.
 """
 
 from __future__ import annotations
@@ -31,6 +32,15 @@ class Tables:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
+        path, fs = self._path("")
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _path(self, name: str):
+        """A path below the folder and its file system."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(context._jsc.hadoopConfiguration())
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """df as a table that has been written."""
@@ -40,10 +50,9 @@ class Tables:
 
     def drop(self, *names: str) -> None:
         """Remove tables that nothing reads any more."""
-        context = self.spark.sparkContext
         for name in names:
-            path = context._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = self._path(name)
+            fs.delete(path, True)
             self.names.discard(name)
 
     def drop_others(self, *names: str) -> None:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import extract as ex
 from ..operators import infobox
-from ..sources import files, html
+from ..session import run_folder
+from ..sources import files, html, snapshots
 from .registry import query
 
 def _day():
@@ -375,6 +376,29 @@ def lateral_rows(t):
     return rows.select("g", "row_index", F.when(F.col("cells").isNotNull(), F.size("cells")).alias("n_cells"), "error")
 
 
+@query(
+    "S4",
+    """WITH o AS (SELECT o_custkey AS g, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS i FROM orders)
+       SELECT g, CASE WHEN g % 3 = 0 THEN 'e1' ELSE 'e0' END AS etag, i AS row_index, o_orderkey || CASE WHEN g % 3 = 0 THEN ' new' ELSE '' END AS first_cell FROM o""",
+)
+def landed_rows(t):
+    """One table of each page's newest landed snapshot: a third of the pages have landed again, with other rows."""
+
+    def landing(orders, etag, at, suffix):
+        row = F.concat(F.lit("<tr>"), _td(F.concat(F.col("o_orderkey").cast("string"), F.lit(suffix))), F.lit("</tr>"))
+        pages = _html(orders.withColumn("g", F.col("o_custkey")), "g", header="<th>a", row=row, order="o_orderkey")
+        return pages.select(F.col("g").alias("page_id"), "html", F.lit(etag).alias("etag"), F.lit(at).cast("timestamp").alias("fetched_at"))
+
+    orders = t("orders")
+    spark = orders.sparkSession
+    folder = run_folder(spark, "snapshots")
+    snapshots.land(landing(orders, "e0", "2024-01-01", ""), folder, 0)
+    snapshots.land(landing(orders.filter("o_custkey % 3 = 0"), "e1", "2024-01-02", " new"), folder, 1)
+    spark.dataSource.register(snapshots.PageSnapshots)
+    rows = spark.read.format("page_snapshots").load(folder).filter("table_no = 2 AND row_index > 0")
+    return rows.select(F.col("page_id").alias("g"), "etag", "row_index", F.get("cells", 0).alias("first_cell"))
+
+
 def _small_terms(t, *cells, header="<th>a<th>b<th>c"):
     o = t("orders").withColumn("g", F.col("o_custkey"))
     row = F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))

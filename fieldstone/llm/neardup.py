@@ -16,8 +16,11 @@ Links serve to find components, so no step writes a row for each pair:
    joined to components.
 4. In bands that still hold members of several components, the members outside
    the band's largest component are tested against all others on full sets, inside the task,
-   which writes only links that join two components.  A round takes one block of such
-   members of each band, so a round's rows grow with the members, whatever their number.
+   which writes only links that join two components.  A round takes as many blocks of such
+   members as have no more rows than the first block of all bands, so a round's rows grow with
+   the members, whatever their number; its links rename only the components that they join.
+5. Sets of more than 1 / HOT of all rows are fewer than HOT, so their members are named by a
+   broadcast; the others are joined by set.
 
 At the threshold of 0.8 a pair shares no band with probability
 (1 - 0.8**4)**32 < 1e-7, and is dropped by its estimate (6 deviations off)
@@ -47,6 +50,8 @@ HASHES, BANDS, BITS = 128, 32, 4
 LEAST_ESTIMATE = 0.58
 #: Members, and shingles, that a task compares with each other at a time.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1 << 20
+#: A set of more than one in HOT rows is a hot key.
+HOT = 1000
 
 _FACTORS = np.random.default_rng(20240229).integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _SIGNED = "doc_id long, key long, n_shingles long, d1 long, d2 long, packed binary, bands array<long>"
@@ -262,6 +267,20 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     return found
 
 
+def _extended(found: DataFrame, links: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """found after more links, as a table: steps run over the components that these join, not over all links so far."""
+    ends = links
+    for end in ("a", "b"):
+        of = found.select(F.col("id").alias(end), F.col("component").alias("of"))
+        ends = ends.join(of, end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+    moved = components(ends, tables, f"{name}_moved")
+    to = moved.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    renamed = found.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    out = tables.write(name, renamed.unionByName(moved))
+    tables.drop(f"{name}_moved")
+    return out
+
+
 def _n_blocks(members: str, shingles: str) -> Column:
     return F.greatest(F.ceil(F.col(members) / BLOCK_MEMBERS), F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.lit(1).cast("long"))
 
@@ -305,14 +324,37 @@ def _mixed(near: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _round(mixed: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """Units in which the members of left block k meet all others of their bands that they have not met in a round before."""
-    now = mixed.filter(F.col("lefts") > k).join(found.withColumnRenamed("id", "hid"), "hid", "left").withColumn("component", F.coalesce("component", "hid"))
-    mine = F.coalesce(F.col("left") == k, F.lit(False))
-    left = now.filter(mine).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)))
-    right = now.filter(F.col("left").isNull() | (F.col("left") >= k)).withColumn("block", F.col("right"))
-    both = left.withColumns({"side": F.lit(0), "twin": F.lit(False)}).unionByName(right.withColumns({"side": F.lit(1), "twin": mine}))
-    return both.select(F.col("band").alias("unit"), "block", "side", "hid", "component", "twin")
+def _ranges(rows: dict[int, float]) -> Iterator[tuple[int, int]]:
+    """The left blocks of each round; rows: the rows of a left block in all bands with that many of them."""
+
+    def cost(lo: int, hi: int) -> float:
+        return sum(r * max(0, min(hi, n) - lo) for n, r in rows.items())
+
+    lo, most = 0, max(rows, default=0)
+    while lo < most:
+        hi = lo + 1
+        while hi < most and cost(lo, hi + 1) <= cost(0, 1):
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
+def _block_rows(mixed: DataFrame) -> dict[int, float]:
+    """For each number of left blocks: the rows that one of them brings about in the bands with so many."""
+    lefts = F.sum(F.when(F.col("left").isNotNull(), F.col("rights")).otherwise(0)) / F.col("lefts")
+    return {r["lefts"]: r["n"] for r in mixed.groupBy("lefts").agg((lefts + F.count("*")).alias("n")).collect()}
+
+
+def _round(mixed: DataFrame, found: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Units in which the members of the left blocks from lo to hi meet all others of their bands that they have not met in a block before."""
+    now = mixed.filter(F.col("lefts") > lo).join(found.withColumnRenamed("id", "hid"), "hid", "left").withColumn("component", F.coalesce("component", "hid"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    left = now.filter((F.col("left") >= lo) & (F.col("left") < hi)).withColumns({"of": F.col("left"), "at": F.explode(upto(F.col("rights")))})
+    last = F.least(F.lit(hi).cast("long"), F.col("lefts"), F.coalesce(F.col("left") + 1, "lefts")) - 1
+    right = now.filter(F.col("left").isNull() | (F.col("left") >= lo)).withColumns({"of": F.explode(F.sequence(F.lit(lo).cast("long"), last)), "at": F.col("right")})
+    twin = F.coalesce(F.col("left") == F.col("of"), F.lit(False))
+    both = left.withColumns({"side": F.lit(0), "twin": F.lit(False)}).unionByName(right.withColumns({"side": F.lit(1), "twin": twin}))
+    return both.select(F.col("band").alias("unit"), (F.col("of") * F.col("rights") + F.col("at")).alias("block"), "side", "hid", "component", "twin")
 
 
 def _same_document(named: DataFrame, heads: DataFrame) -> DataFrame | None:
@@ -333,8 +375,8 @@ def groups(docs: DataFrame) -> DataFrame:
     signed = tables.write("signed", texts.mapInArrow(_signed, _SIGNED))
     named = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     # equal sets have equal signatures
-    equal = named.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.first("packed").alias("packed"), F.first("bands").alias("bands"))
-    heads = tables.write("heads", equal.select(F.monotonically_increasing_id().alias("hid"), "least.doc_id", "least.key", "n_shingles", "d1", "d2", "packed", "bands"))
+    equal = named.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.first("packed").alias("packed"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    heads = tables.write("heads", equal.select(F.monotonically_increasing_id().alias("hid"), "least.doc_id", "least.key", "n_shingles", "d1", "d2", "packed", "bands", "copies"))
     # a row for each member and band goes through the shuffles, so it holds no signature; those are joined to shared bands
     members = heads.select("hid", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / BLOCK_MEMBERS).alias("n_blocks"))
@@ -351,14 +393,22 @@ def groups(docs: DataFrame) -> DataFrame:
     found = components(links, tables, "found")
     mixed = tables.write("mixed", _mixed(near, found))
     tables.drop("near")
-    for k in range(mixed.agg(F.max("lefts")).first()[0] or 0):
-        links = links.unionByName(tables.write(f"links{k}", _tested(_round(mixed, found, k), held)))
-        found = components(links, tables, f"found{k}")
+    for lo, hi in _ranges(_block_rows(mixed)):
+        links = tables.write(f"links{lo}", _tested(_round(mixed, found, lo, hi), held))
+        if not links.isEmpty():
+            found = _extended(found, links, tables, f"found{lo}")
+        tables.drop(f"links{lo}")
     tables.drop("held", "mixed")
 
-    placed = heads.select("hid", "doc_id", "n_shingles", "d1", "d2").join(found.withColumnRenamed("id", "hid"), "hid", "left").withColumn("component", F.coalesce("component", "hid"))
+    placed = heads.select("hid", "doc_id", "n_shingles", "d1", "d2", "copies").join(found.withColumnRenamed("id", "hid"), "hid", "left").withColumn("component", F.coalesce("component", "hid"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("least"))
-    of = signed.select("doc_id", "n_shingles", "d1", "d2").join(placed.join(least, "component").select("n_shingles", "d1", "d2", "least"), ["n_shingles", "d1", "d2"], "left")
+    one = ["n_shingles", "d1", "d2"]
+    named_sets = tables.write("sets", placed.join(least, "component").select(*one, "least", (F.col("copies") * HOT > named.count()).alias("hot")))
+    # fewer than HOT sets are hot, so these may be broadcast; texts without words or doc_id are joined with nothing
+    rows = signed.select("doc_id", *one)
+    of = rows.join(F.broadcast(named_sets.filter("hot").drop("hot")), one, "left")
+    open_ = F.col("least").isNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    of = of.filter(~open_).unionByName(of.filter(open_).drop("least").join(named_sets.filter("NOT hot").drop("hot"), one, "left"))
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     judged = tables.write("groups", of.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")))

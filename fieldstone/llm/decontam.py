@@ -8,9 +8,11 @@ Windows are searched backward through the ranks of a wavelet matrix over the
 Burrows-Wheeler transform, all at once; occurrences are located by walking to
 sampled suffix positions, and overlapping spans are merged.
 
-Benchmark items are held in blocks of at most `BLOCK_TEXT` bytes of text (in expectation).
-Each block is broadcast for one pass over the rows, which merges its spans with those of
-the passes before; what a pass finds is written, and its block is released before the next.
+Long items are cut into pieces that share the words of a window but one, equal pieces
+count once, and pieces are held in blocks of at most `BLOCK_TEXT` bytes (in
+expectation).  Each block is broadcast for one pass over the texts.  All passes but the
+last write only the spans and items of texts that are hit, by the texts' SHA-256; the last
+one returns all rows and is joined with these.
 
 Defined results: a null or empty text has no words and is never contaminated;
 an item without words has no windows; a null item_id hits words but is not
@@ -21,6 +23,7 @@ own; empty tables give no hits.  Only doc_id, text, item_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,9 @@ from .words import ALNUM_WORDS, Block, blocks, same_spans, span_hashes
 WINDOW = 13
 #: Bytes of benchmark text whose windows a task holds at a time.
 BLOCK_TEXT = 8 << 20
-_SAMPLE = 8
+#: Windows that begin in one piece of an item.
+PIECE_WORDS = 1 << 15
+_SAMPLE, _SALTS = 8, 16
 
 
 class FMIndex:
@@ -227,10 +232,10 @@ class Windows:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _union(spans: list[dict], more: list[dict]) -> list[dict]:
-    """Spans of both lists, sorted, with those that overlap or touch joined."""
+def _union(spans: list[dict]) -> list[dict]:
+    """The spans, sorted, with those that overlap or touch joined."""
     out: list[dict] = []
-    for s in sorted([*spans, *more], key=lambda x: x["start"]):
+    for s in sorted(spans, key=lambda x: x["start"]):
         if out and s["start"] <= out[-1]["end"]:
             out[-1] = {"start": out[-1]["start"], "end": max(out[-1]["end"], s["end"])}
         else:
@@ -238,13 +243,14 @@ def _union(spans: list[dict], more: list[dict]) -> list[dict]:
     return out
 
 
-def _search(sent: Broadcast, n_carried: int):
-    """Over batches of carried columns and text, and in a later pass what the passes before have found."""
+def _search(sent: Broadcast):
+    """Over batches of carried columns and, last, the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows: Windows = sent.value
         for batch in batches:
-            for a, e, data, offsets in blocks(batch, "text"):
+            n_carried = batch.num_columns - 1
+            for a, e, data, offsets in blocks(batch, batch.schema.names[n_carried]):
                 block = Block(data, offsets, ALNUM_WORDS, lower=True)
                 starts, ends, items = windows.hits(block)
                 texts = block.texts()[starts] if len(starts) else starts
@@ -254,44 +260,82 @@ def _search(sent: Broadcast, n_carried: int):
                     pa.array(bounds), pa.StructArray.from_arrays([pa.array(starts - base), pa.array(ends - base)], ["start", "end"])
                 )
                 names = [sorted({windows.names[i] for i in s} - {None}) for s in items]
-                if batch.num_columns > n_carried + 1:
-                    before, named = (batch.column(n_carried + k).slice(a, e - a).to_pylist() for k in (2, 3))
-                    spans = pa.array([_union(x, y) for x, y in zip(before, spans.to_pylist(), strict=True)], _SPANS)
-                    names = [sorted({*x, *y}) for x, y in zip(named, names, strict=True)]
-                kept = [batch.column(i).slice(a, e - a) for i in range(n_carried + 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(np.diff(block.first)), spans.cast(_SPANS), pa.array(names, pa.list_(pa.string()))],
-                    names=[*batch.schema.names[: n_carried + 1], "n_words", "spans", "items"],
+                    [*(batch.column(i).slice(a, e - a) for i in range(n_carried)), pa.array(np.diff(block.first)), spans.cast(_SPANS), pa.array(names, pa.list_(pa.string()))],
+                    names=[*batch.schema.names[:n_carried], "n_words", "spans", "items"],
                 )
 
     return run
 
 
-def _item_blocks(benchmark: DataFrame) -> list[DataFrame]:
-    """The items in blocks of at most BLOCK_TEXT bytes in expectation."""
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over carried columns, n_words, spans, items, and the spans and items of other passes (or null)."""
+    for batch in batches:
+        n = batch.num_columns - 4
+        spans, items, more_spans, more_items = (batch.column(n + k).to_pylist() for k in range(4))
+        spans = [_union([*x, *y]) if y else x for x, y in zip(spans, more_spans, strict=True)]
+        items = [sorted({*x, *(y or ())}) for x, y in zip(items, more_items, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:n], pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names[: n + 2]
+        )
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (item_id, text) by pieces; no piece of a longer item is shorter than a window."""
+    for batch in batches:
+        for a, e, data, offsets in blocks(batch, "text"):
+            block = Block(data, offsets, ALNUM_WORDS, lower=True)
+            rows, texts = [], []
+            for i, (lo, hi) in enumerate(zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True)):
+                for at in range(lo, max(hi - WINDOW + 1, min(lo + 1, hi)), PIECE_WORDS):
+                    stop = min(hi, at + PIECE_WORDS + WINDOW - 1)
+                    rows.append(a + i)
+                    texts.append(block.data[block.starts[at] : block.ends[stop - 1]].tobytes().decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(texts, pa.string())], names=["item_id", "text"])
+
+
+def _item_blocks(benchmark: DataFrame, tables: Tables) -> list[DataFrame]:
+    """The different pieces of the items in blocks of at most BLOCK_TEXT bytes in expectation."""
     items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    pieces = tables.write("pieces", items.mapInArrow(_cut, items.schema).distinct())
+    size = pieces.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // BLOCK_TEXT))
-    return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items for i in range(n)]
+    return [pieces.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else pieces for i in range(n)]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns, n_words, merged spans (start, end in words) and the sorted ids (text) of the items hit."""
     spark = docs.sparkSession
-    found = docs.select(*carried, F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
     span = T.StructType().add("start", "long").add("end", "long")
     more = T.StructType().add("n_words", "long").add("spans", T.ArrayType(span)).add("items", T.ArrayType(T.StringType()))
-    schema = T.StructType(found.schema.fields + more.fields)
-    tables, parts = Tables(spark, "decontam"), _item_blocks(benchmark)
-    for k, part in enumerate(parts, 1):
+
+    def searched(part: DataFrame, *columns: Column) -> tuple[DataFrame, Broadcast]:
         # one block at a time, of a bounded size
         sent = spark.sparkContext.broadcast(Windows([tuple(r) for r in part.collect()]))
-        found = found.mapInArrow(_search(sent, len(carried)), schema)
-        if k < len(parts):
-            found = tables.write(f"pass{k}", found)
-            tables.drop_others(f"pass{k}")
-            sent.destroy()
-    return found.drop("text")
+        rows = docs.select(*columns, text.alias("text"))
+        return rows.mapInArrow(_search(sent), T.StructType(rows.schema.fields[:-1] + more.fields)), sent
+
+    tables = Tables(spark, "decontam")
+    *first, last = _item_blocks(benchmark, tables)
+    own = [docs[c] for c in carried]
+    if not first:
+        found = searched(last, *own)[0]
+        tables.drop("pieces")
+        return found
+    key, hits = F.sha2(text, 256), []
+    for k, part in enumerate(first):
+        found, sent = searched(part, key.alias("key"))
+        found = found.filter("size(spans) > 0").groupBy("key").agg(F.first("spans").alias("more_spans"), F.first("items").alias("more_items"))
+        hits.append(tables.write(f"pass{k}", found))
+        sent.destroy()
+    # a text may be on a third of all rows: its hits are there once for each salt
+    whole = reduce(DataFrame.unionByName, hits).groupBy("key").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("more_spans", "more_items")))
+    salted = whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    found = searched(last, F.struct(*own).alias("own"), key.alias("key"), F.pmod(F.spark_partition_id(), F.lit(_SALTS)).alias("salt"))[0]
+    tables.drop("pieces")
+    both = found.join(salted, ["key", "salt"], "left").select("own.*", *more.names, "more_spans", "more_items")
+    return both.mapInArrow(_united, T.StructType(both.schema.fields[:-2]))
 
 
 def _hit(spans: str = "spans") -> Column:

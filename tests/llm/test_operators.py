@@ -177,21 +177,34 @@ def test_near_duplicates_random(spark):
     same(rows(neardup.groups(df), "doc_id", "n_shingles", "component_id", "kept"), brute.near_duplicates(plain))
 
 
-def test_near_duplicates_in_rounds(spark, monkeypatch):
-    """Blocks of a few members: hubs of several blocks, several rounds."""
+@pytest.mark.parametrize("hot", [0, 30, 10**6])
+def test_near_duplicates_in_rounds(spark, monkeypatch, hot):
+    """Blocks of a few members: hubs of several blocks, several rounds; no set is hot, the copies are, or all are."""
     monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 4)
+    monkeypatch.setattr(neardup, "HOT", hot)
     rng = random.Random(21)
     plain = []
     for rate in (0.02, 0.06, 0.05):
         words = prose(rng, 90)
         for _ in range(40):
             plain.append((len(plain) * 7 % 1009, " ".join(w if rng.random() > rate else "new" + str(rng.randrange(10**6)) for w in words)))
+    plain += [(2000 + i, plain[3][1]) for i in range(20)] + [(None, plain[3][1]), (3000, ""), (3001, None)]
     df = spark.createDataFrame(plain, "doc_id long, text string").repartition(3)
     want = brute.near_duplicates(plain)
     assert 6 < len({w[2] for w in want}) < 100
     same(rows(neardup.groups(df), "doc_id", "n_shingles", "component_id", "kept"), want)
 
 
+def test_near_duplicate_rounds():
+    """Rounds cover each block once, in order, and have no more rows than the first block of all bands, unless they are one block."""
+    for rows in ({}, {1: 500.0}, {1: 500.0, 2: 40.0, 9: 90.0}, {3000: 10.0}, {1: 5000.0, 40: 20.0}):
+        ranges = list(neardup._ranges(rows))
+        assert [k for lo, hi in ranges for k in range(lo, hi)] == list(range(max(rows, default=0)))
+        cost = [sum(r * max(0, min(hi, n) - lo) for n, r in rows.items()) for lo, hi in ranges]
+        assert all(c <= sum(rows.values()) for c in cost)
+    assert len(list(neardup._ranges({1: 5000.0, 40: 20.0}))) == 2
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Rows with the same doc_id and different texts: a document with the links of each."""
     rng = random.Random(22)
@@ -342,8 +355,15 @@ def test_decontamination_in_blocks(odd, spark, monkeypatch):
     df, plain = odd
     items = [(k, " ".join(plain[0][1].split()[k * 5 : k * 5 + 20])) for k in range(30)]
     bench = spark.createDataFrame(items, "item_id long, text string")
+    items += [(5, items[5][1]), (5, items[7][1]), (40, plain[0][1]), (41, "ONE two"), (None, items[9][1]), (42, ""), (43, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(decontam, "BLOCK_TEXT", 400)
-    same(rows(decontam.report(df, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), brute.decontaminate(plain, items))
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 3)
+    named, hits = (brute.decontaminate(plain, some) for some in ([x for x in items if x[0] is not None], items))
+    want = [(*w[:2], h[2], *w[3:5], h[5]) for w, h in zip(named, hits, strict=True)]
+    same(rows(decontam.report(df, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"), want)
+    kept = decontam.remove(df, bench)
+    assert kept.columns == df.columns and kept.count() == sum(not w[5] for w in want)
 
 
 def test_substring_dedup(docs):

@@ -395,7 +395,7 @@ def landed_rows(t):
     snapshots.land(landing(orders, "e0", "2024-01-01", ""), folder, 0)
     snapshots.land(landing(orders.filter("o_custkey % 3 = 0"), "e1", "2024-01-02", " new"), folder, 1)
     spark.dataSource.register(snapshots.PageSnapshots)
-    rows = spark.read.format("page_snapshots").load(folder).filter("table_no = 2 AND row_index > 0")
+    rows = spark.read.format("page_snapshots").option("table_no", 2).load(folder).filter("table_no = 2 AND row_index > 0")
     return rows.select(F.col("page_id").alias("g"), "etag", "row_index", F.get("cells", 0).alias("first_cell"))
 
 

@@ -1,8 +1,9 @@
 """Landed page snapshots as a Python data source: table rows of each page's newest snapshot, in batch and as a stream.
 
 Snapshots lie as Parquet files under `<folder>/batch=<n>/bucket=<k>`, a page always in the same bucket.  A bucket is a partition of
-the reader: its keys are read first, and then only the newest snapshot of each page is parsed.  A filter on table_no is
-pushed into the parser.  Nothing is fetched.  Folders are opened by Arrow, so they are on a file system that all machines share.
+the reader: its keys are read first, and then only the newest snapshot of each page is parsed.  The option table_no has the
+rows of one table built only; where Spark pushes filters into Python sources, the option pushdown does the same by a filter on
+table_no.  Nothing is fetched.  Folders are opened by Arrow, so they are on a file system that all machines share.
 """
 
 from __future__ import annotations
@@ -84,8 +85,18 @@ def _newest(folder: str, bucket: _Bucket, table_no: int | None) -> Iterator[tupl
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder, self.table_no = folder, None
+    def __init__(self, folder: str, table_no: int | None = None):
+        self.folder, self.table_no = folder, table_no
+
+    def partitions(self) -> list[_Bucket]:
+        return _buckets(self.folder) or [_Bucket([])]
+
+    def read(self, partition: _Bucket) -> Iterator[tuple]:
+        return _newest(self.folder, partition, self.table_no) if partition.paths else iter(())
+
+
+class _PushingReader(_Reader):
+    """Spark refuses a reader with pushFilters unless spark.sql.python.filterPushdown.enabled is set, so it is a class of its own."""
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -94,12 +105,6 @@ class _Reader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[_Bucket]:
-        return _buckets(self.folder) or [_Bucket([])]
-
-    def read(self, partition: _Bucket) -> Iterator[tuple]:
-        return _newest(self.folder, partition, self.table_no) if partition.paths else iter(())
-
 
 class _StreamReader(DataSourceStreamReader):
     """Batches by their numbers, which rise; each round gives the newest snapshots among the batches that have landed since."""
@@ -121,7 +126,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class PageSnapshots(DataSource):
-    """Format `page_snapshots`; `path` names the folder."""
+    """Format `page_snapshots`; `path` names the folder, `table_no` the only table wanted (batch reads), `pushdown` whether filters are pushed."""
 
     @classmethod
     def name(cls) -> str:
@@ -131,7 +136,9 @@ class PageSnapshots(DataSource):
         return ROWS
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"])
+        kind = _PushingReader if self.options.get("pushdown", "false").lower() == "true" else _Reader
+        only = self.options.get("table_no")
+        return kind(self.options["path"], None if only is None else int(only))
 
     def streamReader(self, schema) -> _StreamReader:
         return _StreamReader(self.options["path"])

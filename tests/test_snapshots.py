@@ -42,6 +42,19 @@ def test_batch_read(spark, landed):
     assert sorted(tuple(r) for r in second.collect()) == [r for r in want if r[2] == 2 and r[3] > 0]
 
 
+@pytest.mark.parametrize("enabled", ["false", "true"])
+def test_reads_whether_or_not_filters_are_pushed(spark, landed, enabled):
+    folder, frames = landed
+    want = [r for r in plain(frames[0].union(frames[1])) if r[2] == 2]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", enabled)
+    read = lambda **options: spark.read.format("page_snapshots").options(**options).load(folder)
+    assert sorted(tuple(r) for r in read().filter("table_no = 2").collect()) == want
+    assert sorted(tuple(r) for r in read(table_no=2).collect()) == want
+    if enabled == "true":
+        assert sorted(tuple(r) for r in read(pushdown=True).filter("table_no = 2").collect()) == want
+        assert read(pushdown=True, table_no=2).filter("table_no = 1").count() == 0
+
+
 def test_no_folder(spark, landed):
     assert spark.read.format("page_snapshots").load(landed[0] + "/none").count() == 0
 

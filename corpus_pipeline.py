@@ -43,10 +43,10 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the token ids of each text."""
+    """doc_id, lang, source, n_tokens, the token ids of each text and decoded_sha256, the digest of the bytes that the ids decode to."""
     carried = ("doc_id", "lang", "source")
-    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carried, decode=False)
-    return encoded.select(*carried, F.size("ids").cast("long").alias("n_tokens"), "ids")
+    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carried)
+    return encoded.select(*carried, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

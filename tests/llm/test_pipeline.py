@@ -1,5 +1,6 @@
 """The corpus pipeline against plain versions of its stages."""
 
+import hashlib
 from collections import Counter
 
 import public_tokenizers
@@ -65,3 +66,13 @@ def test_stages_on_empty_tables(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == 0
+
+
+def test_encoding_decodes_its_ids(spark, sf_dir, odd):
+    """The last stage is the whole method: the ids are decoded again, to the bytes of the text."""
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        pieces = {rank: piece for piece, rank in bpe.read_ranks(f.read()).items()}
+    want = Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _, _ in plain(odd))
+    rows = corpus_pipeline.encoding(spark, odd, sf_dir).collect()
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in rows) == want
+    assert all(r["decoded_sha256"] == hashlib.sha256(b"".join(pieces[i] for i in r["ids"])).hexdigest() for r in rows)

@@ -127,8 +127,8 @@ def holder_link(i: Column, excluded: Column, probe_before: Column) -> Column:
 def found_link_column(low: Column, high: Column) -> Column:
     """The first cell from low to high, else of the whole row, with a link to a page; -1 if there is none."""
     ok = F.transform("cells", lambda c, i: F.exists(c["links"], lambda a: link_target(a["href"]).isNotNull()))
-    near = F.transform(ok, lambda x, i: x & (i >= low) & (i <= high))
-    at = F.coalesce(F.nullif(F.array_position(near, True), F.lit(0)), F.array_position(ok, True))
+    near = lambda ok: F.transform(ok, lambda x, i: x & (i >= low) & (i <= high))
+    at = once(ok, lambda ok: F.coalesce(F.nullif(F.array_position(near(ok), True), F.lit(0)), F.array_position(ok, True)))
     return (at - 1).cast("int")
 
 
@@ -242,7 +242,8 @@ def extract(
     if _may(config.dynamic_parse):
         dynamic = _col(config.dynamic_parse)
         high = F.greatest("term_end_column", "link_column")
-        bound = bound.withColumn("found", F.when(dynamic, found_link_column(F.lit(0), high)))
+        # not deterministic, so that the filters below do not each compute it anew
+        bound = bound.withColumn("found", F.when(dynamic & (F.monotonically_increasing_id() >= 0), found_link_column(F.lit(0), high)))
         bound = bound.withColumn("is_bound", ~dynamic | (F.col("found") >= 0)).filter("few OR is_bound")
         moved = dynamic & F.col("is_bound")
         bound = bound.withColumn("move", F.when(moved & (F.col("link_column") >= 0), F.col("found") - F.col("link_column")).otherwise(0)).withColumns(

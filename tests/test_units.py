@@ -197,3 +197,14 @@ def test_shifted_tables(spark):
     )
     got = ordered.shifted_tables(scores, spark.createDataFrame([(k, 1) for k in range(1, 6)], "k int, t int"), "k", "t")
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 5, 3, 4), (3, 1, 10, 2, 0), (4, 1, 6, None, None), (5, 1, 6, 3, 6)]
+
+
+def test_the_column_of_a_link_is_computed_once_a_row(spark):
+    """The filters after the shift of columns had each computed it anew."""
+    rows = table(spark, ("note", link("Ann"), "May 1, 1990", "present"))
+    config = extract.Config(table_rows=4, link_column=0, term_start_column=1, term_end_column=2, dynamic_parse=True)
+    df = extract.extract(rows, config, "page")
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000000")
+    # three stand in the expression, as nullif writes its argument twice; there had been twelve
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("array_position") == 3
+    assert out(df, "wiki_link", "term_start", "term_end") == [("https://en.wikipedia.org/wiki/Ann", "1990-05-01", "present")]

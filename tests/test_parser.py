@@ -48,3 +48,35 @@ def test_plain_tags_do_not_go_through_the_standard_parser(monkeypatch):
     cell = lambda text, sp, links=(), marks=(), header=False: {"text": text, "text_sp": sp, "links": list(links), "sort_values": list(marks), "is_header": header}
     rows = [[cell("a", "a", header=True), cell("b", "b", header=True)], [cell("P&Q", "P&Q", [{"href": "/wiki/P_1", "text": "P&Q"}]), cell("May 1, 1990x", "May 1, 1990 x", marks=["2"])]]
     assert made.column().to_pylist() == [[{"table_no": 1, "rows": [{"row_index": i, "cells": r} for i, r in enumerate(rows)]}], None]
+
+
+FLAT = """<table> </table> <tr> </tr> <td> </td> <th> </th> <tbody> </tbody> <a\thref='/x'>y</a> <a\thref="">y</a> <a\thref=''\ttitle='q'>&amp;\tz</a> <a\tname=x>n</a> <span\tdata-sort-value='1'>s</span> <span\tdata-sort-value>s</span>
+<td\tdata-sort-value="7&amp;8"> <th\tdata-sort-value> text \t <br> <br\t/> <b>bold</b> <i>\tx\t</i> <b> </b> <tr\tclass=x> <td>a</td> <td>b <tr><td>1</td><td>2</td></tr> <tr><th>h<th>k</tr> <a\thref="u&amp;v"\thref='w'>t</a> <a\thref='/p'\t>q</a> <div> </div> <p> <tr/> <td/>""".split(" ")
+
+
+def cells_by_tree(page):
+    return [[[html._cell(c) for c in tr.all("td", "th")] for tr in table.all("tr")] for table in html.parse(page).all("table")]
+
+
+def cells_by_rows(page):
+    return [[[(text, sp, [*links], [*marks], head) for text, sp, links, marks, head in html._cells(tr)] for tr in table.all("tr")] for table in html._tables(page)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rows_read_whole_have_the_cells_of_the_tree(seed):
+    draw, whole = random.Random(seed), 0
+    for _ in range(2000):
+        page = "<table>" + "".join(draw.choice(FLAT if draw.random() < 0.97 else BITS).replace("\t", " ") for _ in range(draw.randint(0, 20)))
+        assert cells_by_rows(page) == cells_by_tree(page), page
+        whole += any(isinstance(tr, html._FlatRow) for table in html._tables(page) for tr in table.all("tr"))
+    assert whole > 100
+
+
+def test_plain_rows_are_not_read_tag_by_tag(monkeypatch):
+    """What made the html queries slow: a node, and a turn of the builder, for each tag of a plain row."""
+    opened, open_ = [], html._Builder._open
+    monkeypatch.setattr(html._Builder, "_open", lambda self, tag, attrs: (opened.append(tag), open_(self, tag, attrs))[1])
+    row = "<tr><td>4th<td><a href='/wiki/File:x'>pic</a><a href='/wiki/P'>P</a></td><td>May 1, 1990</td></tr>\n"
+    made = html._Tables()
+    made.add(f"<table><tr><th>a<th>b</tr>{row * 100}</table>", None)
+    assert opened == ["table"] and len(made.row_index) == 101 and len(made.href) == 200

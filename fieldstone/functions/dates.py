@@ -32,6 +32,7 @@ MONTH_DAY_WITHOUT_COMMA = rf"(\b(?:{MONTHS})\s+\d{{1,2}})\s+(\d{{4}}\b)"
 IN_OFFICE = r"(?i)^in office "
 
 _ISO = r"^\d{4}-\d{2}-\d{2}$"
+_BLANKS = " \t\n\x0b\f\r"
 _YEAR = r"\b((?:17|18|19|20)\d{2})\b"
 
 
@@ -58,12 +59,22 @@ def _built(day: Column, month: Column, year: Column) -> Column:
     # names of three letters and a bar each
     number = (F.call_function("instr", F.lit(SHORT_MONTHS.lower()), F.lower(F.substring(month, 1, 3))) + 3) / 4
     text = F.concat_ws("-", year, F.lpad(number.cast("int").cast("string"), 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(year.isNotNull(), F.date_format(text.try_cast("date"), "yyyy-MM-dd"))
+    return once(text, lambda t: F.when(t.try_cast("date").isNotNull(), t))
 
 
-def _found(text: Column, pattern: str, day: int, month: int, year: int) -> Column:
-    part = lambda k: _nonempty(F.regexp_extract(text, pattern, k))
-    return _built(part(day), part(month), part(year))
+def _found(text: Column, pattern: str, day_first: bool = False) -> Column:
+    """The date of the first match, which is read once and cut by place: it ends with the year."""
+    bare = lambda c: F.btrim(c, F.lit(_BLANKS))
+
+    def cut(met: Column) -> Column:
+        if day_first:
+            day = bare(F.substring(met, 1, 2))
+            month = bare(F.substring(met, F.length(day) + 1, F.length(met)))
+        else:
+            day, month = bare(F.substring(F.substring_index(met, ",", 1), -2, 2)), met
+        return F.when(met != "", _built(day, month, F.substring(met, -4, 4)))
+
+    return once(F.regexp_extract(text, pattern, 0), cut)
 
 
 @lru_cache(100_000)
@@ -108,9 +119,9 @@ def format_date(value: Column, free_form: bool = False, known: Column | None = N
 
 def _fixed(text: Column) -> Column:
     return F.coalesce(
-        _found(text, rf"\b({MONTHS})\s+(\d{{1,2}}),\s+(\d{{4}})\b", 2, 1, 3),
-        _found(text, rf"\b({SHORT_MONTHS})\s+(\d{{1,2}}),\s+(\d{{4}})\b", 2, 1, 3),
-        _found(text, rf"\b(\d{{1,2}})\s+({MONTHS})\s+(\d{{4}})\b", 1, 2, 3),
+        _found(text, rf"\b({MONTHS})\s+(\d{{1,2}}),\s+(\d{{4}})\b"),
+        _found(text, rf"\b({SHORT_MONTHS})\s+(\d{{1,2}}),\s+(\d{{4}})\b"),
+        _found(text, rf"\b(\d{{1,2}})\s+({MONTHS})\s+(\d{{4}})\b", day_first=True),
     )
 
 
@@ -123,11 +134,30 @@ def _loose(text: Column) -> Column:
     return once(F.trim(text), lambda bare: F.when(~_hopeless(bare) & _fixed(bare).isNull(), bare))
 
 
-def _formatted(text: Column, known: Column | None) -> Column:
+def _judged(text: Column) -> Column:
+    """struct(done, loose): what is settled of a text without the free-form parser, and the text that it gets where nothing is."""
     bare = F.trim(text)
-    iso = F.when(bare.rlike(_ISO), F.date_format(bare.try_cast("date"), "yyyy-MM-dd"))
-    rest = iso if known is None else F.try_element_at(known, bare)
-    return F.coalesce(_fixed(text), F.when(~_hopeless(bare), rest), F.lit(INVALID))
+    done = F.coalesce(_fixed(text), F.when(_hopeless(bare), INVALID))
+    return once(done, lambda done: F.struct(done.alias("done"), F.when(done.isNull(), bare).alias("loose")))
+
+
+def _as_is(text: Column) -> Column:
+    return F.struct(text.alias("done"), F.lit(None).cast("string").alias("loose"))
+
+
+def settled(x: Column, known: Column | None = None) -> Column:
+    """The date of a struct(done, loose); a null has none."""
+    iso = lambda bare: F.when(bare.rlike(_ISO), F.date_format(bare.try_cast("date"), "yyyy-MM-dd"))
+    return F.coalesce(x["done"], iso(x["loose"]) if known is None else F.try_element_at(known, x["loose"]), F.lit(INVALID))
+
+
+def settled_range(x: Column, known: Column | None = None) -> Column:
+    """struct(start, end) of what prepared_range gives."""
+    return F.struct(settled(x["start"], known).alias("start"), settled(x["end"], known).alias("end"))
+
+
+def _formatted(text: Column, known: Column | None) -> Column:
+    return once(_judged(text), lambda x: settled(x, known))
 
 
 def without_footnotes(text: Column) -> Column:
@@ -139,9 +169,11 @@ def without_parentheses(text: Column) -> Column:
 
 
 def _cleaned(value: Column) -> Column:
-    text = without_parentheses(without_footnotes(F.coalesce(value, F.lit(""))))
-    text = F.trim(F.regexp_replace(text, OLD_STYLE, ""))
-    return F.regexp_replace(text, MONTH_DAY_WITHOUT_COMMA, "$1, $2")
+    def unmarked(text: Column) -> Column:
+        bare = F.regexp_replace(without_parentheses(without_footnotes(text)), OLD_STYLE, "")
+        return F.trim(F.when(F.contains(text, F.lit("[")) | F.contains(text, F.lit("(")), bare).otherwise(text))
+
+    return F.regexp_replace(once(F.coalesce(value, F.lit("")), unmarked), MONTH_DAY_WITHOUT_COMMA, "$1, $2")
 
 
 def _halves(text: Column) -> Column:
@@ -162,22 +194,39 @@ def _bare_side(part: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(part), IN_OFFICE, ""))
 
 
-def _side(part: Column, free_form: bool, known: Column | None) -> Column:
-    def judged(part: Column) -> Column:
-        bare = F.trim(F.regexp_replace(part, r"(?U)\s*\[\s*\w+\s*\]\s*$", ""))
-        return F.when(F.lower(bare).isin(*SPECIAL_ENDS), bare).otherwise(format_date(part, free_form, known))
+def _special(part: Column) -> Column:
+    """The special word that a part of a range is, without a mark after it; null if it is none."""
+    bare = F.trim(F.when(F.contains(part, F.lit("[")), F.regexp_replace(part, r"(?U)\s*\[\s*\w+\s*\]\s*$", "")).otherwise(part))
+    return once(bare, lambda bare: F.when(F.lower(bare).isin(*SPECIAL_ENDS), bare))
+
+
+def _side(part: Column) -> Column:
+    return once(_bare_side(part), lambda part: once(_special(part), lambda word: F.when(word.isNotNull(), _as_is(word)).otherwise(_judged(part))))
 
-    return judged(_bare_side(part)) if free_form else once(_bare_side(part), judged)
+
+def prepared_range(value: Column) -> Column:
+    """struct(start, end) of struct(done, loose): what date_range knows before the free-form parser, and the texts it leaves to that."""
+
+    def sides(halves: Column) -> Column:
+        side = lambda k: F.when(halves.isNull(), _as_is(F.lit(INVALID))).otherwise(_side(F.get(halves, k)))
+        return F.struct(side(0).alias("start"), side(2).alias("end"))
+
+    return once(once(_cleaned(value), _halves), sides)
+
+
+def prepared_single(value: Column) -> Column:
+    """struct(done, loose) of a text for single_date."""
+    return once(_cleaned(value), lambda text: F.when(F.lower(F.trim(text)).isin(*SPECIAL_ENDS), _as_is(text)).otherwise(_judged(text)))
 
 
 def loose_ranges(value: Column) -> Column:
     """The texts that date_range leaves to the free-form parser."""
-    return once(once(_cleaned(value), _halves), lambda h: F.when(h.isNotNull(), F.array(_loose(_bare_side(F.get(h, 0))), _loose(_bare_side(F.get(h, 2))))).otherwise(F.array().cast("array<string>")))
+    return once(prepared_range(value), lambda x: F.array(x["start"]["loose"], x["end"]["loose"]))
 
 
 def loose_singles(value: Column) -> Column:
     """The texts that single_date leaves to the free-form parser."""
-    return F.array(_loose(_cleaned(value)))
+    return F.array(prepared_single(value)["loose"])
 
 
 def date_range(value: Column, free_form: bool = False, known: Column | None = None) -> Column:
@@ -186,22 +235,24 @@ def date_range(value: Column, free_form: bool = False, known: Column | None = No
     With free_form the parts stand more than once in the plan, as a Python function cannot see a lambda's variable.
     """
 
-    def sides(halves: Column) -> Column:
-        side = lambda k: F.when(halves.isNull(), INVALID).otherwise(_side(F.get(halves, k), free_form, known))
-        return F.struct(side(0).alias("start"), side(2).alias("end"))
+    if not free_form:
+        return once(prepared_range(value), lambda x: settled_range(x, known))
+    halves = once(_cleaned(value), _halves)
 
-    if free_form:
-        return sides(once(_cleaned(value), _halves))
-    return once(once(_cleaned(value), _halves), sides)
+    def side(k: int) -> Column:
+        part = _bare_side(F.get(halves, k))
+        return F.when(halves.isNull(), INVALID).otherwise(F.coalesce(_special(part), format_date(part, free_form)))
+
+    return F.struct(side(0).alias("start"), side(2).alias("end"))
 
 
 def single_date(value: Column, free_form: bool = False, known: Column | None = None) -> Column:
     """One date of a text, or a special word as written."""
 
-    def judged(text: Column) -> Column:
-        return F.when(F.lower(F.trim(text)).isin(*SPECIAL_ENDS), text).otherwise(format_date(text, free_form, known))
-
-    return judged(_cleaned(value)) if free_form else once(_cleaned(value), judged)
+    if not free_form:
+        return once(prepared_single(value), lambda x: settled(x, known))
+    text = _cleaned(value)
+    return F.when(F.lower(F.trim(text)).isin(*SPECIAL_ENDS), text).otherwise(format_date(text, free_form))
 
 
 def _year_in(text: Column) -> Column:

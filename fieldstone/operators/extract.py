@@ -146,31 +146,43 @@ def _may_be_range(c: Column) -> Column:
     return c["text_sp"].rlike("–| - | to ")
 
 
-def recovered_range(skip: Column, known: Column | None = None) -> Column:
-    """A date range in any other cell that holds a range delimiter."""
-    tried = F.transform("cells", lambda c, i: F.when((i != skip) & _may_be_range(c), dates.date_range(c["text_sp"], known=known)))
+def recovered_range(ranges: Column, skip: Column, known: Column | None = None) -> Column:
+    """The first of the ranges of a row's cells (see prepared_dates) that has a start, but for one cell."""
+    tried = F.transform(ranges, lambda x, i: F.when((i != skip) & x.isNotNull(), dates.settled_range(x, known)))
     return F.get(F.filter(tried, lambda r: r.isNotNull() & (r["start"] != dates.INVALID)), 0)
 
 
-def loose_texts(start: Column, end: Column, short: Column, config: Config) -> Column:
-    """The date texts of a row that the fixed forms do not settle."""
-    none = F.array().cast("array<string>")
-    merged = lambda: F.flatten(F.transform(F.filter("cells", lambda c, i: (i == start) | _may_be_range(c)), lambda c: dates.loose_ranges(c["text_sp"])))
-    apart = lambda: F.concat(dates.loose_singles(cell(start)["text_sp"]), dates.loose_singles(cell(end)["text_sp"]))
+_DATE = "struct<done:string,loose:string>"
+_RANGE = f"struct<start:{_DATE},end:{_DATE}>"
+
+
+def prepared_dates(start: Column, end: Column, short: Column, config: Config) -> Column:
+    """struct(start, end, ranges, singles) of a row's dates before the free-form parser: of the cells for start and end, as ranges of cells
+    (merged dates: the cell for both and those with a delimiter; short rows: all) and of the first cells of short rows."""
+    none = lambda kind: F.lit(None).cast(kind)
+    dated = lambda make: either(config.years_only, lambda: none(_DATE), lambda: either(config.term_dates_merged, lambda: none(_DATE), make))
+    asked = lambda c, i: _col(config.term_dates_merged) & ((i == start) | _may_be_range(c)) | short
+    ranges = lambda: F.transform("cells", lambda c, i: F.when(asked(c, i), dates.prepared_range(c["text_sp"])))
+    singles = lambda: F.when(short, F.transform(F.slice("cells", 1, 3), lambda c: dates.prepared_single(c["text_sp"])))
+    in_ranges = _may(config.term_dates_merged) or _may(config.parse_rowspan)
+    return F.struct(
+        dated(lambda: dates.prepared_single(cell(start)["text_sp"])).alias("start"),
+        dated(lambda: dates.prepared_single(cell(end)["text_sp"])).alias("end"),
+        either(config.years_only, lambda: none(f"array<{_RANGE}>"), lambda: ranges() if in_ranges else none(f"array<{_RANGE}>")).alias("ranges"),
+        either(config.years_only, lambda: none(f"array<{_DATE}>"), lambda: singles() if _may(config.parse_rowspan) else none(f"array<{_DATE}>")).alias("singles"),
+    )
 
-    def dated() -> Column:
-        full = either(config.term_dates_merged, merged, apart)
-        if not _may(config.parse_rowspan):
-            return full
-        ranges = F.flatten(F.transform("cells", lambda c: dates.loose_ranges(c["text_sp"])))
-        singles = F.flatten(F.transform(F.slice("cells", 1, 3), lambda c: dates.loose_singles(c["text_sp"])))
-        return F.when(short, F.concat(ranges, singles)).otherwise(full)
 
-    return F.coalesce(either(config.years_only, lambda: none, dated), none)
+def loose_texts(prepared: Column) -> Column:
+    """The date texts of a row that the fixed forms do not settle."""
+    none = F.array().cast("array<string>")
+    ranges = F.flatten(F.transform(prepared["ranges"], lambda x: F.array(x["start"]["loose"], x["end"]["loose"])))
+    singles = F.transform(prepared["singles"], lambda x: x["loose"])
+    return F.array_compact(F.concat(F.array(prepared["start"]["loose"], prepared["end"]["loose"]), F.coalesce(ranges, none), F.coalesce(singles, none)))
 
 
-def term_dates(start: Column, end: Column, years_only: bool | Column, merged: bool | Column, known: Column | None = None) -> Column:
-    """struct(term_start, term_end, term_start_year, term_end_year) by the config's mode."""
+def term_dates(prepared: Column, start: Column, end: Column, years_only: bool | Column, merged: bool | Column, known: Column | None = None) -> Column:
+    """struct(term_start, term_end, term_start_year, term_end_year) by the config's mode, of what prepared_dates gives."""
     a, b = cell(start), cell(end)
     no_text, no_year = F.lit(None).cast("string"), F.lit(None).cast("int")
     pair = lambda first, last: F.struct(first.alias("start"), last.alias("end"))
@@ -180,11 +192,11 @@ def term_dates(start: Column, end: Column, years_only: bool | Column, merged: bo
         return F.struct(no_text.alias("term_start"), no_text.alias("term_end"), years["start"].alias("term_start_year"), years["end"].alias("term_end_year"))
 
     def in_one() -> Column:
-        kept = lambda own: F.when(own["start"] == dates.INVALID, F.coalesce(recovered_range(start, known), own)).otherwise(own)
-        return once(dates.date_range(a["text_sp"], known=known), lambda own: dated(once(kept(own), lambda x: x), a))
+        kept = lambda own: F.when(own["start"] == dates.INVALID, F.coalesce(recovered_range(prepared["ranges"], start, known), own)).otherwise(own)
+        return once(dates.settled_range(F.get(prepared["ranges"], start), known), lambda own: dated(once(kept(own), lambda x: x), a))
 
     def in_two() -> Column:
-        return dated(pair(dates.single_date(a["text_sp"], known=known), dates.single_date(b["text_sp"], known=known)), b)
+        return dated(pair(dates.settled(prepared["start"], known), dates.settled(prepared["end"], known)), b)
 
     def dated(own: Column, c: Column) -> Column:
         def texts(own: Column) -> Column:
@@ -280,15 +292,15 @@ def extract(
         linked = linked.withColumns({"short": F.lit(False), "link": F.col("own_link"), "kept_district": F.col("own_district")})
 
     def dated(known: Column) -> Column:
-        full = term_dates(F.col("term_start_column"), F.col("term_end_column"), config.years_only, config.term_dates_merged, known)
+        full = term_dates(F.col("prepared"), F.col("term_start_column"), F.col("term_end_column"), config.years_only, config.term_dates_merged, known)
         if not _may(rowspan):
             return full
         # a short row: the first cell with a range, else two cells of one date each, else the first date
         no = lambda kind: F.lit(None).cast(kind)
 
         def in_texts() -> Column:
-            valid = F.filter(F.transform("cells", lambda c: dates.date_range(c["text_sp"], known=known)), lambda r: (r["start"] != dates.INVALID) & (r["end"] != dates.INVALID))
-            single = lambda k: dates.single_date(cell(F.lit(k))["text_sp"], known=known)
+            valid = F.filter(F.transform(F.col("prepared")["ranges"], lambda x: dates.settled_range(x, known)), lambda r: (r["start"] != dates.INVALID) & (r["end"] != dates.INVALID))
+            single = lambda k: dates.settled(F.get(F.col("prepared")["singles"], F.lit(k)), known)
             apart = lambda r: (r["start"] != r["end"]) & (r["start"] != dates.INVALID) & (r["end"] != dates.INVALID)
             pairs = F.filter(F.array(*(F.struct(single(k).alias("start"), single(k + 1).alias("end")) for k in (0, 1))), lambda r: F.coalesce(apart(r), F.lit(False)))
 
@@ -306,13 +318,15 @@ def extract(
 
         return F.when(F.col("short"), either(config.years_only, in_years, in_texts)).otherwise(full)
 
-    loose = loose_texts(F.col("term_start_column"), F.col("term_end_column"), F.col("short"), config)
+    # not deterministic, so that it is computed once for the texts and the dates
+    prepared = F.when(F.monotonically_increasing_id() >= 0, prepared_dates(F.col("term_start_column"), F.col("term_end_column"), F.col("short"), config))
+    linked = linked.withColumn("prepared", prepared)
     in_infobox = _may(config.find_date_in_infobox) and config.years_only is not True and not (isinstance(config.find_date_in_infobox, Column) and people is None)
     asked = _col(config.find_date_in_infobox) & ~_col(config.years_only)
     link_cell, party_cell = cell(F.col("link_column")), cell(F.col("party_column"))
     hrefs = lambda c: either(config.party_link, lambda: F.transform(c["links"], lambda a: a["href"]), lambda: F.array().cast("array<string>"))
     searched = F.when(F.col("short"), F.col("cells")).when(party_cell.isNotNull(), F.array(party_cell)).otherwise(F.slice("cells", 1, 0))
-    out = dates.free_forms(linked, loose).withColumn("dates", dated(F.col("known"))).select(
+    out = dates.free_forms(linked, loose_texts(F.col("prepared"))).withColumn("dates", dated(F.col("known"))).select(
         *keys,
         "table_no",
         "row_index",

@@ -272,3 +272,12 @@ def test_landing_stream(spark, tmp_path):
     run = landing.run_incrementally(landing.landed_pages(spark, folder), str(tmp_path / "cp"), lambda df, n: df.write.mode("append").parquet(out))
     run.awaitTermination(120)
     assert {(r["page_id"], r["html"]) for r in spark.read.parquet(out).collect()} == {(1, "new"), (2, "x")}
+
+
+def test_special_words_are_not_left_to_the_free_form_parser(spark):
+    """A text is judged once: what is settled is not sent to Python."""
+    cases = {"May 1, 1990 – present": [None, None], "1 May 1990 to Spring 1991": [None, "Spring 1991"], "in office May 1, 1990 - Incumbent[a]": [None, None]}
+    assert [r[0] for r in values(spark, cases, dates.loose_ranges(F.col("v")))] == list(cases.values())
+    assert [r[0] for r in values(spark, ["n/a", "5/1/1990"], dates.loose_singles(F.col("v")))] == [[None], ["5/1/1990"]]
+    years = ["May 1, 0000", "February 30, 1990", "31\tDecember  1999", "Sep\n7,\t2001"]
+    assert [r[0] for r in values(spark, years, dates.format_date(F.col("v")))] == ["0000-05-01", dates.INVALID, "1999-12-31", "2001-09-07"]

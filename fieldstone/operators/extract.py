@@ -18,7 +18,7 @@ from ..functions import dates, rules, urls
 from ..functions.common import once
 from ..sources import html
 from . import infobox
-from .lookup import first_name_in
+from .lookup import first_name_in, party_finder
 
 NO_PARTY, NO_DISTRICT = "No party", "No district"
 
@@ -389,6 +389,25 @@ def resolve_parties(terms: DataFrame, parties: DataFrame, country: Column, *keys
         rows = rows.withColumn("party_cells", F.array(F.struct(F.col("party_text").alias("text"), links.alias("hrefs"))))
     if "continued" in added:
         rows = rows.withColumn("continued", F.lit(False))
+    full = lambda href: dates.without_footnotes(F.concat(F.lit(urls.WIKI_BASE), href))
+    party = party_finder(parties)
+    if party is None:
+        out = _join_parties(rows, parties, row, full)
+    else:
+        cells = F.transform("party_cells", lambda c: F.struct(F.lower(c["text"]).alias("key"), F.transform(c["hrefs"], full).alias("links")))
+        # a plain column, as an argument with nested lambdas is not always taken out of the plan for Python
+        plain = rows.withColumn("_cells", F.when(F.monotonically_increasing_id() >= 0, cells))
+        out = plain.withColumn("own", party(F.col("country"), F.col("_cells"))).drop("_cells")
+    if "continued" in added:
+        return out.withColumn("party", F.coalesce("own", F.lit(NO_PARTY))).drop("own", "country", *added)
+    here = F.when(F.col("continued"), F.col("own")).otherwise(F.coalesce("own", F.lit(NO_PARTY)))
+    before = Window.partitionBy(*keys, "table_no").orderBy("row_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = F.coalesce(F.last(here, True).over(before), F.lit(NO_PARTY))
+    return out.withColumn("party", F.when(F.col("party_cells").isNotNull(), carried)).drop("own", "country", *added)
+
+
+def _join_parties(rows: DataFrame, parties: DataFrame, row: list[str], full: Callable[[Column], Column]) -> DataFrame:
+    """The rows with `own`, by joins: for parties that are too many for one block of names."""
     cells = rows.select("country", *row, F.posexplode("party_cells").alias("at", "c")).distinct()
     cells = cells.withColumn("key", F.lower("c.text"))
     texts = cells.select("country", "key").filter("key <> ''").distinct()
@@ -396,19 +415,12 @@ def resolve_parties(terms: DataFrame, parties: DataFrame, country: Column, *keys
     found = cells.join(met, ["country", "key"], "left")
     if "link" in parties.columns:
         hrefs = cells.select("country", *row, "at", F.posexplode("c.hrefs").alias("nth", "href"))
-        full = hrefs.withColumn("link", dates.without_footnotes(F.concat(F.lit(urls.WIKI_BASE), "href")))
         named = parties.filter("link IS NOT NULL").groupBy("country", "link").agg(F.min("name").alias("name"))
         cell_of = ["country", *row, "at"]
-        by_link = full.join(named, ["country", "link"]).groupBy(*cell_of).agg(F.min_by("name", "nth").alias("by_link"))
+        by_link = hrefs.withColumn("link", full(F.col("href"))).join(named, ["country", "link"]).groupBy(*cell_of).agg(F.min_by("name", "nth").alias("by_link"))
         found = found.join(by_link, cell_of, "left").withColumn("by_text", F.coalesce("by_link", "by_text"))
     first = found.filter("by_text IS NOT NULL").groupBy(*row).agg(F.min_by("by_text", "at").alias("own"))
-    out = rows.join(first, row, "left")
-    if "continued" in added:
-        return out.withColumn("party", F.coalesce("own", F.lit(NO_PARTY))).drop("own", "country", *added)
-    here = F.when(F.col("continued"), F.col("own")).otherwise(F.coalesce("own", F.lit(NO_PARTY)))
-    before = Window.partitionBy(*keys, "table_no").orderBy("row_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = F.coalesce(F.last(here, True).over(before), F.lit(NO_PARTY))
-    return out.withColumn("party", F.when(F.col("party_cells").isNotNull(), carried)).drop("own", "country", *added)
+    return rows.join(first, row, "left")
 
 
 def preview(terms: DataFrame, *keys: str, most: int = 50, years_only: bool = False) -> DataFrame:

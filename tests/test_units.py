@@ -208,3 +208,15 @@ def test_the_column_of_a_link_is_computed_once_a_row(spark):
     # three stand in the expression, as nullif writes its argument twice; there had been twelve
     assert df._jdf.queryExecution().optimizedPlan().toString().count("array_position") == 3
     assert out(df, "wiki_link", "term_start", "term_end") == [("https://en.wikipedia.org/wiki/Ann", "1990-05-01", "present")]
+
+
+def test_parties_are_found_without_reading_the_rows_again(spark, sf_dir, monkeypatch):
+    """party_links parsed its pages four times, once for each side of its joins; those remain for more parties than a block of names holds."""
+    from fieldstone.operators import lookup
+    from fieldstone.plans import QUERIES
+
+    run = QUERIES["party_links"].run
+    whole = run(spark, sf_dir)
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("explode(") == 2
+    monkeypatch.setattr(lookup, "NAMES_BLOCK", 10)
+    assert sorted(map(tuple, run(spark, sf_dir).collect())) == sorted(map(tuple, whole.collect()))

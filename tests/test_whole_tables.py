@@ -3,6 +3,7 @@
 import datetime as dt
 
 import duckdb
+from pyspark.sql import functions as F
 
 from fieldstone.plans import QUERIES
 
@@ -20,3 +21,11 @@ def test_cooldown_batch_reads_orders_of_every_kind(spark, tmp_path):
     for name in ("customer", "orders"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert set(con.sql(query.sql).fetchall()) == got
+
+
+def test_raw_table_preview_parses_in_as_many_tasks_as_there_are(spark, tmp_path):
+    """A small file of one row group was read, rendered and parsed by a single task."""
+    spark.range(200_000).selectExpr("id AS c_custkey", "concat('Customer#', sha2(string(id), 256)) AS c_name").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    shown = QUERIES["raw_table_preview"].run(spark, str(tmp_path))
+    sizes = [r[1] for r in shown.groupBy(F.spark_partition_id()).agg(F.count("*"), F.max("shown")).collect()]
+    assert len(sizes) > 1 and sum(sizes) == 200_000

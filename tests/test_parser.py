@@ -80,3 +80,37 @@ def test_plain_rows_are_not_read_tag_by_tag(monkeypatch):
     made = html._Tables()
     made.add(f"<table><tr><th>a<th>b</tr>{row * 100}</table>", None)
     assert opened == ["table"] and len(made.row_index) == 101 and len(made.href) == 200
+
+
+ODD = """<td> </td> <td>a</td> <td>b <th> </th> <tr> </tr> <tr><td>1</td><td> <![x[y]]> <!foo\tbar> <?\tx\t> </zz> <td</td> <b</i> <script</b> <!--\tc\t--> <!--\ta-b\t--> <!----> <![CDATA[x]]> <![if\tx]> <!DOCTYPE\thtml> <b> </b> <i>\tx <p> </p> <li> <div\tdata-sort-value='3'>
+</div> <span\tdata-sort-value="4"> <span>s</span> </span> </a> <a\thref='/x'>y</a> <a\thref="/z"\tclass=c>z</a>w <a\tname=q>n</a> <br/> <h2> </h2> <td\tdata-sort-value=5> <u\tdata-sort-value=6>u</u> text &amp;\tx &#xZZ; <a\thref='/n'><b>n</b></a> </table> <table> <tbody> </tbody> <caption>c</caption>
+</div> <div> <script>\t<td>\t</script> <B> <textarea> <br\tclass=x/> <![\tz]> <!> <tr\tclass=x> <td/>""".split()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_odd_rows_read_whole_have_the_cells_of_the_tree(seed):
+    """Odd markup, elements that are not closed, and what stands around tables."""
+    draw, whole = random.Random(seed), 0
+    for _ in range(3000):
+        page = "".join(draw.choice(ODD[-18:]) for _ in range(draw.randint(0, 3))) + "<table><tr><td>" + "".join(draw.choice(ODD if draw.random() < 0.2 else ODD[:-18]) for _ in range(draw.randint(0, 16)))
+        page = (page + draw.choice(("", "</tr></table>", "</td></tr>\n</table>x<p>y"))).replace("\t", " ")
+        assert cells_by_rows(page) == cells_by_tree(page), page
+        whole += sum(isinstance(table, html._FlatTable) for table in html._tables(page))
+    assert whole > 200
+
+
+def test_odd_rows_are_not_read_tag_by_tag(monkeypatch):
+    """What made html_terms_broken slow: the standard parser, and a node for each tag, for every row that holds odd markup."""
+
+    def refuse(*_):
+        raise AssertionError("read tag by tag")
+
+    opened, open_ = [], html._Builder._open
+    monkeypatch.setattr(html._Builder, "_open", lambda self, tag, attrs: (opened.append(tag), open_(self, tag, attrs))[1])
+    monkeypatch.setattr(html._Builder, "_odd", refuse)
+    odd = ("<![x[y]]><!foo bar><? x >", "&#xZZ; </zz><td", "<p><small>q</small>")
+    rows = "".join(f"<tr><td><a href='/wiki/P_{i}'>P</a></td><td>May 1, 1990</td><td>present{odd[i % 3]}</td></tr>\n" for i in range(99))
+    made = html._Tables()
+    made.add(f"<p>x</p><table><tr><td>stub</table><table class=t><tr><th>a<th>b<th>c</tr>{rows}</table>", None)
+    assert opened == ["table", "table"] and len(made.row_index) == 101 and len(made.href) == 99
+    assert made.text[4:].count("present") == 33 and made.text.count("present&#xZZ;") == 33 and made.text_sp.count("present q") == 33

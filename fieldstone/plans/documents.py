@@ -17,8 +17,13 @@ def _day():
 
 
 def _html(rows, *keys, header, row, order):
-    """A page for each key: a small first table, then a table of the rows."""
-    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order), row.alias("tr")))).alias("l"))
+    """A page for each key: a small first table, then a table of the rows.
+
+    Rows are dealt over a number of tasks that adaptive execution keeps: they are small in bytes, so that it would leave few tasks to render and parse all pages.
+    """
+    spark = rows.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    lists = rows.repartition(tasks, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order), row.alias("tr")))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: x["tr"]), "\n")
     return lists.select(*keys, F.concat(F.lit(f"<p>x</p><table><tr><td>stub</table><table class=t><tr>{header}</tr>"), body, F.lit("</table>")).alias("html"))
 

@@ -29,3 +29,12 @@ def test_raw_table_preview_parses_in_as_many_tasks_as_there_are(spark, tmp_path)
     shown = QUERIES["raw_table_preview"].run(spark, str(tmp_path))
     sizes = [r[1] for r in shown.groupBy(F.spark_partition_id()).agg(F.count("*"), F.max("shown")).collect()]
     assert len(sizes) > 1 and sum(sizes) == 200_000
+
+
+def test_html_pages_are_parsed_in_as_many_tasks_as_there_are(spark, tmp_path):
+    """Orders are small in bytes, so that adaptive execution left their pages to a few tasks, at worst one more than there are cores."""
+    orders = [(i, i % 900, dt.datetime(1995, 1, 1) + dt.timedelta(i % 700)) for i in range(3000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    terms = QUERIES["html_sort_values"].run(spark, str(tmp_path)).withColumn("at", F.spark_partition_id())
+    sizes = [r[1] for r in terms.groupBy("at").agg(F.count("*")).collect()]
+    assert len(sizes) == 8 and sum(sizes) == 3000

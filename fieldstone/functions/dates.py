@@ -94,7 +94,11 @@ def _free_form(texts: pa.Array) -> pa.Array:
 
 @arrow_udf(T.MapType(T.StringType(), T.StringType()))
 def _free_forms(texts: pa.Array) -> pa.Array:
-    found = [{t: d for t in row or () if t is not None and (d := _parsed(t)) is not None} for row in texts.to_pylist()]
+    # each distinct text once; mostly none of a batch gives a date
+    parsed = {t: _parsed(t) for t in texts.flatten().unique().to_pylist() if t is not None}
+    if not any(parsed.values()):
+        return pa.MapArray.from_arrays(pa.array([0] * (len(texts) + 1), pa.int32()), pa.array([], pa.string()), pa.array([], pa.string()))
+    found = [{t: d for t in row or () if t is not None and (d := parsed[t]) is not None} for row in texts.to_pylist()]
     return pa.array([list(row.items()) for row in found], pa.map_(pa.string(), pa.string()))
 
 

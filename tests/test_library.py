@@ -4,6 +4,7 @@ import json
 import random
 from datetime import date
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,12 @@ def test_special_words_are_not_left_to_the_free_form_parser(spark):
     assert [r[0] for r in values(spark, ["n/a", "5/1/1990"], dates.loose_singles(F.col("v")))] == [[None], ["5/1/1990"]]
     years = ["May 1, 0000", "February 30, 1990", "31\tDecember  1999", "Sep\n7,\t2001"]
     assert [r[0] for r in values(spark, years, dates.format_date(F.col("v")))] == ["0000-05-01", dates.INVALID, "1999-12-31", "2001-09-07"]
+
+
+def test_free_forms_parse_each_text_of_a_batch_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(dates, "_parsed", lambda text: (asked.append(text), "1990-05-01" if text.startswith("1 May") else None)[1])
+    rows = pa.array([["spring", None], None, [], ["spring", "1 May 1990", "1 May 1990"], ["soon", "spring"]], pa.list_(pa.string()))
+    assert dates._free_forms.func(rows).to_pylist() == [[], [], [], [("1 May 1990", "1990-05-01")], []]
+    assert sorted(asked) == ["1 May 1990", "soon", "spring"]
+    assert dates._free_forms.func(rows[:3]).to_pylist() == [[], [], []] and dates._free_forms.func(rows[1:1]).to_pylist() == []
